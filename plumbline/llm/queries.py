@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.lm_scoring import lm_scores
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import quality_classifier
 from plumbline.llm.quality_rules import quality_rules
 
@@ -21,6 +23,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("host_rate", F.round("host_rate", 6))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,7 +41,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op9_quality_classifier, op10_mix_sources)
+    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op9_quality_classifier, op10_mix_sources)
 }
 
 OP1_SQL = r"""
