@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.lm_scoring import lm_scores
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import quality_classifier
 from plumbline.llm.quality_rules import quality_rules
@@ -31,6 +32,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +46,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op9_quality_classifier, op10_mix_sources)
+    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
 }
 
 OP1_SQL = r"""
