@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.lm_scoring import lm_scores
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_dedup import near_duplicates
@@ -32,6 +33,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return out.select("doc_id", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_removed").alias("n_removed"), F.col("line_dedup_numbers").alias("removed_lines"), digest.alias("text_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -46,7 +53,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
+    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op5_dedup_lines, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
 }
 
 OP1_SQL = r"""
