@@ -15,6 +15,8 @@ from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import quality_classifier
 from plumbline.llm.quality_rules import quality_rules
 
+from plumbline.llm.substring_dedup import dedup_passages
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,10 @@ def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_removed").alias("n_removed"), F.col("line_dedup_numbers").alias("removed_lines"), digest.alias("text_sha256"))
 
 
+def op6_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -53,7 +59,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op5_dedup_lines, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
+    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op5_dedup_lines, op6_dedup_passages, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
 }
 
 OP1_SQL = r"""
