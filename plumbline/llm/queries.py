@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.chat_format import repair_roles
+from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.lm_scoring import lm_scores
 from plumbline.llm.mixing import mix_sources
@@ -35,6 +37,15 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.col("decontam_found").alias("contaminated"), F.col("decontam_n_items").alias("n_items"), F.col("decontam_items").alias("items"))
+
+
+def op7_repair_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(table(spark, sf_dir, "conversations"))
+
+
 def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
@@ -59,7 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op5_dedup_lines, op6_dedup_passages, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
+    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op4_decontaminate, op5_dedup_lines, op6_dedup_passages, op7_repair_roles, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
 }
 
 OP1_SQL = r"""
