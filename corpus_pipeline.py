@@ -1,14 +1,72 @@
-"""Corpus pipeline: classifier, line dedup, near-dedup, decontamination, mixing."""
+"""Corpus pipeline: classifier, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes the documents that its predecessor kept and is written as Parquet in the shared
+folder before the next one reads it, so a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.decontaminate import contaminated
+from plumbline.llm.line_dedup import dedup_lines
+from plumbline.llm.mixing import mix_sources
+from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.quality_classifier import quality_classifier
+from plumbline.llm.store import keep, rows_at_most, with_verdicts
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance-resampling classifier keeps."""
+    verdicts = quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_hash=True)
+    rejected = keep(verdicts.where("not kept").select("doc_id", "th").distinct(), "rejected")
+    return with_verdicts(docs, rejected, "left_anti")
+
+
+def dedup_text_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later of similar lines; documents that lose all their lines go."""
+    out = dedup_lines(docs)
+    cut = F.col("line_dedup_removed") > 0
+    out = out.where(~cut | (F.col("line_dedup_removed") < F.col("line_dedup_lines")))
+    size = F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", size).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each near-duplicate group."""
+    gone = keep(near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct(), "repeated")
+    return docs.join(F.broadcast(gone) if rows_at_most(gone, 1_000_000) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = keep(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "th"), "contaminated")
+    return with_verdicts(docs, found, "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
+    taken = keep(mix_sources(docs, with_hash=True).where("taken > 0").distinct(), "taken")
+    return with_verdicts(docs, taken, "inner")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", classify),
+    ("line_dedup", dedup_text_lines),
+    ("near_dedup", dedup_documents),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Hashed models, minima and similarity joins can't be put in SQL; tests compare with a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import keep, same, words
+from plumbline.llm.store import keep, same, text_hash, words
 
 LEVELS, BITS = 4, 12
 
@@ -50,11 +50,13 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3),
     most: int = 3,
+    with_hash: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words the mix takes of each document."""
+    """doc_id, size, source_size, target, taken: how many words the mix takes of each document; with
+    ``with_hash`` also th, the hash of its text."""
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
     d = keep(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), h.alias("h")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), h.alias("h"), text_hash(F.col(text_col)).alias("th")),
         "mix",
     )
     sums = d.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -86,7 +88,8 @@ def mix_sources(
     # Rows that share the boundary hash are taken one by one, smallest first, while that comes nearer to the budget.
     at_edge = out.where(F.col("h") == F.col("low"))
     run = F.sum("d.size").over(Window.partitionBy("d.source").orderBy("d.size", "d.doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    result = lambda extra: [F.col("d.doc_id").alias("doc_id"), F.col("d.size").alias("size"), "source_size", "target", (F.col("d.size") * (F.col("whole") + extra.cast("long"))).alias("taken")]
+    more = [F.col("d.th").alias("th")] if with_hash else []
+    result = lambda extra: [*more, F.col("d.doc_id").alias("doc_id"), F.col("d.size").alias("size"), "source_size", "target", (F.col("d.size") * (F.col("whole") + extra.cast("long"))).alias("taken")]
     edge_rows = at_edge.withColumn("run", run).select(*result(F.col("used") + F.col("run") - F.col("d.size") / 2 <= F.col("rest")))
     other = out.where((F.col("h") != F.col("low")) | F.col("low").isNull())
     return other.select(*result(F.coalesce(F.col("h") < F.col("low"), F.lit(True)) & (F.col("rest") > 0))).unionByName(edge_rows)

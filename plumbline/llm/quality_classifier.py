@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.kernel import grams, pieces, span_hashes, word_bounds
-from plumbline.llm.store import keep
+from plumbline.llm.store import keep, text_hash
 
 SLICE = 4096
 
@@ -147,8 +147,9 @@ def quality_classifier(
     keep_good: float = 0.997,
     max_labelled: int = 40_000,
     seed: int = 1,
+    with_hash: bool = False,
 ) -> DataFrame:
-    """doc_id, n_features, log_weight, key, kept. ``labels`` has the id, quality (1 good) and toxic (1 bad).
+    """doc_id, n_features, log_weight, key, kept (and th, the text's hash, with ``with_hash``). ``labels`` has the id, quality (1 good) and toxic (1 bad).
 
     A good target row has quality 1 and toxic 0. The labelled sample is the ``max_labelled`` rows with the
     smallest hash of the id; every other figure is taken over all documents.
@@ -166,6 +167,8 @@ def quality_classifier(
     fit = scored(sample.where(~half).select("good", "text"), "text", weights, evidence, prior).select("good", "log_weight").limit(4 * max_labelled).toPandas()
     cutoff = fit_cutoff(fit["log_weight"].to_numpy(float), fit["good"].to_numpy() == 1, keep_good)
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+    if with_hash:
+        d = d.withColumn("th", text_hash(F.col("text")))
     s = keep(scored(d, "text", weights, evidence, prior).withColumn("key", F.col("log_weight") + noise), "weights")
     n, k = s.agg(F.count("*"), F.sum((F.col("log_weight") >= cutoff).cast("long"))).first()
     least = kth_key(s, k or 0, n)

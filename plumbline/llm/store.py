@@ -49,3 +49,21 @@ def same(a: Column, b: Column) -> Column:
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """Whether a table that is already written has at most ``limit`` rows."""
     return df.count() <= limit
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows with one id but different texts apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def with_verdicts(docs: DataFrame, verdicts: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1_000_000) -> DataFrame:
+    """Join ``docs`` with a kept table (doc_id, th, ...) by id and text hash.
+
+    The table is broadcast only if it has at most ``limit`` rows. Its other columns come after those of
+    ``docs`` unless ``how`` is a semi or anti join.
+    """
+    v = (F.broadcast(verdicts) if rows_at_most(verdicts, limit) else verdicts).alias("v")
+    d = docs.withColumn("__th", text_hash(F.col(text_col))).alias("d")
+    both = d.join(v, same(F.col(f"d.{id_col}"), F.col("v.doc_id")) & (F.col("d.__th") == F.col("v.th")), how)
+    extra = [] if how in ("left_semi", "left_anti") else [F.col(f"v.{c}") for c in verdicts.columns if c not in ("doc_id", "th")]
+    return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], *extra)
