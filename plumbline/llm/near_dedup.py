@@ -2,10 +2,11 @@
 
 1. One pass gives each document its shingle-set hash, the minima of ``bands * rows`` universal hash
    functions and one hash for each band. Equal sets are folded into their smallest id first.
-2. Sets that share a band form a bucket. In the first round each set is compared with the smallest set
-   of its buckets only, so a bucket of g near copies costs g comparisons. Components of these links
-   are found. In the second round sets that share a bucket but not a component are compared, in blocks
-   of a bounded number of sets, so no bucket is gathered and no link is lost.
+2. Sets that share a band form a bucket. In the first round each set is compared with one other, the
+   smallest of all its buckets, so g near copies cost g comparisons. Components of these links are
+   found. Only buckets that still hold several components go on: a second round compares their sets
+   with the smallest of each bucket, and a third all sets that share a bucket but not a component, in
+   blocks of a bounded number of sets, so no bucket is gathered and no link is lost.
 3. A pair is first checked on its signatures (a loose bound, 4.5 standard deviations), then confirmed
    by the exact Jaccard similarity of the full sets.
 4. Components come from alternating large-star and small-star.
@@ -154,23 +155,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keep(signatures(d, k), "minhash")
     linked = rows.where("n > 0 and doc_id is not null")
     folded = keep(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = keep(linked.join(folded, ["s1", "s2"]).where("doc_id = rep").select("rep", "s1", "s2", "sig", "bands").dropDuplicates(["rep", "s1", "s2"]), "reps")
-
-    # First round: each set against the smallest of its bucket.
-    members = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = keep(members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("g")).where("a <> z"), "buckets")
-    members = keep(reps.select("rep", "sig", F.explode("bands").alias("bucket")).join(buckets, "bucket"), "members")
+    few = F.broadcast(folded) if rows_at_most(folded, BROADCAST_IDS) else folded
+    reps = linked.join(few, ["s1", "s2"]).where("doc_id = rep")
+    sigs = reps.select("rep", "sig")
+    members = reps.select(F.explode("bands").alias("bucket"), "rep")
+    buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket", "a")
+    members = keep(members.join(buckets, "bucket"), "members")
     least = loose_bound(percent)
-    sig = members.select("rep", "sig").dropDuplicates(["rep"])
-    star = members.where("rep <> a").select("a", F.col("rep").alias("b"), F.col("sig").alias("sb")).dropDuplicates(["a", "b"])
-    star = star.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb")
-    edges = keep(confirmed(star.mapInArrow(same_signature(least), f"a {kind}, b {kind}"), d, k, percent), "links")
-    comps = keep(connected_components(edges), "components")
-
-    # Second round: sets that share a bucket but no component, block against block.
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    open_rows = keep(placed.select("bucket", "rep", "sig", "component").join(mixed.select("bucket", "size"), "bucket"), "open")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that pass the signatures and the exact check."""
+        near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        near = near.select("a", "b", "sa", "sb").mapInArrow(same_signature(least), f"a {kind}, b {kind}").distinct()
+        return confirmed(near, d, k, percent)
+
+    def placed_in(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components of the links so far, and the members of buckets that still hold several of them."""
+        comps = keep(connected_components(edges), "components")
+        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        return comps, keep(placed.join(mixed.select("bucket", "size"), "bucket"), "open")
+
+    # First round: each set against the smallest set of all its buckets.
+    pairs = keep(members.groupBy("rep").agg(F.min("a").alias("a")).where("a <> rep").select("a", F.col("rep").alias("b")), "pairs1")
+    edges, tested = keep(confirm(pairs), "links1"), pairs
+    # Second round: in buckets of several components, each set against the smallest of each bucket.
+    comps, opened = placed_in(edges)
+    heads = opened.where("rep = a").select("bucket", F.col("component").alias("head")).distinct()
+    star = opened.where("rep <> a").join(heads, "bucket").where("head <> component").select("a", F.col("rep").alias("b")).distinct()
+    pairs = keep(star.join(tested, ["a", "b"], "left_anti"), "pairs2")
+    edges, tested = keep(edges.union(confirm(pairs)), "links2"), keep(tested.union(pairs), "tested")
+    # Third round: what shares a bucket but no component, block against block.
+    comps, opened = placed_in(edges)
+    open_rows = opened.join(sigs.dropDuplicates(["rep"]), "rep")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -190,8 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"a": u[:, 0], "b": u[:, 1]})
 
     more = dealt.groupBy("bucket", "i", "j").applyInArrow(pair_up, f"a {kind}, b {kind}").distinct()
-    more = more.join(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    edges2 = keep(confirmed(more, d, k, percent), "links2")
+    more = more.join(tested, ["a", "b"], "left_anti")
+    edges2 = keep(confirmed(more, d, k, percent), "links3")
 
     copies = linked.join(folded, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     all_edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges2.select("a", "b")).union(copies)
