@@ -8,16 +8,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; one of this machine only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    own = tempfile.mkdtemp(dir="/tmp/checkpoints")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        _own[app] = tempfile.mkdtemp(dir="/tmp/checkpoints")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
