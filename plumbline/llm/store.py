@@ -6,34 +6,15 @@ read them again after another executor is lost.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of characters other than ASCII white space.
-WORD_GAP = r"[\x20\x09-\x0D]+"
-
+from plumbline.sources.shared import keep, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of this machine only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    own = tempfile.mkdtemp(dir="/tmp/checkpoints")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+__all__ = ["WORD_GAP", "keep", "rows_at_most", "same", "shared_dir", "text_hash", "with_verdicts", "words"]
 
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are runs of characters other than ASCII white space.
+WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
