@@ -114,7 +114,10 @@ class FMIndex:
             at = live[done]
             p, good, n = probing[done], ok[done], size[done]
             s, e = start[at], end[at]
-            next_end = np.where(p, np.where(good, resume[at], e - 1), np.where(n >= window, s + window - 1, e - 1))
+            # A probe that fails rules out the windows over it; the ends up to its own may be passed over if all
+            # windows that end there begin before the place where it failed.
+            passed = ~good & (resume[at] - window <= s - 1)
+            next_end = np.where(p, np.where(passed, e - 1, resume[at]), np.where(n >= window, s + window - 1, e - 1))
             next_end = np.where(~p & good, 0, next_end)  # reached the beginning: nothing is left of it
             probe = ~p & ~good & (n > PROBE + 1) & (n < window)
             resume[at] = np.where(probe, e - 1, -1)

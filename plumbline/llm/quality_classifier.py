@@ -107,7 +107,8 @@ def fit_cutoff(scores: np.ndarray, good: np.ndarray, keep_good: float) -> float:
     s, g = scores[order], good[order]
     lost = np.concatenate([[0], np.cumsum(g)]) / g.sum()
     caught = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    gain = np.where(lost <= 1 - keep_good, caught - 2 * lost, -np.inf)
+    # In a small sample two good rows may be lost, so that no single odd one decides.
+    gain = np.where(lost <= max(1 - keep_good, 2 / g.sum()), caught - 2 * lost, -np.inf)
     i = int(np.argmax(gain))
     return -np.inf if i == 0 else float(s[i - 1] + (s[i] - s[i - 1]) / 2 if i < len(s) else s[-1])
 
