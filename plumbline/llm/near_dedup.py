@@ -4,10 +4,11 @@
    functions and one hash for each band. Equal sets are folded into their smallest id first.
 2. Sets that share a band form a bucket. In the first round each set is compared with one other, the
    smallest of all its buckets, so g near copies cost g comparisons. Components of these links are
-   found. Only buckets that still hold several components go on: a second round compares their sets
-   with the smallest of each bucket, and a third all sets that share a bucket but not a component, in
-   blocks of a bounded number of sets, so no bucket is gathered and no link is lost.
-3. A pair is first checked on its signatures (a loose bound, 4.5 standard deviations), then confirmed
+   found. Only buckets that still hold several components go on: a second round looks for one similar
+   set of another component for each set and bucket, and a third compares all sets that share a
+   bucket but not a component, so no link is lost. Buckets travel packed, by ranges of their hash, at
+   72 bytes a set, and give out only pairs whose signatures agree.
+3. The signature check is loose (4.5 standard deviations below the threshold); a pair is then confirmed
    by the exact Jaccard similarity of the full sets.
 4. Components come from alternating large-star and small-star.
 
@@ -15,12 +16,14 @@ A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**24, about
 
 Defined cases: documents with fewer words than a shingle have their whole sequence as one; null or
 empty texts have an empty set and are linked with nothing; a null id is linked with nothing and kept;
-rows that repeat an id are one document for links and each get a row; an empty table gives an empty
+ids are integers; rows that repeat an id are one document for links and each get a row; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,6 @@ from plumbline.llm.kernel import grams, mix, pieces, sequence_hashes, signed, sp
 from plumbline.llm.store import keep, rows_at_most
 
 BANDS, ROWS = 24, 4
-BLOCK = 1000
 #: Ids of documents whose sets are fetched are broadcast up to this number (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(81)
@@ -55,7 +57,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, s1, s2 (set hash), sig (low halves of the minima) and bands of every row."""
+    """doc_id, n, s1, s2 (set hash), sig (four bits of each minimum) and bands of every row."""
 
     def rows(batches):
         for batch in batches:
@@ -79,7 +81,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         x = mix(x * _A[1] + minima[:, b * ROWS + r])
                     band[:, b] = x
                 sigs = [b""] * len(n)
-                low = (minima & np.uint64(0xFFFF)).astype(np.uint16)
+                low = (minima & np.uint64(15)).astype(np.uint8)
+                low = low[:, 0::2] | (low[:, 1::2] << 4)
                 for q, at in enumerate(full):
                     sigs[at] = low[q].tobytes()
                 ends = np.zeros(len(n) + 1, np.int32)
@@ -93,29 +96,76 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(rows, f"doc_id {kind}, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
-def alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of rows of two signature matrices of which at least a share ``least`` agrees."""
-    out = np.zeros((len(x), len(y)), bool)
-    for i in range(len(x)):
-        out[i] = (x[i] == y).mean(axis=1) >= least
-    return out
+ROW = np.dtype([("bucket", "<u8"), ("rep", "<i8"), ("comp", "<i8"), ("sig", "<u8", (BANDS * ROWS // 16,))])
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the four-bit minima of two signatures differ."""
+    d = x ^ y
+    d |= (d >> np.uint64(1)) | (d >> np.uint64(2)) | (d >> np.uint64(3))
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
 
 
 def loose_bound(percent: int) -> float:
+    """The most differing minima of a pair at the threshold, 4.5 standard deviations allowed."""
     t = percent / 100
-    return t - 4.5 * (t * (1 - t) / (BANDS * ROWS)) ** 0.5
+    t += (1 - t) / 16  # four bits of different minima agree by chance
+    return BANDS * ROWS * (1 - t + 4.5 * (t * (1 - t) / (BANDS * ROWS)) ** 0.5)
 
 
-def same_signature(least: float):
-    """A filter for rows (a, b, sa, sb)."""
+def bucket_pairs(reps: DataFrame, range_bits: int, most: float, first: int | None, star: bool) -> DataFrame:
+    """(a, b), a < b: sets of one bucket whose signatures agree and whose components differ.
 
-    def rows(batches):
+    With ``star`` each set meets the smallest of its bucket only; else all smaller ones, up to ``first``
+    finds if that is given. Buckets are dealt out by ranges of their hash, packed, so that one task
+    handles many of them; only pairs that pass are given out.
+    """
+
+    def deal(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for c in (2, 3))
-            near = np.flatnonzero((x == y).mean(axis=1) >= least) if batch.num_rows else np.zeros(0, np.int64)
-            yield batch.select([0, 1]).take(pa.array(near))
+            rep, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BANDS * ROWS // 16)
+            ends = np.asarray(batch.column(3).offsets)
+            bucket = np.asarray(batch.column(3).values)[ends[0] : ends[-1]].view(np.uint64)
+            part = (bucket >> np.uint64(64 - range_bits)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.repeat(np.arange(len(rep)), np.diff(ends))[order]
+            part = part[order]
+            rows = np.empty(len(part), ROW)
+            rows["bucket"], rows["rep"], rows["comp"], rows["sig"] = bucket[order], rep[at], comp[at], sig[at]
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            stop = np.append(cut[1:], len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([rows[x:y].tobytes() for x, y in zip(cut, stop, strict=True)], pa.binary())], ["range", "rows"])
+
+    def pair(table: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(table.column("rows").to_pylist()), ROW)
+        r = r[np.lexsort((r["rep"], r["bucket"]))]
+        new = np.concatenate([[True], r["bucket"][1:] != r["bucket"][:-1]])
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        mixed = np.minimum.reduceat(r["comp"], starts) != np.maximum.reduceat(r["comp"], starts)
+        begin = starts[group]
+        alive = np.flatnonzero(mixed[group] & (begin < np.arange(len(r))))
+        found = np.zeros(len(r), np.int64)
+        a, b, d = [], [], 0
+        while len(alive):
+            x = begin[alive] + d
+            near = (r["comp"][x] != r["comp"][alive]) & (differing(r["sig"][x], r["sig"][alive]) <= most)
+            a.append(x[near])
+            b.append(alive[near])
+            found[alive[near]] += 1
+            d += 1
+            if star:
+                break
+            alive = alive[begin[alive] + d < alive]
+            if first is not None:
+                alive = alive[found[alive] < first]
+        at = [r["rep"][np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (a, b)]
+        u = np.unique(np.stack(at, 1), axis=0) if len(at[0]) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": u[:, 0], "b": u[:, 1]})
 
-    return rows
+    packed = reps.select(F.col("rep").cast("long"), F.col("comp").cast("long"), "sig", "bands").mapInArrow(deal, "range long, rows binary")
+    return packed.groupBy("range").applyInArrow(pair, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -148,71 +198,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, range_bits: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the id is its component's smallest) of every document."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
     rows = keep(signatures(d, k), "minhash")
     linked = rows.where("n > 0 and doc_id is not null")
     folded = keep(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
     few = F.broadcast(folded) if rows_at_most(folded, BROADCAST_IDS) else folded
-    reps = linked.join(few, ["s1", "s2"]).where("doc_id = rep")
-    sigs = reps.select("rep", "sig")
-    members = reps.select(F.explode("bands").alias("bucket"), "rep")
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket", "a")
-    members = keep(members.join(buckets, "bucket"), "members")
-    least = loose_bound(percent)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the signatures and the exact check."""
-        near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        near = near.select("a", "b", "sa", "sb").mapInArrow(same_signature(least), f"a {kind}, b {kind}").distinct()
-        return confirmed(near, d, k, percent)
-
-    def placed_in(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components of the links so far, and the members of buckets that still hold several of them."""
+    reps = linked.join(few, ["s1", "s2"]).where("doc_id = rep").select("rep", "sig", "bands")
+    most = loose_bound(percent)
+    if range_bits is None:
+        range_bits = min(20, max(6, math.ceil(math.log2(max(1, rows.count()) / 1024 + 1))))
+
+    # First round: each set against the smallest of its buckets; one candidate a set, its smallest.
+    alone = reps.withColumn("comp", F.col("rep"))
+    pairs = bucket_pairs(alone, range_bits, most, None, True)
+    tested = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs1")
+    edges = keep(confirmed(tested, d, k, percent), "links1")
+    # Then, in buckets that hold several components: at most one find a set and bucket, then all pairs.
+    for name, first in (("2", 1), ("3", None)):
         comps = keep(connected_components(edges), "components")
-        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return comps, keep(placed.join(mixed.select("bucket", "size"), "bucket"), "open")
-
-    # First round: each set against the smallest set of all its buckets.
-    pairs = keep(members.groupBy("rep").agg(F.min("a").alias("a")).where("a <> rep").select("a", F.col("rep").alias("b")), "pairs1")
-    edges, tested = keep(confirm(pairs), "links1"), pairs
-    # Second round: in buckets of several components, each set against the smallest of each bucket.
-    comps, opened = placed_in(edges)
-    heads = opened.where("rep = a").select("bucket", F.col("component").alias("head")).distinct()
-    star = opened.where("rep <> a").join(heads, "bucket").where("head <> component").select("a", F.col("rep").alias("b")).distinct()
-    pairs = keep(star.join(tested, ["a", "b"], "left_anti"), "pairs2")
-    edges, tested = keep(edges.union(confirm(pairs)), "links2"), keep(tested.union(pairs), "tested")
-    # Third round: what shares a bucket but no component, block against block.
-    comps, opened = placed_in(edges)
-    open_rows = opened.join(sigs.dropDuplicates(["rep"]), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = open_rows.withColumn("blocks", blocks).withColumn("own", own).select("bucket", "rep", "sig", "component", "own", other.alias("other"))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def pair_up(table: pa.Table) -> pa.Table:
-        rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        x = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-        p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        near = alike(x[p], x[q], least) & (comp[p][:, None] != comp[q][None, :])
-        a, b = np.nonzero(near)
-        a, b = rep[p[a]], rep[q[b]]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        u = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": u[:, 0], "b": u[:, 1]})
-
-    more = dealt.groupBy("bucket", "i", "j").applyInArrow(pair_up, f"a {kind}, b {kind}").distinct()
-    more = more.join(tested, ["a", "b"], "left_anti")
-    edges2 = keep(confirmed(more, d, k, percent), "links3")
+        placed = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        pairs = bucket_pairs(placed, range_bits, most, first, False).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = keep(pairs, f"pairs{name}")
+        edges, tested = keep(edges.union(confirmed(pairs, d, k, percent)), f"links{name}"), keep(tested.union(pairs), "tested")
 
     copies = linked.join(folded, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    all_edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges2.select("a", "b")).union(copies)
-    final = connected_components(all_edges)
+    final = connected_components(edges.select("a", "b").union(copies))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, kernel, line_dedup, near_dedup, pii, substring_dedup
+from plumbline.llm import chat_format, kernel, line_dedup, pii, substring_dedup
 from plumbline.llm.chat_format import repair_roles
 from plumbline.llm.components import connected_components
 from plumbline.llm.decontaminate import decontaminate
@@ -181,9 +181,8 @@ def test_op7_costs_are_least_and_rendering_is_undone(spark):
             assert said == "".join((x[2] or "") for x in data[c])
 
 
-def test_op8_against_all_pairs(docs, monkeypatch):
-    for k, block in ((4, 1000), (5, 2)):
-        monkeypatch.setattr(near_dedup, "BLOCK", block)
+def test_op8_against_all_pairs(docs):
+    for k in (4, 5):
         want = brute.groups(CORPUS, k)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, k=k).collect()} == want
     assert len({c for _, c in want.values()}) < len(want) - 10
