@@ -7,8 +7,8 @@
    found. Only buckets that still hold several components go on: a second round looks for one similar
    set of another component for each set and bucket, and a third compares all sets that share a
    bucket but not a component, so no link is lost. Buckets travel packed, by ranges of their hash, at
-   72 bytes a set, and give out only pairs whose signatures agree.
-3. The signature check is loose (4.5 standard deviations below the threshold); a pair is then confirmed
+   120 bytes a set, and give out only pairs whose signatures agree.
+3. The signature check is loose (four standard deviations below the threshold); a pair is then confirmed
    by the exact Jaccard similarity of the full sets.
 4. Components come from alternating large-star and small-star.
 
@@ -57,7 +57,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, s1, s2 (set hash), sig (four bits of each minimum) and bands of every row."""
+    """doc_id, n, s1, s2 (set hash), sig (eight bits of each minimum) and bands of every row."""
 
     def rows(batches):
         for batch in batches:
@@ -81,8 +81,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         x = mix(x * _A[1] + minima[:, b * ROWS + r])
                     band[:, b] = x
                 sigs = [b""] * len(n)
-                low = (minima & np.uint64(15)).astype(np.uint8)
-                low = low[:, 0::2] | (low[:, 1::2] << 4)
+                low = (minima & np.uint64(255)).astype(np.uint8)
                 for q, at in enumerate(full):
                     sigs[at] = low[q].tobytes()
                 ends = np.zeros(len(n) + 1, np.int32)
@@ -96,21 +95,23 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(rows, f"doc_id {kind}, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
-ROW = np.dtype([("bucket", "<u8"), ("rep", "<i8"), ("comp", "<i8"), ("sig", "<u8", (BANDS * ROWS // 16,))])
+ROW = np.dtype([("bucket", "<u8"), ("rep", "<i8"), ("comp", "<i8"), ("sig", "<u8", (BANDS * ROWS // 8,))])
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many of the four-bit minima of two signatures differ."""
+    """How many of the eight-bit minima of two signatures differ."""
     d = x ^ y
-    d |= (d >> np.uint64(1)) | (d >> np.uint64(2)) | (d >> np.uint64(3))
-    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
+    d |= d >> np.uint64(4)
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return np.bitwise_count(d & np.uint64(0x0101010101010101)).sum(axis=1)
 
 
 def loose_bound(percent: int) -> float:
-    """The most differing minima of a pair at the threshold, 4.5 standard deviations allowed."""
+    """The most differing minima of a pair at the threshold, four standard deviations allowed."""
     t = percent / 100
-    t += (1 - t) / 16  # four bits of different minima agree by chance
-    return BANDS * ROWS * (1 - t + 4.5 * (t * (1 - t) / (BANDS * ROWS)) ** 0.5)
+    t += (1 - t) / 256  # eight bits of different minima agree by chance
+    return BANDS * ROWS * (1 - t + 4 * (t * (1 - t) / (BANDS * ROWS)) ** 0.5)
 
 
 def bucket_pairs(reps: DataFrame, range_bits: int, most: float, first: int | None, star: bool) -> DataFrame:
@@ -124,7 +125,7 @@ def bucket_pairs(reps: DataFrame, range_bits: int, most: float, first: int | Non
     def deal(batches):
         for batch in batches:
             rep, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BANDS * ROWS // 16)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BANDS * ROWS // 8)
             ends = np.asarray(batch.column(3).offsets)
             bucket = np.asarray(batch.column(3).values)[ends[0] : ends[-1]].view(np.uint64)
             part = (bucket >> np.uint64(64 - range_bits)).astype(np.int64)
