@@ -44,7 +44,8 @@ def nfkc(text: Column) -> Column:
 
 
 def _count(text: Column, cls: str) -> Column:
-    return F.regexp_count(text, F.lit(cls))
+    # Lengths, as counting matches would make an array of them first.
+    return F.length(text) - F.length(F.regexp_replace(text, f"{cls}+", ""))
 
 
 def _if_minor(text: Column, original: Column, cls: str, pair: tuple[str, str]) -> Column:
