@@ -8,7 +8,8 @@ ordered by rarity (hashed word counts of the corpus, a table of fixed size), and
 dealt out by word: two sets that are similar enough share a word of their prefixes. Rows that share
 a word become a candidate pair if their sizes, the word's positions and a parity sketch of the set (which
 differs in at most as many bits as the sets differ in words; larger sets have larger ones) allow the similarity; candidates are
-verified on the full sets. Each row first meets only the ``FIRST`` earliest candidates of each word, so
+verified on the full sets. Rows are numbered by place (id, text hash, line), so a row meets earlier lines only.
+Each row first meets only the ``FIRST`` earliest candidates of each word, so
 many near copies of a line cost a few comparisons each; rows with more candidates of which none was
 confirmed then meet all of theirs. Words of very high count are dealt in pairs of blocks.
 
@@ -34,8 +35,6 @@ HOT_WORD = 50_000
 BROADCAST_DOCS = 200_000
 BROADCAST_WORDS = 500_000
 ROW = np.dtype([("word", "<u4"), ("rid", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("bits", "<u8"), ("open", "u1")])
-#: The second round also knows the document, so that a row is compared with earlier ones only.
-ROW2 = np.dtype([*ROW.descr, ("doc", "<i8")])
 #: Sketch sizes in 64-bit words, for sets of fewer words than given; a sketch folds into a smaller one by xor.
 SKETCHES = ((96, 1), (192, 2), (448, 4), (1 << 62, 32))
 
@@ -175,14 +174,12 @@ def possible(r: np.ndarray, wide: dict[int, np.ndarray], width: np.ndarray, x: n
 
 
 def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, every: bool, wanted=None) -> DataFrame:
-    """(b, a, more): rows that share a prefix word and may be similar, a before b.
+    """(b, a, more): rows that share a prefix word and may be similar, a before b (rids are in order of place).
 
-    With ``every`` all candidates of rows marked open are given, else the ``FIRST`` of each row and word;
-    ``more`` says that the row has others. ``wanted`` may hold the only words to deal out.
+    With ``every`` all earlier candidates of rows b marked open are given, else the ``FIRST`` of each row
+    and word; ``more`` says that b has others. ``wanted`` may hold the only words to deal out.
     """
 
-    kind = ROW2 if every else ROW
-
     def deal(batches):
         only = wanted.value if wanted is not None else None
         for batch in batches:
@@ -205,9 +202,7 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
             part = (key >> np.uint64(64 - range_bits)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             at, part = at[copies][order], part[order]
-            rows = np.empty(len(at), kind)
-            if every:
-                rows["doc"] = batch.column(6).to_numpy(zero_copy_only=False)[at]
+            rows = np.empty(len(at), ROW)
             rows["word"] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
             rows["rid"], rows["n"], rows["bits"], rows["open"] = rid[at], n[at], bits[at].view(np.uint64), opened[at]
             rows["pos"] = np.minimum(pos[copies][order], 0xFFFF)
@@ -220,7 +215,7 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
             )
 
     def pair(table: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(table.column("rows").to_pylist()), kind)
+        r = np.frombuffer(b"".join(table.column("rows").to_pylist()), ROW)
         width = sketch_words(r["n"])
         wide = folded(r, width, np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64))
         # Sets of sizes that can be similar lie in one class of sizes or in neighbouring ones.
@@ -231,17 +226,21 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
         found = np.zeros(len(r), np.int64)
         last = np.full(len(r), -1, np.int64)
         a, b = [], []
-        lower = key - np.uint64(1)
-        spans = ((np.searchsorted(key, key), np.arange(len(r))), (np.searchsorted(key, lower), np.searchsorted(key, lower, "right")))
-        for begin, stop in spans:
+        # Groups of one key and the rows' ranks by rid, as one ascending number: it finds the earlier rows of any group.
+        keys, group = np.unique(key, return_inverse=True)
+        rids, rank = np.unique(r["rid"], return_inverse=True)
+        place = group * len(rids) + rank
+        asked = r["open"] > 0 if every else np.ones(len(r), bool)
+        for step in (0, -1, 1):
+            near = key + np.int64(step).astype(np.uint64)
+            other = np.minimum(np.searchsorted(keys, near), len(keys) - 1)
+            begin = np.searchsorted(place, other * len(rids))
+            stop = np.where(keys[other] == near, np.searchsorted(place, other * len(rids) + rank), 0)
             # Step d compares each row with the d-th of the span; rows are dropped once they have enough.
-            alive, d = np.flatnonzero((begin < stop) & (every | (found <= FIRST))), 0
+            alive, d = np.flatnonzero((begin < stop) & asked & (every | (found <= FIRST))), 0
             while len(alive):
                 x = begin[alive] + d
-                ok = possible(r, wide, width, x, alive, percent) & (r["rid"][x] != r["rid"][alive])
-                if every:
-                    dx, dy = r["doc"][x], r["doc"][alive]
-                    ok &= ((r["open"][alive] > 0) & (dx <= dy)) | ((r["open"][x] > 0) & (dy <= dx))
+                ok = possible(r, wide, width, x, alive, percent)
                 hit, src = alive[ok], x[ok]
                 room = np.ones(len(hit), bool) if every else found[hit] < FIRST
                 a.append(src[room])
@@ -253,12 +252,7 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"b": r["rid"][b], "a": r["rid"][a], "more": last[b] > 0})
 
-    cols = ["rid", "n", "bits", "wide", "prefix", "open"]
-    if every:
-        whole = sets.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.lit(0).cast("long")
-        cols.append(doc.alias("doc"))
-    packed = sets.select(*cols).mapInArrow(deal, "range long, rows binary, wide binary")
+    packed = sets.select("rid", "n", "bits", "wide", "prefix", "open").mapInArrow(deal, "range long, rows binary, wide binary")
     pairs = packed.groupBy("range").applyInArrow(pair, "b long, a long, more boolean")
     return pairs.groupBy("b", "a").agg(F.max("more").alias("more"))
 
@@ -304,17 +298,13 @@ def confirmed_lines(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent:
 
 def removed_sets(sets: DataFrame, docs: DataFrame, shared, percent: int, range_bits: int) -> DataFrame:
     """(rid) of the sets whose earliest line has an earlier line that is similar."""
-    place = sets.select("rid", F.struct("doc_id", "th", "line").alias("place"))
 
     def later(pairs: DataFrame) -> DataFrame:
-        ok = keep(confirmed_lines(pairs, sets, docs, percent).where("ok"), "similar").select("b", "a")
-        both = ok.join(place.withColumnRenamed("rid", "b").withColumnRenamed("place", "pb"), "b").join(place.withColumnRenamed("rid", "a").withColumnRenamed("place", "pa"), "a")
-        before = F.coalesce(F.col("pa") < F.col("pb"), F.lit(False))
-        return both.select(F.when(before, F.col("b")).otherwise(F.col("a")).alias("rid")).distinct()
+        return keep(confirmed_lines(pairs, sets, docs, percent).where("ok"), "similar").select(F.col("b").alias("rid")).distinct()
 
     pairs = keep(candidate_pairs(sets.withColumn("open", F.lit(0).cast("byte")), shared, percent, range_bits, False), "candidates")
     gone = keep(later(pairs), "gone")
-    # Rows that had more candidates than were tried, and are still there, meet all of them.
+    # Rows that had more candidates than were tried, and are still there, meet all of them: all of these are earlier rows.
     rest = keep(pairs.where("more").select(F.col("b").alias("rid")).distinct().join(gone, "rid", "left_anti"), "rest")
     if rest.count():
         marked = sets.join(rest.withColumn("o", F.lit(1)), "rid", "left").withColumn("open", F.coalesce("o", F.lit(0)).cast("byte"))
@@ -335,11 +325,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         range_bits = min(20, max(6, int(np.ceil(np.log2(max(1, docs.count()) / 512 + 1)))))
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(d))
     lines = keep(line_table(d, shared, percent).withColumn("rid", F.monotonically_increasing_id()), "lines")
-    first = F.min(F.struct("doc_id", "th", "line", "rid", "n", "bits", "wide", "prefix")).alias("x")
-    sets = keep(lines.groupBy("s1", "s2").agg(first, F.count("*").alias("copies")).select("x.*", "s1", "s2", "copies"), "sets")
+    first = F.min(F.struct("doc_id", "th", "line", F.col("rid").alias("first"), "n", "bits", "wide", "prefix")).alias("x")
+    sets = lines.groupBy("s1", "s2").agg(first, F.count("*").alias("copies")).select("x.*", "s1", "s2", "copies")
+    # In order of place, so that a smaller rid is an earlier line.
+    sets = keep(sets.orderBy("doc_id", "th", "line").withColumn("rid", F.monotonically_increasing_id()), "sets")
     gone = removed_sets(sets, d, shared, percent, range_bits)
-    touched = sets.select("rid", "s1", "s2", "copies").join(gone.withColumn("gone", F.lit(True)), "rid", "left").where("copies > 1 or gone")
-    touched = touched.select("s1", "s2", F.col("rid").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    touched = sets.select("rid", "first", "s1", "s2", "copies").join(gone.withColumn("gone", F.lit(True)), "rid", "left").where("copies > 1 or gone")
+    touched = touched.select("s1", "s2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = lines.select("doc_id", "th", "line", "rid", "s1", "s2").join(touched, ["s1", "s2"]).where("gone or rid <> first")
     per_doc = keep(out.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("numbers")), "removed")
     small = rows_at_most(per_doc, BROADCAST_DOCS)

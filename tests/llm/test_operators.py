@@ -125,6 +125,23 @@ def test_op5_against_all_pairs_and_in_small_steps(docs, monkeypatch):
             assert r.text == want and r.line_dedup_lines == sum(bool(brute.words(x)) for x in (text or "").split("\n"))
 
 
+@pytest.mark.parametrize("order", ["as given", "reversed", "shuffled"])
+def test_op5_later_lines_of_neighbouring_sizes(spark, order):
+    rnd = random.Random(5)
+    line = [f"w{i}" for i in range(23)]
+    # Shorter and longer versions of document 1; few of them are alike among themselves.
+    rows = [(1, " ".join(line))]
+    for i in range(2, 62):
+        left = sorted(set(line) - set(rnd.sample(line, 3 if i < 32 else 1)))
+        rows.append((i, " ".join(left + [f"n{i}x{j}" for j in range(2 if i < 32 else 4)])))
+    gone = brute.removed_lines(rows)
+    assert sorted(gone) == list(range(2, 62))
+    if order != "as given":
+        rows = rows[::-1] if order == "reversed" else rnd.sample(rows, len(rows))
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string")
+    assert {r.doc_id for r in dedup_lines(d).collect() if r.line_dedup_removed} == set(gone)
+
+
 def test_op6_against_all_windows_and_in_small_shards(docs, monkeypatch):
     for window, hot, shard in ((35, 50_000, 400_000), (35, 1, 500), (12, 10**9, 300)):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
