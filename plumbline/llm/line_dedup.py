@@ -13,8 +13,9 @@ Each row first meets only the ``FIRST`` earliest candidates of each word, so
 many near copies of a line cost a few comparisons each; rows with more candidates of which none was
 confirmed then meet all of theirs. Words of very high count are dealt in pairs of blocks.
 
-Defined cases: lines without a word, null and empty texts are left alone; repeated rows with one id
-are compared by line number like any others; an empty table stays empty. Columns other than the named
+Defined cases: lines without a word, null and empty texts are left alone; rows with one id are compared
+by text hash and line number like any others; of rows that repeat id and text one is the first, whichever
+it is, and the others lose all lines with words; an empty table stays empty. Columns other than the named
 ones are kept as they are; added columns start with ``line_dedup_``.
 """
 
@@ -124,7 +125,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, shared, percent: int) -> DataFrame:
-    """One row a line with words: doc_id, th, line, set hash s1 s2, size n, parity sketches, prefix words (32 bits of
+    """One row a line with words: doc_id, th, line, whether it is its row's first, set hash s1 s2, size n, parity sketches, prefix words (32 bits of
     their hashes: rows that share a key by chance are only a needless candidate)."""
 
     def rows(batches):
@@ -144,14 +145,15 @@ def line_table(docs: DataFrame, shared, percent: int) -> DataFrame:
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (u & np.uint64(63)), at) if len(at) else u[:0]
                 where = pa.array(row[full] + i)
                 keys = pa.array((u[take] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                head = np.diff(row[full], prepend=-1) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(number[full].astype(np.int32)), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(size.astype(np.int32)), pa.array(signed(bits)),
+                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(number[full].astype(np.int32)), pa.array(head), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(size.astype(np.int32)), pa.array(signed(bits)),
                      pa.array(wide_sketches(u, at, size), pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), keys)],
-                    ["doc_id", "th", "line", "s1", "s2", "n", "bits", "wide", "prefix"],
+                    ["doc_id", "th", "line", "head", "s1", "s2", "n", "bits", "wide", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"doc_id {kind}, th long, line int, s1 long, s2 long, n int, bits long, wide binary, prefix array<int>")
+    return docs.mapInArrow(rows, f"doc_id {kind}, th long, line int, head boolean, s1 long, s2 long, n int, bits long, wide binary, prefix array<int>")
 
 
 def bit_count(x: np.ndarray) -> np.ndarray:
@@ -316,6 +318,24 @@ def removed_sets(sets: DataFrame, docs: DataFrame, shared, percent: int, range_b
     return gone
 
 
+def with_copies(named: DataFrame, lines: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``named`` with __copy (0 for one row of each id and text, 1 for further ones), and the kept table
+    (doc_id, th) of the ids and texts that repeat."""
+    again = lines.where("head").groupBy("doc_id", "th").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = keep(again.select("doc_id", "th"), "again")
+    n_again = again.count()
+    if not n_again:
+        return named.withColumn("__copy", F.lit(0)), again
+    n, a = named.alias("n"), (F.broadcast(again) if n_again <= BROADCAST_DOCS else again).alias("a")
+    cond = same(F.col(f"n.{id_col}"), F.col("a.doc_id")) & (F.col("n.__th") == F.col("a.th"))
+    # The rows are written with their numbers, so that the choice of the first one holds.
+    repeats = keep(n.join(a, cond, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "repeats")
+    first = keep(repeats.groupBy(id_col, "__th").agg(F.min("__row").alias("__row")).select("__row"), "first_rows")
+    first = F.broadcast(first) if n_again <= BROADCAST_DOCS else first
+    marked = repeats.join(first.withColumn("__copy", F.lit(0)), "__row", "left").withColumn("__copy", F.coalesce("__copy", F.lit(1)))
+    return n.join(a, cond, "left_anti").withColumn("__copy", F.lit(0)).unionByName(marked.drop("__row")), again
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, range_bits: int | None = None) -> DataFrame:
     """``docs`` with the later of similar lines taken out of the text, and three columns:
     line_dedup_lines (lines with words), line_dedup_removed (how many went), line_dedup_numbers (which)."""
@@ -324,19 +344,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if range_bits is None:
         range_bits = min(20, max(6, int(np.ceil(np.log2(max(1, docs.count()) / 512 + 1)))))
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(d))
-    lines = keep(line_table(d, shared, percent).withColumn("rid", F.monotonically_increasing_id()), "lines")
-    first = F.min(F.struct("doc_id", "th", "line", F.col("rid").alias("first"), "n", "bits", "wide", "prefix")).alias("x")
+    lines = keep(line_table(d, shared, percent), "lines")
+    first = F.min(F.struct("doc_id", "th", "line", "n", "bits", "wide", "prefix")).alias("x")
     sets = lines.groupBy("s1", "s2").agg(first, F.count("*").alias("copies")).select("x.*", "s1", "s2", "copies")
     # In order of place, so that a smaller rid is an earlier line.
     sets = keep(sets.orderBy("doc_id", "th", "line").withColumn("rid", F.monotonically_increasing_id()), "sets")
     gone = removed_sets(sets, d, shared, percent, range_bits)
-    touched = sets.select("rid", "first", "s1", "s2", "copies").join(gone.withColumn("gone", F.lit(True)), "rid", "left").where("copies > 1 or gone")
-    touched = touched.select("s1", "s2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = lines.select("doc_id", "th", "line", "rid", "s1", "s2").join(touched, ["s1", "s2"]).where("gone or rid <> first")
-    per_doc = keep(out.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("numbers")), "removed")
+    touched = sets.join(gone.withColumn("gone", F.lit(True)), "rid", "left").where("copies > 1 or gone")
+    touched = touched.select("s1", "s2", F.struct("doc_id", "th", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    numbers = F.array_sort(F.collect_set("line")).alias("numbers")
+    # The lines of all rows of the first place share its fate; further rows of a place lose theirs anyway.
+    elsewhere = ~same(F.struct("doc_id", "th", "line"), F.col("first"))
+    out = lines.select("doc_id", "th", "line", "s1", "s2").join(touched, ["s1", "s2"]).where(F.col("gone") | elsewhere)
+    per_doc = out.groupBy("doc_id", "th").agg(numbers).withColumn("copy", F.lit(0))
+    named, again = with_copies(named, lines, id_col)
+    if again.count():
+        x, y = lines.alias("x"), again.alias("y")
+        every = x.join(y, same(F.col("x.doc_id"), F.col("y.doc_id")) & (F.col("x.th") == F.col("y.th")), "left_semi")
+        per_doc = per_doc.unionByName(every.groupBy("doc_id", "th").agg(numbers).withColumn("copy", F.lit(1)))
+    per_doc = keep(per_doc, "removed")
     small = rows_at_most(per_doc, BROADCAST_DOCS)
     n, r = named.alias("n"), (F.broadcast(per_doc) if small else per_doc).alias("r")
-    both = n.join(r, same(F.col(f"n.{id_col}"), F.col("r.doc_id")) & (F.col("n.__th") == F.col("r.th")), "left")
+    both = n.join(r, same(F.col(f"n.{id_col}"), F.col("r.doc_id")) & (F.col("n.__th") == F.col("r.th")) & (F.col("n.__copy") == F.col("r.copy")), "left")
     text = F.col(f"n.{text_col}")
     parts = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("r.numbers", lambda x: x.cast("int")))

@@ -142,6 +142,17 @@ def test_op5_later_lines_of_neighbouring_sizes(spark, order):
     assert {r.doc_id for r in dedup_lines(d).collect() if r.line_dedup_removed} == set(gone)
 
 
+def test_op5_one_copy_of_repeated_rows_stays(spark):
+    text = "some words of a line\n\nother things said there\nlast one"
+    rows = [(1, text)] * 3 + [(1, "a text under the same id"), (2, "before the\nothers"), (3, text + "\nand this is new"), (None, "no id here")] + [(None, "no id here")]
+    got = dedup_lines(spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.text for r in got if r.doc_id == 1) == sorted(["", "", "a text under the same id", text])
+    assert sorted(r.line_dedup_numbers for r in got if r.doc_id == 1) == ["", "", "0,2,3", "0,2,3"]
+    assert sorted(r.text for r in got if r.doc_id is None) == ["", "no id here"]
+    assert [r.text for r in got if r.doc_id == 3] == ["\nand this is new"] and [r.text for r in got if r.doc_id == 2] == ["before the\nothers"]
+
+
 def test_op6_against_all_windows_and_in_small_shards(docs, monkeypatch):
     for window, hot, shard in ((35, 50_000, 400_000), (35, 1, 500), (12, 10**9, 300)):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
