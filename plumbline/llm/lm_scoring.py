@@ -5,10 +5,11 @@ a gram of level q is put into a Bloom filter q times, once with each level 1..q;
 1, 2, ... until a probe fails gives the quantised count back. The filter is made of one segment for
 each range of hash values, so every segment is built by one task from its own grams, with no merging.
 Probability of word w after v: ``mixed * c(v, w) / c(v) + (1 - mixed) * (c(w) + 1) / (N + V + 1)``.
-Two-word grams seen once are left to the one-word part (``min_pair``).
+Two-word grams count from ``min_pair`` occurrences on.
 
-The filter is broadcast if it has at most ``max_filter_bytes``. Beyond that the same quantised counts
-are joined to the grams of each document by shuffle instead (there are then no false positives).
+The filter is broadcast if it has at most ``max_filter_bytes``. Beyond that the distinct grams of each
+``CHUNK`` documents are dealt out by hash range, every range probes its own segment, and the levels found
+go back to the chunk. Answers, false positives included, are the same either way.
 
 The base score needs exact counts: words of the most frequent levels, at most ``max_dictionary`` of
 them, are broadcast; the rest, all rare by construction, are joined by shuffle.
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.kernel import mix, pieces, signed, span_hashes, word_bounds
-from plumbline.llm.store import keep, same
+from plumbline.llm.store import keep
 
 END = np.uint64(0x5E17D0CE57A11EAD)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1B54A32D192ED03)
 BITS_PER_ENTRY, PROBES = 10, 7
+#: Documents whose grams are dealt out together if the filter is too large to broadcast.
+CHUNK = 128
 
 
 def doc_tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,10 +92,12 @@ class Filter:
         self.offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.data = np.frombuffer(b"".join(segments.get(i, b"\0") for i in range(n)), np.uint8)
 
-    def level(self, h: np.ndarray) -> np.ndarray:
+    def level(self, h: np.ndarray, seg: np.ndarray | None = None) -> np.ndarray:
+        """Levels of hashes, in the segments of their ranges unless ``seg`` names others."""
         out = np.zeros(len(h), np.int64)
         alive = np.arange(len(h))
-        seg = (h >> self.shift).astype(np.int64)
+        if seg is None:
+            seg = (h >> self.shift).astype(np.int64)
         for level in range(1, 64):
             at = h[alive]
             bits, off = self.bits[seg[alive]], self.offsets[seg[alive]]
@@ -210,34 +215,69 @@ def token_log(c1: np.ndarray, c2: np.ndarray, cw: np.ndarray, n: int, v: int, mi
     return np.log10(np.where(c1 > 0, mixed * pair + (1 - mixed) * alone, alone))
 
 
-def joined_scores(docs: DataFrame, tables: DataFrame, n: int, v: int, mixed: float) -> DataFrame:
-    """(doc_id, th, score) by joining quantised counts to the distinct pairs of each document."""
+def piece_scores(tokens: np.ndarray, before: np.ndarray, starts: np.ndarray, level_of, n: int, v: int, mixed: float) -> np.ndarray:
+    """Score of each row; ``level_of`` gives the levels of hashes."""
+    u, back = np.unique(tokens, return_inverse=True)
+    cw = level_values(level_of(u))
+    ends_c = float(level_values(level_of(np.array([END])))[0])
+    history = np.where(before == END, ends_c, 0.0)
+    inner = before != END
+    history[inner] = cw[back[np.flatnonzero(inner) - 1]]
+    pu, pback = np.unique(pair_hashes(before, tokens), return_inverse=True)
+    c2 = level_values(level_of(pu))[pback]
+    return np.add.reduceat(token_log(history, c2, cw[back], n, v, mixed), starts[:-1])
 
-    def pairs(batches):
+
+def dealt_scores(docs: DataFrame, tables: DataFrame, range_bits: int, n: int, v: int, mixed: float) -> DataFrame:
+    """(rid, score) of a kept table (rid, text), with every segment of the filter probed by the task of its range."""
+    chunks = docs.select(F.floor(F.col("rid") / CHUNK).cast("long").alias("chunk"), "rid", "text")
+
+    def ask(batches):
         for batch in batches:
-            column = batch.column(2)
-            for i, j, buf, offs in pieces(column):
-                tokens, before, starts = doc_tokens(buf, offs)
-                row = np.repeat(np.arange(j - i), np.diff(starts))
-                order = np.lexsort((tokens, before, row))
-                r, b, t = row[order], before[order], tokens[order]
-                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])]))
-                at = pa.array(r[new] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(signed(b[new])), pa.array(signed(t[new])), pa.array(signed(pair_hashes(b[new], t[new]))), pa.array(np.diff(np.append(new, len(r))))],
-                    ["doc_id", "th", "v", "w", "p", "tf"],
-                )
+            ids = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for _, _, buf, offs in pieces(batch.column(1).slice(lo, hi - lo)):
+                    tokens, before, _ = doc_tokens(buf, offs)
+                    h = np.unique(np.concatenate([tokens, pair_hashes(before, tokens)]))
+                    part = (h >> np.uint64(64 - range_bits)).astype(np.int64)
+                    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    stop = np.append(cut[1:], len(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part[cut]), pa.array(np.full(len(cut), ids[lo])), pa.array([h[x:y].tobytes() for x, y in zip(cut, stop, strict=True)], pa.binary())],
+                        ["range", "chunk", "h"],
+                    )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "th", "text").mapInArrow(pairs, f"doc_id {kind}, th long, v long, w long, p long, tf long").dropDuplicates(["doc_id", "th", "v", "w"])
-    q = F.floor(F.log2(F.col("c"))) + 1
-    value = F.when(F.col("c").isNull(), 0.0).when(q <= 1, 1.0).otherwise(1.5 * F.pow(F.lit(2.0), q - 1) - 0.5)
-    w, p = unpacked(tables, "wh", "wc"), unpacked(tables, "ph", "pc")
-    for name, counts in (("v", w), ("w", w), ("p", p)):
-        rows = rows.join(counts.withColumnRenamed("h", name), name, "left").withColumn(f"c_{name}", value).drop("c")
-    alone = (F.col("c_w") + 1) / float(n + v + 1)
-    both = mixed * F.least("c_p", "c_v") / F.greatest(F.col("c_v"), F.lit(1.0)) + (1 - mixed) * alone
-    return rows.groupBy("doc_id", "th").agg(F.sum(F.col("tf") * F.log10(F.when(F.col("c_v") > 0, both).otherwise(alone))).alias("score"))
+    def probe(asked: pa.Table, segments: pa.Table) -> pa.Table:
+        found = Filter({i: x for i, x in enumerate(segments.column("segment").to_pylist())}, 0)
+        hashes = [np.frombuffer(x, np.uint64) for x in asked.column("h").to_pylist()]
+        if not hashes:
+            return pa.table({"chunk": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "q": pa.array([], pa.binary())})
+        h = np.concatenate(hashes)
+        q = found.level(h, np.zeros(len(h), np.int64))
+        ends = np.cumsum([len(x) for x in hashes])
+        hs, qs = [], []
+        for x, y in zip(hashes, np.split(q, ends[:-1]), strict=True):
+            hs.append(x[y > 0].tobytes())
+            qs.append(y[y > 0].astype(np.uint8).tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "h": pa.array(hs, pa.binary()), "q": pa.array(qs, pa.binary())})
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(answers.column("h").to_pylist()), np.uint64)
+        q = np.frombuffer(b"".join(answers.column("q").to_pylist()), np.uint8).astype(np.int64)
+        h, first = np.unique(h, return_index=True)
+        q = q[first]
+
+        def level_of(x):
+            at = np.minimum(np.searchsorted(h, x), max(0, len(h) - 1))
+            return np.where(h[at] == x, q[at], 0) if len(h) else np.zeros(len(x), np.int64)
+
+        out = [piece_scores(*doc_tokens(buf, offs), level_of, n, v, mixed) for _, _, buf, offs in pieces(rows.column("text"))]
+        return pa.table({"rid": rows.column("rid"), "score": pa.array(np.concatenate(out) if out else np.zeros(0))})
+
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "range long, chunk long, h binary")
+    answers = asked.groupBy("range").cogroup(tables.select("range", "segment").groupBy("range")).applyInArrow(probe, "chunk long, h binary, q binary")
+    return chunks.groupBy("chunk").cogroup(answers.where(F.length("h") > 0).groupBy("chunk")).applyInArrow(score, "rid long, score double")
 
 
 def lm_scores(
@@ -247,7 +287,7 @@ def lm_scores(
     folds: int = 7,
     held_out_fold: int = 2,
     mixed: float = 0.25,
-    min_pair: int = 2,
+    min_pair: int = 1,
     max_dictionary: int = 1_000_000,
     max_filter_bytes: int = 128 << 20,
     range_bits: int | None = None,
@@ -291,30 +331,23 @@ def lm_scores(
                 if filt is None:
                     out["score"].append(np.zeros(len(starts) - 1))
                     continue
-                cw = level_values(filt.level(u))
-                ends_c = float(level_values(filt.level(np.array([END])))[0])
-                history = np.where(before == END, ends_c, 0.0)
-                inner = before != END
-                history[inner] = cw[back[np.flatnonzero(inner) - 1]]
-                pu, pback = np.unique(pair_hashes(before, tokens), return_inverse=True)
-                c2 = level_values(filt.level(pu))[pback]
-                out["score"].append(np.add.reduceat(token_log(history, c2, cw[back], n, v, mixed), starts[:-1]))
+                out["score"].append(piece_scores(tokens, before, starts, filt.level, n, v, mixed))
             if out["n_tokens"]:
+                text = batch.column(2) if filt is None else pa.nulls(batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(3), *[pa.array(np.concatenate(out[x])) for x in ("n_tokens", "n_known", "log", "score")], pa.concat_arrays(out["rare"])],
-                    ["doc_id", "held_out", "th", "n_tokens", "n_known", "log", "score", "rare"],
+                    [batch.column(0), batch.column(1), batch.column(3), text, *[pa.array(np.concatenate(out[x])) for x in ("n_tokens", "n_known", "log", "score")], pa.concat_arrays(out["rare"])],
+                    ["doc_id", "held_out", "th", "text", "n_tokens", "n_known", "log", "score", "rare"],
                 )
 
     kind = d.schema["doc_id"].dataType.simpleString()
     with_hash = d.select("doc_id", "held_out", "text", F.xxhash64("text").alias("th"))
-    first = with_hash.mapInArrow(score, f"doc_id {kind}, held_out boolean, th long, n_tokens long, n_known long, log double, score double, rare array<long>")
+    first = with_hash.mapInArrow(score, f"doc_id {kind}, held_out boolean, th long, text string, n_tokens long, n_known long, log double, score double, rare array<long>")
     first = keep(first.withColumn("rid", F.monotonically_increasing_id()), "scores")
     rare = first.select("rid", F.explode("rare").alias("h")).join(unpacked(tables, "wh", "wc", least), "h")
     rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"), F.count("*").alias("rare_known"))
-    out = first.drop("rare").join(rare, "rid", "left")
+    out = first.drop("rare", "text").join(rare, "rid", "left")
     if not small:
-        by_join = joined_scores(with_hash, tables, n, v, mixed)
-        out = out.drop("score").alias("o").join(by_join.alias("j"), same(F.col("o.doc_id"), F.col("j.doc_id")) & (F.col("o.th") == F.col("j.th"))).select("o.*", "j.score")
+        out = out.drop("score").join(dealt_scores(first.select("rid", "text"), tables, range_bits, n, v, mixed), "rid")
     total = F.col("log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
