@@ -6,19 +6,27 @@ letter runs, single marks) is a candidate segment of each kind; features of the
 score, and dynamic programming over the atoms picks boundaries and kinds together. Its segments are
 added where they meet no base span, so the base spans always stay.
 
-The weights are trained here, by averaged structured perceptron on a bounded sample of at most
-``max_islands`` islands (those with the smallest hashes) whose base spans, and rewritten forms of
-them, are the truth. The work of a text is linear in its length.
-
-Defined cases: a null or empty text has no spans; repeated rows each get a result; an empty table gives
-an empty result. Positions are code points, the end exclusive.
+The weights are trained here, by the likelihood of the field: forward and backward sums over all
+segmentations give the expected features of an island, and ``EPOCHS`` passes of gradient steps bring them
+to those of the truth, with a small quadratic penalty. The truth is the base spans, and rewritten forms of
+them, of a bounded sample: at most ``max_islands`` different islands, those with the smallest hashes. The
+work of a text is linear in its length.
+
+Defined cases: a null or empty text has no spans; repeated rows each get a result; words of any length
+are read whole; among segmentations of equal score that with the earlier end of its last segment is taken,
+and no segment that adds nothing; an empty table gives an empty result; only the two named columns are
+read, and the result has doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_model_spans, so
+other columns may have any name. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +34,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 12
+#: Passes over the sample, first step, and the penalty of a squared weight.
+EPOCHS, RATE, PENALTY = 30, 0.5, 1e-4
 Span = tuple[int, int]
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,7 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ISLAND = re.compile(r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@][^\s]*)*")
+_MARK = re.compile(r"[0-9@]")
+_SPACE = re.compile(r"\s")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -67,6 +78,27 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return out
 
 
+def island_spans(text: str) -> Iterator[Span]:
+    """Runs of words that hold a digit or an ``@``, with single blanks between them; every character is read once."""
+    lo, hi = -1, -1
+    m = _MARK.search(text)
+    while m:
+        start = m.start()
+        while start > hi + 1 and not text[start - 1].isspace():
+            start -= 1
+        space = _SPACE.search(text, m.end())
+        end = space.start() if space else len(text)
+        if start == hi + 1 and lo >= 0 and text[hi] == " ":
+            hi = end
+        else:
+            if lo >= 0:
+                yield lo, hi
+            lo, hi = start, end
+        m = _MARK.search(text, end)
+    if lo >= 0:
+        yield lo, hi
+
+
 # --- the semi-Markov model -------------------------------------------------------------------------
 
 
@@ -135,13 +167,13 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
                 if f:
                     out.append((i, j + 1, kind, f))
     at = text.find("@", lo, hi)
+    index = {b: n for n, b in enumerate(borders)} if at >= 0 else {}
     while at >= 0:
         m = _AT.match(text, at, hi)
         start = at
         while start > lo and text[start - 1] in _LOCAL:
             start -= 1
         if m and start < at:
-            index = {b: n for n, b in enumerate(borders)}
             if start in index and m.end() in index:
                 f = features(text, start, m.end(), "email", "")
                 if f:
@@ -194,30 +226,51 @@ def rewritten(text: str) -> list[tuple[str, dict[str, list[Span]]]]:
     return out
 
 
-def train(islands: list[str], epochs: int = 40) -> dict[str, float]:
-    """Averaged structured perceptron over islands and their rewritten forms."""
-    examples = []
+def log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
+def segment_chances(n: int, cands: list[tuple[int, int, str, tuple[str, ...]]], scores: list[float]) -> tuple[float, list[float]]:
+    """Log of the sum over all segmentations, and the chance of each segment: forward and backward sums over atom borders."""
+    ending, starting = defaultdict(list), defaultdict(list)
+    for c, (i, j, *_) in enumerate(cands):
+        ending[j].append(c)
+        starting[i].append(c)
+    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        ahead[j] = log_sum([ahead[j - 1], *[ahead[cands[c][0]] + scores[c] for c in ending[j]]]) if j in ending else ahead[j - 1]
+    for i in range(n - 1, -1, -1):
+        behind[i] = log_sum([behind[i + 1], *[behind[cands[c][1]] + scores[c] for c in starting[i]]]) if i in starting else behind[i + 1]
+    return ahead[n], [math.exp(ahead[i] + s + behind[j] - ahead[n]) for (i, j, *_), s in zip(cands, scores, strict=True)]
+
+
+def train(islands: list[str], epochs: int = EPOCHS) -> dict[str, float]:
+    """Weights of the greatest penalised likelihood over islands and their rewritten forms, by adaptive gradient steps."""
+    counts: Counter = Counter()
     for island in islands:
         for text, truth in rewritten(island):
             borders, cands = candidates(text, 0, len(text))
             gold = {(k, s, e) for k, spans in truth.items() for s, e in spans}
-            right = [c for c, (i, j, k, _) in enumerate(cands) if (k, borders[i], borders[j]) in gold]
+            right = tuple(c for c, (i, j, k, _) in enumerate(cands) if (k, borders[i], borders[j]) in gold)
             if cands:
-                examples.append((len(borders) - 1, cands, right))
+                counts[len(borders) - 1, tuple((i, j, k, tuple(f)) for i, j, k, f in cands), right] += 1
     w: dict[str, float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
-    step = 1
+    seen: dict[str, float] = defaultdict(lambda: 1e-6)
     for _ in range(epochs):
-        for n, cands, right in examples:
-            found = best_segments(n, cands, w)
-            if set(found) != set(right):
-                for sign, chosen in ((1.0, right), (-1.0, found)):
-                    for c in chosen:
-                        for f in cands[c][3]:
-                            w[f] += sign
-                            total[f] += sign * step
-            step += 1
-    return {f: w[f] - total[f] / step for f in w}
+        for (n, cands, right), times in counts.items():
+            _, chance = segment_chances(n, cands, [sum(w[x] for x in f) for *_, f in cands])
+            slope: dict[str, float] = defaultdict(float)
+            for c, (*_, f) in enumerate(cands):
+                d = (c in right) - chance[c]
+                if abs(d) > 1e-9:
+                    for x in f:
+                        slope[x] += d
+            for x, d in slope.items():
+                d = times * (d - PENALTY * w[x])
+                seen[x] += d * d
+                w[x] += RATE * d / math.sqrt(seen[x])
+    return dict(w)
 
 
 def find_spans(text: str, weights: dict[str, float]) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -225,15 +278,22 @@ def find_spans(text: str, weights: dict[str, float]) -> tuple[dict[str, list[Spa
     base = base_spans(text)
     extra: dict[str, list[Span]] = {k: [] for k in KINDS}
     if "@" in text or _DIGIT.search(text):
-        taken = sorted(s for spans in base.values() for s in spans)
-        for m in _ISLAND.finditer(text):
-            if m.end() - m.start() < 7:
+        taken: list[list[int]] = []
+        for a, b in sorted(s for spans in base.values() for s in spans):
+            if taken and a < taken[-1][1]:
+                taken[-1][1] = max(b, taken[-1][1])
+            else:
+                taken.append([a, b])
+        starts = [a for a, _ in taken]
+        for lo, hi in island_spans(text):
+            if hi - lo < 7:
                 continue
-            borders, cands = candidates(text, *m.span())
+            borders, cands = candidates(text, lo, hi)
             for c in best_segments(len(borders) - 1, cands, weights) if cands else ():
                 i, j, kind, _ = cands[c]
                 s, e = borders[i], borders[j]
-                if not any(a < e and s < b for a, b in taken):
+                at = bisect_right(starts, e - 1) - 1
+                if at < 0 or taken[at][1] <= s:
                     extra[kind].append((s, e))
     return base, extra
 
@@ -250,7 +310,7 @@ def islands(docs: DataFrame, text_col: str) -> DataFrame:
             out = []
             for t in batch.column(0).to_pylist():
                 if t and ("@" in t or _DIGIT.search(t)):
-                    out += [m[0] for m in _ISLAND.finditer(t) if 7 <= m.end() - m.start() <= 200]
+                    out += [t[a:b] for a, b in island_spans(t) if 7 <= b - a <= 200]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["island"])
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(rows, "island string")
@@ -258,7 +318,7 @@ def islands(docs: DataFrame, text_col: str) -> DataFrame:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_islands: int = 4000, seed: int = 3) -> DataFrame:
     """doc_id, base counts by kind, base_sha256, spans (base and model) and n_model_spans of every document."""
-    found = islands(docs, text_col).orderBy(F.xxhash64("island", F.lit(seed)), "island").limit(max_islands)
+    found = islands(docs, text_col).distinct().orderBy(F.xxhash64("island", F.lit(seed)), "island").limit(max_islands)
     weights = train([r["island"] for r in found.collect()])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
