@@ -6,27 +6,34 @@ the documents are joined; a hit fixes how item and document are aligned. The wor
 are then compared: an item is found if some run of ``overlap`` aligned words (the whole item if it is
 shorter) has at least ``percent`` hundredths equal words.
 
-The benchmark's seeds and the candidates are broadcast if they are few; otherwise the same joins are
-shuffled. Texts are lower-cased.
+The benchmark's seeds, items and candidates are broadcast if their bytes are few; otherwise the same
+joins are shuffled. Texts are lower-cased. With the default ``overlap`` and ``percent`` no set of
+replaced words hides an item: the three masks leave a hit for every choice of two of 13 words, and the
+short masks, which only items of 7 to 12 words use, for every choice that such an item may have.
 
 Defined cases: null and empty texts are clean; items with fewer words than the shortest mask must
-appear whole and unchanged; items without words match nothing; repeated rows each get a result; an
-empty table gives an empty result; only the named columns are read.
+appear whole and unchanged; items without words match nothing; repeated rows each get a result, and rows
+with one id are told apart by their text; ties don't arise, as every item found is named; an
+empty table gives an empty result; only the named columns are read, the others are kept, and the added
+ones are decontam_found, decontam_n_items and decontam_items (a column of such a name is replaced).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.quality_rules import let
-from plumbline.llm.store import keep, rows_at_most, same, words
+from plumbline.llm.store import bytes_at_most, keep, same, text_hash, with_verdicts, words
 
-#: Fixed masks of five words each; any 13 aligned words with two replaced ones leave a hit for some mask in most places.
+#: Fixed masks of five words each, and those that items of 7 to 12 words need besides.
 MASKS = ("1101011", "11100101", "110010011")
-BROADCAST_SEEDS = 1_000_000
-BROADCAST_CANDIDATES = 1_000_000
-BROADCAST_ITEMS = 20_000
+SHORT_MASKS, SHORT = ("11111", "1110111"), range(7, 13)
+#: Tables are broadcast up to this many bytes, which are summed over their rows.
+BROADCAST_BYTES = 32 << 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -46,9 +53,9 @@ def seeds(h: Column, masks: tuple[str, ...]) -> Column:
 
 
 def exploded(df: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """(keys, pos, seed), one row for each masked window."""
-    each = df.select(*keys, F.explode(seeds(F.col("h"), masks)).alias("s"))
-    return each.select(*keys, F.posexplode("s").alias("pos", "seed"))
+    """(keys, mask, pos, seed), one row for each masked window; ``mask`` is its number."""
+    each = df.select(*keys, F.posexplode(seeds(F.col("h"), masks)).alias("mask", "s"))
+    return each.select(*keys, "mask", F.posexplode("s").alias("pos", "seed"))
 
 
 def aligned(h: Column, item: Column, diag: Column, overlap: int, percent: int) -> Column:
@@ -79,16 +86,23 @@ def contaminated(
     """doc_id, th (hash of the text), n_items, items of the documents in which a benchmark item is found."""
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("h"))
     items = keep(items.where(F.size("h") > 0).dropDuplicates(["item_id", "h"]), "items").withColumnRenamed("h", "item")
-    short = [r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < min(map(len, MASKS))).distinct().collect()]
-    masks = MASKS + tuple("1" * n for n in sorted(short))
+    sizes = {r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") <= SHORT[-1]).distinct().collect()}
+    tiny = sorted(n for n in sizes if n < SHORT[0])
+    # Each mask with the sizes of the items that use it.
+    uses = [(m, F.lit(True)) for m in MASKS]
+    uses += [(m, F.col("size").between(SHORT[0], SHORT[-1])) for m in SHORT_MASKS if sizes & set(SHORT)]
+    uses += [("1" * n, F.col("size") == n) for n in tiny]
+    masks = tuple(m for m, _ in uses)
     bench = exploded(items.withColumnRenamed("item", "h").withColumn("size", F.size("h")), ["item_id", "size"], masks)
+    bench = bench.where(reduce(or_, [(F.col("mask") == i) & fits for i, (_, fits) in enumerate(uses)]))
+    text_bytes = lambda c: F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))
     bench = keep(bench.select("item_id", F.col("pos").alias("q"), "seed").distinct(), "seeds")
-    few = rows_at_most(bench, BROADCAST_SEEDS)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), word_hashes(F.col(text_col)).alias("h"))
+    few = bytes_at_most(bench, text_bytes("item_id") + 32, BROADCAST_BYTES)
+    d = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("th"), word_hashes(F.col(text_col)).alias("h"))
     hits = exploded(d, ["doc_id", "th"], masks).join(F.broadcast(bench) if few else bench, "seed")
     cands = keep(hits.select("doc_id", "th", "item_id", (F.col("pos") - F.col("q")).alias("diag")).distinct(), "candidates")
-    small = rows_at_most(cands, BROADCAST_CANDIDATES)
-    small_items = rows_at_most(items, BROADCAST_ITEMS)
+    small = bytes_at_most(cands, text_bytes("doc_id") + 24, BROADCAST_BYTES)
+    small_items = bytes_at_most(items, 8 * F.size("item") + text_bytes("item_id") + 32, BROADCAST_BYTES)
     with_items = cands.join(F.broadcast(items) if small_items else items, same(cands["item_id"], items["item_id"])).select("doc_id", "th", cands["item_id"], "diag", "item")
     ids = cands.select("doc_id", "th").distinct()
     a, b = d.alias("a"), (F.broadcast(ids) if small else ids).alias("b")
@@ -103,12 +117,12 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Every row of ``docs`` with contaminated, n_items and items added (as decontam_... columns)."""
     found = keep(contaminated(docs, benchmark, id_col, text_col, **kw), "contaminated")
-    f = (F.broadcast(found) if rows_at_most(found, BROADCAST_CANDIDATES) else found).alias("f")
-    n = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("n")
-    both = n.join(f, same(F.col(f"n.{id_col}"), F.col("f.doc_id")) & (F.col("n.__th") == F.col("f.th")), "left")
+    found = found.select("doc_id", "th", F.col("n_items").alias("decontam_n_items"), F.col("items").alias("decontam_items"))
+    kept = [c for c in docs.columns if not c.startswith("decontam_")]
+    both = with_verdicts(docs.select(*[F.col(f"`{c}`") for c in kept]), found, "left", id_col, text_col)
     return both.select(
-        *[F.col(f"n.`{c}`") for c in docs.columns],
-        F.col("f.n_items").isNotNull().alias("decontam_found"),
-        F.coalesce("f.n_items", F.lit(0)).cast("long").alias("decontam_n_items"),
-        F.coalesce("f.items", F.lit("")).alias("decontam_items"),
+        *[F.col(f"`{c}`") for c in kept],
+        F.col("decontam_n_items").isNotNull().alias("decontam_found"),
+        F.coalesce("decontam_n_items", F.lit(0)).cast("long").alias("decontam_n_items"),
+        F.coalesce("decontam_items", F.lit("")).alias("decontam_items"),
     )
