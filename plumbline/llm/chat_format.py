@@ -7,12 +7,17 @@ turns are put in (``INSERT`` each), at the least total cost.
 
 Turns are dealt out by ranges of (conversation, turn), so a conversation of any length is cut in blocks.
 Each block gives the cost from every state at its start to every state at its end; these small matrices
-are chained for the conversations with several blocks, and every block then finds its own best path
-between its two states. The result has one row a turn; the pieces in order give the rendered text.
+are chained for the conversations with several blocks, which gives every block the true costs of its
+first states. With these each block tells which first state each last state comes from; the last states
+are chained backwards, and every block follows its own best path. The result has one row a turn; the
+pieces in order give the rendered text.
 
 Defined cases: turns are ordered by turn (null first), role, text; a null role counts as a wrong one,
 a null text as empty; unknown roles are relabelled; rows with a null conversation form one; repeated
-rows are turns of their own; an empty table gives an empty result; other columns are not read.
+rows are turns of their own; of repairs that cost the same, read from the last turn, the step that comes
+first in ``STEPS`` is taken (a turn that ends with the assistant before others), wherever the blocks are
+cut; long texts are only copied; an empty table gives an empty result; other columns are not read, so they
+may have any name.
 """
 
 from __future__ import annotations
@@ -37,10 +42,11 @@ STEPS: dict[tuple[int, int], tuple[int, tuple[int, ...], bool]] = {
 CLOSING = {0: (1, 2), 1: (2,), 2: (), START: ()}
 
 
-def best_paths(roles: list[str | None], start: int) -> tuple[list[int], list[list[int]]]:
-    """Least cost of each state after all turns, from one start state, and each turn's best state before."""
-    cost = [FAR] * 4
-    cost[start] = 0
+AT_START = [FAR] * START + [0]
+
+
+def best_paths(roles: list[str | None], cost: list[int]) -> tuple[list[int], list[list[int]]]:
+    """Least cost of each state after all turns, from the costs before them, and each turn's best state before."""
     back = []
     for r in roles:
         now, came = [FAR] * 4, [-1] * 4
@@ -53,11 +59,16 @@ def best_paths(roles: list[str | None], start: int) -> tuple[list[int], list[lis
     return cost, back
 
 
-def path(roles: list[str | None], start: int, end: int | None) -> list[tuple[int, int]]:
+def best_end(cost: list[int]) -> int:
+    """The last state of least cost, closing turns counted."""
+    return min(range(3), key=lambda q: (cost[q] + INSERT * len(CLOSING[q]), -q))
+
+
+def path(roles: list[str | None], cost: list[int], end: int | None) -> list[tuple[int, int]]:
     """(state before, state after) of each turn; the best closing decides if ``end`` is None."""
-    cost, back = best_paths(roles, start)
+    cost, back = best_paths(roles, cost)
     if end is None:
-        end = min(range(3), key=lambda q: (cost[q] + INSERT * len(CLOSING[q]), -q))
+        end = best_end(cost)
     out = []
     for came in reversed(back):
         out.append((came[end], end))
@@ -100,25 +111,43 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         table = table.sort_by("seq")
         convs, roles = table.column("conv_id"), table.column("role").to_pylist()
         spans = runs(convs.to_pylist())
-        rows = [[c for s in range(4) for c in best_paths(roles[a:b], s)[0]] for a, b in spans]
+        unit = [[0 if s == x else FAR for x in range(4)] for s in range(4)]
+        rows = [[c for s in range(4) for c in best_paths(roles[a:b], unit[s])[0]] for a, b in spans]
         return pa.table({"conv_id": convs.take(pa.array([a for a, _ in spans], pa.int64())), "block": pa.array([table.column("block")[0].as_py()] * len(spans), pa.int32()), "cost": pa.array(rows, pa.list_(pa.int64()))})
 
-    def chain(table: pa.Table) -> pa.Table:
+    def before(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        cost, came = [FAR] * 4, []
-        cost[START] = 0
+        cost, at_start = AT_START, []
         for m in table.column("cost").to_pylist():
-            best = [min(range(4), key=lambda p, q=q, m=m, cost=cost: cost[p] + m[4 * p + q]) for q in range(4)]
-            cost = [min(FAR, cost[best[q]] + m[4 * best[q] + q]) for q in range(4)]
-            came.append(best)
-        end = min(range(3), key=lambda q: (cost[q] + INSERT * len(CLOSING[q]), -q))
-        ends, starts = [], []
-        for best in reversed(came):
+            at_start.append(cost)
+            cost = [min(FAR, *[cost[p] + m[4 * p + q] for p in range(4)]) for q in range(4)]
+        last = [best_end(cost)] * len(at_start)
+        return pa.table({"conv_id": table.column("conv_id"), "block": table.column("block"), "cost": pa.array(at_start, pa.list_(pa.int64())), "end": pa.array(last, pa.int32())})
+
+    def origins(key: tuple, table: pa.Table, plan: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        convs, roles = table.column("conv_id").to_pylist(), table.column("role").to_pylist()
+        plans = {r["conv_id"]: r["cost"] for r in plan.to_pylist()}
+        came = {}
+        for a, b in runs(convs):
+            if convs[a] in plans:
+                _, back = best_paths(roles[a:b], plans[convs[a]])
+                came[convs[a]] = list(range(4))
+                for q in range(4):
+                    s = q
+                    for x in reversed(back):
+                        s = x[s] if s >= 0 else s
+                    came[convs[a]][q] = s
+        return plan.append_column("came", pa.array([came[c] for c in plan.column("conv_id").to_pylist()], pa.list_(pa.int32())))
+
+    def after(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        end, ends = table.column("end")[0].as_py(), []
+        for came in reversed(table.column("came").to_pylist()):
             ends.append(end)
-            end = best[end]
-            starts.append(end)
-        k = len(came)
-        return pa.table({"conv_id": table.column("conv_id"), "block": table.column("block"), "first": pa.array(starts[::-1], pa.int32()), "last": pa.array(ends[::-1], pa.int32()), "tail": [i == k - 1 for i in range(k)]})
+            end = came[end]
+        k = table.num_rows
+        return pa.table({"conv_id": table.column("conv_id"), "block": table.column("block"), "cost": table.column("cost"), "last": pa.array(ends[::-1], pa.int32()), "tail": [i == k - 1 for i in range(k)]})
 
     def render(key: tuple, table: pa.Table, plan: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
@@ -127,7 +156,7 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         new, actions, inserted, rendered = [], [], [], []
         for a, b in runs(convs):
             p = plans.get(convs[a])
-            start, end, tail = (p["first"], p["last"], p["tail"]) if p else (START, None, True)
+            start, end, tail = (p["cost"], p["last"], p["tail"]) if p else (AT_START, None, True)
             for i, (s, q) in zip(range(a, b), path(roles[a:b], start, end), strict=True):
                 _, extra, merged = STEPS[s, q]
                 closing = CLOSING[q] if tail and i == b - 1 else ()
@@ -144,6 +173,9 @@ def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     blocks = keep(t.select("conv_id", "role", "block", "seq").groupBy("block").applyInArrow(costs, f"conv_id {conv}, block int, cost array<long>"), "costs")
     many = blocks.groupBy("conv_id").agg(F.count("*").alias("k")).where("k > 1").alias("m")
     longer = blocks.alias("b").join(many, F.col("b.conv_id").eqNullSafe(F.col("m.conv_id")), "left_semi")
-    plans = longer.groupBy("conv_id").applyInArrow(chain, f"conv_id {conv}, block int, first int, last int, tail boolean")
+    starts = keep(longer.groupBy("conv_id").applyInArrow(before, f"conv_id {conv}, block int, cost array<long>, end int"), "starts")
+    long_blocks = t.select("conv_id", "role", "block", "seq").join(starts.select("block").distinct(), "block", "left_semi")
+    came = long_blocks.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(origins, f"conv_id {conv}, block int, cost array<long>, end int, came array<int>")
+    plans = came.groupBy("conv_id").applyInArrow(after, f"conv_id {conv}, block int, cost array<long>, last int, tail boolean")
     schema = f"conv_id {conv}, turn {turn}, role string, new_role string, action string, n_inserted long, rendered string"
     return t.groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(render, schema)
