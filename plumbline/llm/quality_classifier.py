@@ -2,14 +2,19 @@
 
 Two generative models over hashed one- and two-word grams are compared: one of the target (documents
 labelled good and not toxic, a bounded sample of at most ``max_labelled`` rows) and one of the raw
-text (all documents). A document's log weight is its mean log ratio per gram, drawn towards zero
-for short texts, times ``evidence``. Gumbel noise, fixed by the id, is added, and the top k keys
-are kept, where k is the number of documents whose log weight reaches a cutoff that is fitted on the
-labelled sample. The k-th key is found by histograms, so no document is sorted or gathered.
-
-Defined cases: a null or empty text has no grams and gets log weight 0; with no labels of both
-kinds nothing can be told apart and every document is kept; repeated ids share their noise and ties at
-the k-th key are all kept; an empty table gives an empty result.
+text (all documents). A document's log weight is its mean log ratio a gram, drawn towards zero for short
+texts by ``prior`` grams of ratio one, over ``temperature``: a sum would grow with the length and let long
+documents win or lose whatever they say. Gumbel noise, fixed by the id and ``seed``, is added, and the k
+largest keys are kept, which draws k documents without replacement by their weights. The k-th key is found
+by histograms, so no document is sorted or gathered. ``k`` is a parameter; if it is not given, it is the
+number of documents whose log weight reaches the cutoff that tells labelled rows apart best.
+
+Defined cases: a null or empty text has no grams and gets log weight 0; a null id draws the noise of its
+own hash; with no labels of both kinds nothing can be told apart and every document is kept unless k is
+given; rows that repeat an id share their noise, and a labelled id with several rows counts once, with
+their mean, when the cutoff is fitted; ties at the k-th key are all kept; texts of any length are read
+whole, a piece at a time; an empty table gives an empty result; only the named columns are read, and the
+result has doc_id, n_features, log_weight, key and kept (and th), so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -75,11 +80,10 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, alpha: float, margin: float)
     return (np.sign(ratio) * np.maximum(np.abs(ratio) - margin, 0)).astype(np.float32)
 
 
-def scored(docs: DataFrame, text_col: str, weights: np.ndarray, evidence: float, prior: float) -> DataFrame:
+def scored(docs: DataFrame, text_col: str, weights: np.ndarray, temperature: float, prior: float) -> DataFrame:
     """Adds n_features and log_weight to ``docs``."""
     session = docs.sparkSession
     shared = session.sparkContext.broadcast(weights)
-    middle = float(weights.mean()) if not len(weights) else 0.0
     n_buckets = len(weights)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.drop(text_col).schema)}, n_features long, log_weight double"
     names = [c for c in docs.columns if c != text_col]
@@ -93,7 +97,7 @@ def scored(docs: DataFrame, text_col: str, weights: np.ndarray, evidence: float,
                 b, row = feature_buckets(buf, offs, n_buckets)
                 n[i:j] = np.bincount(row, minlength=j - i)
                 total[i:j] = np.bincount(row, weights=w[b], minlength=j - i)
-            value = evidence * total / (n + prior)
+            value = total / (n + prior) / temperature
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(n), pa.array(value)], [*names, "n_features", "log_weight"])
 
     return docs.mapInArrow(score, schema)
@@ -142,9 +146,10 @@ def quality_classifier(
     text_col: str = "text",
     n_buckets: int = 1 << 18,
     alpha: float = 5.0,
-    margin: float = 0.5,
-    evidence: float = 1000.0,
-    prior: float = 20.0,
+    margin: float = 0.4,
+    temperature: float = 1 / 300,
+    prior: float = 60.0,
+    k: int | None = None,
     keep_good: float = 0.997,
     max_labelled: int = 40_000,
     seed: int = 1,
@@ -165,13 +170,15 @@ def quality_classifier(
     half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0
     target = bucket_counts(sample.where("good = 1").where(half), "text", n_buckets)
     weights = log_ratio(target, raw, alpha, margin) if target.sum() else np.zeros(n_buckets, np.float32)
-    fit = scored(sample.where(~half).select("good", "text"), "text", weights, evidence, prior).select("good", "log_weight").limit(4 * max_labelled).toPandas()
+    fit = scored(sample.where(~half).select("doc_id", "good", "text"), "text", weights, temperature, prior)
+    fit = fit.groupBy("doc_id").agg(F.min("good").alias("good"), F.avg("log_weight").alias("log_weight")).drop("doc_id").toPandas()
     cutoff = fit_cutoff(fit["log_weight"].to_numpy(float), fit["good"].to_numpy() == 1, keep_good)
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
     if with_hash:
         d = d.withColumn("th", text_hash(F.col("text")))
-    s = keep(scored(d, "text", weights, evidence, prior).withColumn("key", F.col("log_weight") + noise), "weights")
-    n, k = s.agg(F.count("*"), F.sum((F.col("log_weight") >= cutoff).cast("long"))).first()
-    least = kth_key(s, k or 0, n)
+    s = keep(scored(d, "text", weights, temperature, prior).withColumn("key", F.col("log_weight") + noise), "weights")
+    n, reach = s.agg(F.count("*"), F.sum((F.col("log_weight") >= cutoff).cast("long"))).first()
+    k = min(n, k) if k is not None else reach or 0
+    least = kth_key(s, k, n)
     kept = F.lit(bool(k)) if least is None else F.col("key") >= least
     return s.withColumn("kept", kept)
