@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, kernel, line_dedup, pii, substring_dedup
+from plumbline.llm import chat_format, kernel, line_dedup, near_dedup, pii, substring_dedup
 from plumbline.llm.chat_format import repair_roles
 from plumbline.llm.components import connected_components
 from plumbline.llm.decontaminate import decontaminate
@@ -97,21 +98,18 @@ def luhn_card(rnd):
     return next(body + c for c in "0123456789" if pii.luhn(body + c))
 
 
-def test_op3_model_on_held_out_islands():
-    rnd = random.Random(4)
+def random_island(rnd):
+    ip = ".".join(str(rnd.randint(1, 255)) for _ in range(4))
+    digits = "".join(rnd.choice("0123456789") for _ in range(10))
+    return rnd.choice((f"+1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}", ip, luhn_card(rnd), f"me{digits[:2]}@mail{digits[3]}.example.com", f"v{digits[:1]}.0", digits[:6]))
 
-    def island():
-        kind = rnd.randrange(6)
-        ip = ".".join(str(rnd.randint(1, 255)) for _ in range(4))
-        digits = "".join(rnd.choice("0123456789") for _ in range(10))
-        return (
-            f"+1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}", ip, luhn_card(rnd), f"me{digits[:2]}@mail{digits[3]}.example.com", f"v{digits[:1]}.0", digits[:6],
-        )[kind]
 
-    weights = pii.train([island() for _ in range(300)])
+def test_op3_model_on_held_out_islands():
+    rnd = random.Random(4)
+    weights = pii.train([random_island(rnd) for _ in range(300)])
     right = total = 0
     for _ in range(200):
-        for text, truth in pii.rewritten(island()):
+        for text, truth in pii.rewritten(random_island(rnd)):
             borders, cands = pii.candidates(text, 0, len(text))
             got = {(cands[c][2], borders[cands[c][0]], borders[cands[c][1]]) for c in pii.best_segments(len(borders) - 1, cands, weights)}
             right += got == {(k, *s) for k, v in truth.items() for s in v}
@@ -121,11 +119,74 @@ def test_op3_model_on_held_out_islands():
     assert not base["phone"] and extra["phone"] == [(5, 19)]
 
 
+def test_op3_sums_and_best_path_against_every_segmentation():
+    rnd = random.Random(7)
+    weights = pii.train([random_island(rnd) for _ in range(200)])
+    for _ in range(60):
+        text = " ".join(random_island(rnd) for _ in range(2))[: rnd.randint(8, 34)]
+        borders, cands = pii.candidates(text, 0, len(text))
+        scores = [sum(weights.get(x, 0.0) for x in f) for *_, f in cands]
+
+        def every(at):
+            """All ways to pick segments from border ``at`` on, as tuples of candidates."""
+            if at == len(borders) - 1:
+                return [()]
+            return every(at + 1) + [(c, *rest) for c, (i, j, *_) in enumerate(cands) if i == at for rest in every(j)]
+
+        if len(cands) > 40:
+            continue
+        ways = every(0)
+        weight = [math.exp(sum(scores[c] for c in w)) for w in ways]
+        log_z, chance = pii.segment_chances(len(borders) - 1, cands, scores)
+        assert log_z == pytest.approx(math.log(sum(weight)), abs=1e-9)
+        for c, p in enumerate(chance):
+            assert p == pytest.approx(sum(x for x, w in zip(weight, ways) if c in w) / sum(weight), abs=1e-9)
+        got = pii.best_segments(len(borders) - 1, cands, weights)
+        assert sum(scores[c] for c in got) == pytest.approx(max(sum(scores[c] for c in w) for w in ways), abs=1e-9)
+
+
+def test_op3_long_words_and_many_addresses_take_linear_time():
+    import time
+
+    rnd = random.Random(3)
+    old = re.compile(r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@][^\s]*)*")
+    for _ in range(3000):
+        t = "".join(rnd.choice("ab 1@\n  .x9") for _ in range(rnd.randint(0, 40)))
+        assert [m.span() for m in old.finditer(t)] == list(pii.island_spans(t)), repr(t)
+    weights = pii.train([random_island(rnd) for _ in range(100)])
+    for text, n in (("x" * 1_000_000 + " 1", 0), ("1" * 1_000_000, 0), (" ".join(f"me{i}@host{i}.example.com" for i in range(20_000)), 20_000)):
+        began = time.perf_counter()
+        base, _ = pii.find_spans(text, weights)
+        assert time.perf_counter() - began < 30 and len(base["email"]) == n
+
+
+def test_op3_sample_holds_different_islands(spark):
+    rows = [(i, "call +1 (743) 555-3824 now") for i in range(50)] + [(100 + i, f"v{i}.{i}.{i} seen") for i in range(20)]
+    out = personal_data(spark.createDataFrame(rows, "doc_id long, text string"), max_islands=5).collect()
+    assert len(out) == 70 and all(r.n_phone == (r.doc_id < 50) for r in out)
+
+
 def test_op4_against_all_alignments(docs, benchmark):
     got = {r.doc_id: r.decontam_items for r in decontaminate(docs, benchmark).collect() if r.decontam_found}
     assert got == brute.contaminated(CORPUS, ITEMS) and len(got) >= 5
 
 
+def test_op4_every_choice_of_replaced_words(spark):
+    """Items of 7 to 16 words, each with every set of as many replaced words as the rule allows (and one more)."""
+    docs, items = [], []
+    for n in range(1, 17):
+        words = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        size = min(n, 13)
+        wrong = 0 if n < 7 else size - -(-80 * size // 100)
+        for k in (wrong, wrong + 1):
+            for bad in itertools.islice(itertools.combinations(range(n), k), 700):
+                docs.append((len(docs), "before it " + " ".join(f"x{i}" if i in bad else w for i, w in enumerate(words)) + " and after"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.decontam_items for r in decontaminate(d, b).collect() if r.decontam_found}
+    assert got == brute.contaminated(docs, items) and len(got) > 300
+
+
 def test_op5_against_all_pairs_and_in_small_steps(docs, monkeypatch):
     gone = brute.removed_lines(CORPUS)
     for first, hot in ((2, 50_000), (1, 3)):
@@ -222,6 +283,36 @@ def test_op7_costs_are_least_and_rendering_is_undone(spark):
             assert said == "".join((x[2] or "") for x in data[c])
 
 
+def test_op7_result_is_the_same_wherever_blocks_are_cut(spark):
+    rnd = random.Random(12)
+    data = {0: ["user", "assistant", "tool", "user", "assistant"]}
+    data |= {c: [rnd.choice(["system", "user", "user", "assistant", "tool", None]) for _ in range(rnd.choice((3, 10, 40, 150)))] for c in range(1, 25)}
+    rows = [(c, i, r, f"t{i}") for c, v in data.items() for i, r in enumerate(v)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n, block in (("1", 10**6), ("5", 10**6), ("50", 10**6), ("1", 7), ("1", 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(tuple(r) for r in repair_roles(t, block_rows=block).drop("role").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert all(x == seen[0] for x in seen)
+    # One block is plain dynamic programming over the whole conversation.
+    for c, roles in data.items():
+        want = [chat_format.ROLES[q] for _, q in chat_format.path(roles, chat_format.AT_START, None)]
+        assert [r[2] for r in seen[0] if r[0] == c] == want
+
+
+def test_op7_very_long_texts_and_equal_turns(spark):
+    text = "word <|end|> \\ " * 60_000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text), (2, 5, "user", "x"), (2, 5, "user", "x"), (2, 5, "assistant", "y")]
+    out = repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    whole = "".join(r.rendered for r in sorted(out, key=lambda r: r.turn) if r.conv_id == 1)
+    assert whole == "".join(chat_format.opened(q) + chat_format.escaped(text) + chat_format.CLOSED for q in (1, 2))
+    assert len(out) == 5 and {r.n_inserted for r in out if r.conv_id == 1} == {0}
+
+
 def test_op8_against_all_pairs(docs):
     for k in (4, 5):
         want = brute.groups(CORPUS, k)
@@ -229,6 +320,42 @@ def test_op8_against_all_pairs(docs):
     assert len({c for _, c in want.values()}) < len(want) - 10
 
 
+def family(rnd, n, size=60):
+    """Versions of one text that differ in one to twelve words: some links are near the threshold, some below."""
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.choice((1, 1, 2, 3, 4, 6, 12))):
+            w[rnd.randrange(size)] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("shingles", [500_000, 2_000, 300])
+def test_op8_families_around_the_threshold_in_blocks(spark, monkeypatch, shingles):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    rnd = random.Random(6)
+    rows = family(rnd, 150) + [(1000 + i, t) for i, t in family(rnd, 40, 25)]
+    rnd.shuffle(rows)
+    want = brute.groups(rows, 4)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(d, k=4).collect()} == want
+    assert 5 < len({c for _, c in want.values()}) < 150
+
+
+def test_op8_links_across_components_need_no_first_round(spark):
+    rnd = random.Random(9)
+    rows = family(rnd, 120)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    s = near_dedup.signatures(d, 4).select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("at", "band"))
+    links = near_dedup.links_across(s.withColumn("comp", F.col("rep")), d, 4, 80, near_dedup.loose_bound(80)).collect()
+    component = {r.node: r.component for r in connected_components(spark.createDataFrame(links)).collect()}
+    want = brute.groups(rows, 4)
+    assert all(component.get(i, i) == c for i, (_, c) in want.items())
+    assert len(links) < 2 * len(rows)  # links between components, not all pairs
+
+
 def test_components_of_a_chain_a_star_and_a_clique(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + list(itertools.combinations(range(200, 208), 2)) + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
