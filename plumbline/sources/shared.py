@@ -5,18 +5,28 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of this machine only where none is configured."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is configured, a folder of this machine is made for a local master; on a cluster that is an
+    error, as executors would not see it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         _own[app] = tempfile.mkdtemp(dir="/tmp/checkpoints")
@@ -27,8 +37,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
+def keep(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back.
+
+    Inside ``scratch`` the table is removed at its end, unless it ``stays``.
+    """
     path = new_path(df.sparkSession, name)
+    if _scratch and not stays:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what ``keep`` wrote inside; results read after that must have been kept with ``stays``."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
