@@ -7,11 +7,13 @@ only the texts that have characters NFKC could change.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, MapType, StringType
 
 from plumbline.functions import unicode as U
 
@@ -62,12 +64,17 @@ def normalize(text: Column, use_nfkc: bool = True) -> Column:
     # Both shares are taken before either translation. The first one adds no Greek letters.
     n = _if_minor(_if_minor(t, t, U.script_class("CYRILLIC"), CYRILLIC_ALIKE), t, U.script_class("GREEK"), GREEK_ALIKE)
     n = F.regexp_replace(n, r"(?s)(.)\1{3,}", "$1$1$1")
-    return F.trim(F.regexp_replace(n, f"{U.SPACE}+", " "))
+    return F.trim(F.regexp_replace(n, _runs(U.SPACE_CHARS), " "))
+
+
+def _runs(chars: str) -> str:
+    """White space that one blank must stand for: single blanks are left out, as most of it is that already."""
+    return f"[{chars}]{{2,}}|[{chars}&&[^ ]]"
 
 
 def compact(norm: Column) -> Column:
     """T2. Letters and digits of a normal form."""
-    return F.regexp_replace(norm, f"[^{U.LETTER_OR_DIGIT}]", "")
+    return F.regexp_replace(norm, f"[^{U.LETTER_OR_DIGIT}]+", "")
 
 
 def script_count(text: Column, script: str) -> Column:
@@ -76,31 +83,61 @@ def script_count(text: Column, script: str) -> Column:
     return F.when(text.rlike(cls), _count(text, cls)).otherwise(0)
 
 
+@F.pandas_udf(MapType(StringType(), IntegerType()))
+def _rare_scripts(letters: pd.Series) -> pd.Series:
+    return letters.map(lambda t: dict(Counter(U.script_of(c) for c in t)), na_action="ignore")
+
+
 def script_counts(text: Column) -> Column:
-    """T3. Map of script to letter count, scripts with letters only; other letters count as OTHER."""
-    parts = [F.struct(F.lit(s).alias("k"), script_count(text, s).alias("n")) for s in U.SCRIPTS]
-    known = sum((script_count(text, s) for s in U.SCRIPTS), F.lit(0))
-    parts.append(F.struct(F.lit("OTHER").alias("k"), (_count(text, U.LETTER) - known).alias("n")))
-    return F.map_from_entries(F.filter(F.array(*parts), lambda p: p["n"] > 0))
+    """T3. Map of script to letter count, scripts with letters only; letters without a name count as OTHER.
+
+    The scripts that decide a language and Latin are counted in the JVM; a helper sees only what letters
+    are left of a text.
+    """
+    known = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(s).alias("k"), script_count(text, s).alias("n")) for s in U.SCRIPTS]), lambda p: p["n"] > 0))
+    rest = F.regexp_replace(text, f"[[^{U.LETTER}]{''.join(U.script_class(s) for s in U.SCRIPTS)}]+", "")
+    rare = _rare_scripts(F.when(rest != "", rest))
+    return F.when(rare.isNull(), known).otherwise(F.map_concat(known, rare))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def verdict_of(lang: Column | str, confidence: Column | float) -> Column:
+    lang = F.lit(lang) if isinstance(lang, str) else lang
+    return F.struct(lang.alias("lang"), (F.lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"))
 
 
 def detect_language(text: Column) -> Column:
     """T4. struct(lang, confidence) of the raw text."""
-    letters = _count(text, U.LETTER).cast("double")
-    foreign = text.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
-    n = {s: F.when(foreign, script_count(text, s)).otherwise(0) for s in U.SCRIPT_LANGS}
-    verdict = lambda lang, conf: F.struct(F.lit(lang).alias("lang") if isinstance(lang, str) else lang.alias("lang"), conf.cast("double").alias("confidence"))
-    kana = n["HIRAGANA"] + n["KATAKANA"]
-    out = F.when(letters == 0, verdict("und", F.lit(0.0))).when(kana > 0, verdict("ja", F.least(F.lit(1.0), F.lit(0.6) + kana / letters)))
-    for script, lang in U.SCRIPT_LANGS.items():
-        if lang != "ja":
-            share = n[script] / letters
-            out = out.when(share >= F.lit(0.3), verdict(lang, F.least(F.lit(1.0), F.lit(0.5) + share / 2)))
-    low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
-    out = out.when(script_count(text, "LATIN") / letters < F.lit(0.5), verdict("und", F.lit(0.0)))
-    out = out.when(low.rlike(VIETNAMESE), verdict("vi", F.lit(0.9))).when(F.size(words) == 0, verdict("und", F.lit(0.0)))
-    return out.otherwise(F.transform(F.array(words), _by_stop_words)[0])
+    seen = F.struct(text.alias("text"), _count(text, U.LETTER).cast("double").alias("letters"))
+    return let(seen, lambda s: F.when(s["text"].isNull(), F.lit(None)).when(s["letters"] == 0, verdict_of("und", 0.0)).otherwise(_by_script(s["text"], s["letters"])))
+
+
+def _by_script(text: Column, letters: Column) -> Column:
+    latin = _by_latin_words(text, letters)
+    counts = F.struct(*[script_count(text, s).alias(s) for s in U.SCRIPT_LANGS])
+
+    def decide(n: Column) -> Column:
+        kana = n["HIRAGANA"] + n["KATAKANA"]
+        out = F.when(kana > 0, verdict_of("ja", F.least(F.lit(1.0), F.lit(0.6) + kana / letters)))
+        for script, lang in U.SCRIPT_LANGS.items():
+            if lang != "ja":
+                share = n[script] / letters
+                out = out.when(share >= F.lit(0.3), verdict_of(lang, F.least(F.lit(1.0), F.lit(0.5) + share / 2)))
+        return out.otherwise(latin)
+
+    # Most texts have no letter of another script: one search tells.
+    return F.when(text.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), let(counts, decide)).otherwise(latin)
+
+
+def _by_latin_words(text: Column, letters: Column) -> Column:
+    latin = U.script_class("LATIN")
+    few = text.rlike(f"[{U.LETTER}&&[^{latin[1:-1]}]]") & (_count(text, latin) / letters < F.lit(0.5))
+    by_words = let(F.lower(text), lambda low: F.when(low.rlike(VIETNAMESE), verdict_of("vi", 0.9)).otherwise(let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), _by_stop_words)))
+    return F.when(few, verdict_of("und", 0.0)).otherwise(by_words)
 
 
 def _one_of(values: list[str]):
@@ -108,16 +145,19 @@ def _one_of(values: list[str]):
 
 
 def _by_stop_words(words: Column) -> Column:
-    hits = F.array(*[F.size(F.filter(words, _one_of(s.split()))) for s in STOP_WORDS.values()])
     langs = F.array(*[F.lit(x) for x in STOP_WORDS])
+    every = sorted({w for s in STOP_WORDS.values() for w in s.split()})
 
     def best(h: Column) -> Column:
         most = F.array_max(h)
         lang = F.when(most == 0, F.lit("en")).otherwise(F.element_at(langs, F.array_position(h, most).cast("int")))
         conf = F.when(most == 0, F.lit(0.2)).otherwise(F.least(F.lit(1.0), F.lit(0.4) + most / F.size(words)))
-        return F.struct(lang.alias("lang"), conf.alias("confidence"))
+        return verdict_of(lang, conf)
 
-    return F.transform(F.array(hits), best)[0]
+    # Stop words of any language first: the seven counts then read a short list.
+    counts = lambda stops: F.array(*[F.size(F.filter(stops, _one_of(s.split()))) for s in STOP_WORDS.values()])
+    decided = let(let(F.filter(words, _one_of(every)), counts), best)
+    return F.when(F.size(words) == 0, verdict_of("und", 0.0)).otherwise(decided)
 
 
 def resolve_language(given: Column, text: Column, detect: bool = True) -> Column:

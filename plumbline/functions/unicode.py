@@ -32,6 +32,11 @@ SOFT_HYPHEN = chars((0xAD, 0xAD))
 LETTER, LETTER_OR_DIGIT = r"\p{L}", r"\p{L}\p{N}"
 
 
+def script_of(ch: str) -> str:
+    """The first word of a letter's Unicode name, HAN for CJK; OTHER without a name."""
+    return unicodedata.name(ch, "OTHER").split(" ", 1)[0].replace("CJK", "HAN")
+
+
 @lru_cache(maxsize=1)
 def _ranges() -> dict[str, list[list[int]]]:
     out: dict[str, list[list[int]]] = {s: [] for s in SCRIPTS}
@@ -39,8 +44,7 @@ def _ranges() -> dict[str, list[list[int]]]:
         ch = chr(cp)
         if not ch.isalpha():
             continue
-        script = unicodedata.name(ch, "").split(" ", 1)[0].replace("CJK", "HAN")
-        spans = out.get(script)
+        spans = out.get(script_of(ch))
         if spans is None:
             continue
         if spans and spans[-1][1] == cp - 1:

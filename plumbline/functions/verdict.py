@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -20,12 +20,14 @@ LEVELS = range(5)
 CAT_COLS = tuple(f"cat_{c}" for c in CATEGORIES)
 
 
-def barrier(x: Column) -> Column:
-    """The same value, but filters on columns made from it are not rewritten in terms of what it is made of.
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Adds columns that are computed once a row, whatever is filtered or read of them later.
 
-    Without it a filter on an action repeats all matching and scoring expressions inside the filter.
+    They come out of a generator that gives one row a row: filters on them stay above it, so matching and
+    scoring are not repeated inside a filter, while filters on the other columns still reach the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, x)
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))))
 
 
 def cats(prefix: str = "") -> dict[str, Column]:

@@ -1,4 +1,4 @@
-"""Verdict tables: lookup (J2, V3), fan-out (J3), upsert (S11), retention (K1, K2), size.
+"""Verdict tables: lookup (J2, V3), upsert (S11), retention (K1, K2), size.
 
 A verdict table has backend, rubric_version, text_hash, the raw verdict columns, created and last_used.
 It holds no texts. Written partitioned by (backend, rubric_version), other scorers' entries are pruned.
@@ -24,11 +24,6 @@ def misses(items: DataFrame, cache: DataFrame, backend: str, rubric_version: str
     return items.join(own, "text_hash", "left_anti")
 
 
-def fan_out(items: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """J3. The verdict of each distinct hash back to every item; a hot hash is split by adaptive execution."""
-    return items.join(verdicts, "text_hash")
-
-
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """S11. The new snapshot: one entry a key, the one created last (the new table wins ties)."""
     both = cache.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -37,10 +32,6 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(last.alias("e")).select(*KEY, *[F.col(f"e.{c}").alias(c) for c in rest if c != "__new"])
 
 
-def write_snapshot(cache: DataFrame, path: str) -> None:
-    cache.write.mode("overwrite").partitionBy("backend", "rubric_version").parquet(path)
-
-
 def touch(cache: DataFrame, used: DataFrame) -> DataFrame:
     """Raise last_used by the uses (text_hash, used_at) of a run."""
     last = used.groupBy("text_hash").agg(F.max("used_at").alias("__used"))

@@ -40,7 +40,7 @@ def judged(verdicts: DataFrame, policy: str | Policy | dict) -> DataFrame:
 
 
 def evaluation(verdicts: DataFrame, policy: str | Policy | dict, overall: bool = False) -> DataFrame:
-    """A2, and with ``overall`` A3: one row a language (Spearman comes from ``spearman``), lang null for all."""
+    """A2, and with ``overall`` A3: one row a language, lang null for all (there F1 and Spearman stay blank)."""
     j = judged(verdicts, policy)
     share = lambda c: F.avg(F.col(c).cast("double"))
     aggs = [
@@ -48,11 +48,14 @@ def evaluation(verdicts: DataFrame, policy: str | Policy | dict, overall: bool =
         f1(F.col("expected_level") >= 2, F.col("level") >= 1.5).alias("f1_l2"), share("cat_ok").alias("cat"), share("targeted_ok").alias("targeted"),
         F.sum(F.col("false_block").cast("long")).alias("false_blocks"), F.sum(F.col("miss").cast("long")).alias("misses"), F.avg("input_tokens").alias("tokens_per_item"),
     ]
+    rho = spearman(verdicts, "lang", "expected_level", "level").select(F.col("lang").alias("__lang"), "spearman")
+    of_lang = F.col("lang").eqNullSafe(F.col("__lang"))
     if not overall:
-        return j.groupBy("lang").agg(*aggs)
+        return j.groupBy("lang").agg(*aggs).join(rho, of_lang, "left").drop("__lang")
     out = j.rollup("lang").agg(*aggs, F.grouping("lang").alias("__all"))
+    out = out.join(rho, of_lang & (F.col("__all") == 0), "left")
     blank = lambda c: F.when(F.col("__all") == 0, F.col(c))
-    return out.withColumns({"f1_l2": blank("f1_l2"), "tokens_per_item": blank("tokens_per_item")}).drop("__all")
+    return out.withColumns({"f1_l2": blank("f1_l2"), "tokens_per_item": blank("tokens_per_item")}).drop("__all", "__lang")
 
 
 def gross_errors(verdicts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import compact, normalize, resolve_language, text_hash
-from plumbline.functions.verdict import CAT_COLS, argmax_level, barrier, expected_level, present, round4, top_category
+from plumbline.functions.verdict import CAT_COLS, argmax_level, expected_level, once, present, round4, top_category
 from plumbline.functions.verdict import cats as category_columns
+from plumbline.operators.cache import lookup, misses
 from plumbline.operators.lexicon import Entry, fuse_floor, hits_for_language, lexicon_hits, lexicon_raw
 from plumbline.operators.policy import Policy, apply_policy
+from plumbline.sources.shared import keep
 
 #: Part of every cache key; raised whenever what scorers are asked changes.
 RUBRIC_VERSION = "2026.11.1"
@@ -34,7 +36,8 @@ def prepare(items: DataFrame, entries: Sequence[Entry], detect: bool = True, use
     df = items.where(F.col(text_col).isNotNull()).withColumn("norm", normalize(F.col(text_col), use_nfkc))
     given = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     df = df.withColumns({"text_hash": text_hash(F.col("norm")), "lang": resolve_language(given, F.col(text_col), detect), "compact": compact(F.col("norm"))})
-    return df.withColumn("hits", barrier(lexicon_hits(entries, F.col("norm"), F.col("compact"))))
+    hits = lexicon_hits(entries, F.col("norm"), F.col("compact"))
+    return once(df, {"hits": hits}) if entries else df.withColumn("hits", hits)
 
 
 def score_distinct(texts: DataFrame, scorer: Scorer, batch: int = 16, partitions: int | None = None) -> DataFrame:
@@ -71,21 +74,20 @@ def with_raw(prepared: DataFrame, scorer: Scorer | None, order_col: str, dedupe:
     if scorer is None and not dedupe:
         return prepared.withColumns(lexicon_raw(F.col("hits")) | {"cached": F.lit(False)}), None
     name = scorer.name if scorer else "lexicon"
-    old = None
-    rest = prepared
-    if cache is not None:
-        own = (F.col("backend") == name) & (F.col("rubric_version") == RUBRIC_VERSION)
-        old = cache.where(own).select("text_hash", *RAW_COLS)
-        rest = prepared.join(old.select("text_hash"), "text_hash", "left_anti")
+    # Written once, as it is read for the distinct texts and again for the join back.
+    prepared = keep(prepared.drop("norm", "compact"), "prepared")
+    rest = prepared if cache is None else misses(prepared, cache, name, RUBRIC_VERSION)
     if scorer is None:
         first = rest.groupBy("text_hash").agg(F.min_by("hits", order_col).alias("hits"))
         new = first.withColumns(lexicon_raw(F.col("hits"))).drop("hits")
     else:
         new = score_distinct(distinct_texts(rest, order_col), scorer)
-    known = new.withColumn("cached", F.lit(False))
-    if old is not None:
-        hit = old.withColumns({"cached": F.lit(True), "input_tokens": F.lit(0.0)})
-        known = known.unionByName(hit)
+    if scorer is not None or cache is not None:
+        new = keep(new, "scored")  # once too: the caller adds these verdicts to the cache
+    if cache is None:
+        return prepared.join(new, "text_hash").withColumn("cached", F.lit(False)), new
+    old = lookup(prepared.select("text_hash").distinct(), cache, name, RUBRIC_VERSION).where("cached")
+    known = new.withColumn("cached", F.lit(False)).unionByName(old.select("text_hash", *RAW_COLS, "cached").withColumn("input_tokens", F.lit(0.0)))
     return prepared.join(known, "text_hash"), new
 
 
@@ -94,12 +96,13 @@ def finish(scored: DataFrame, policy: str | Policy | dict | None = "balanced") -
     own = scored.withColumn("own_hits", hits_for_language(F.col("hits"), F.col("lang")))
     fused = fuse_floor(own, "own_hits")
     probs = F.col("level_probs")
-    rounded = {"level": barrier(round4(expected_level(probs))), "level_argmax": argmax_level(probs)}
-    fused = fused.withColumns(rounded)
+    fused = fused.withColumns({"level": round4(expected_level(probs)), "level_argmax": argmax_level(probs)})
     again = {c: round4(F.col(c)) for c in (*CAT_COLS, "targeted", "confidence")}
     fused = fused.withColumns(again | {"level_probs": F.transform("level_probs", round4)})
     fused = fused.withColumn("present", present(category_columns())).withColumn("top_category", top_category(F.col("present")))
-    return apply_policy(fused, policy) if policy is not None else fused
+    out = apply_policy(fused, policy) if policy is not None else fused
+    verdict = ("level_probs", *CAT_COLS, "targeted", "confidence", "reasons", "level", "level_argmax", "present", "top_category", *(["action"] if policy is not None else []))
+    return once(out, {c: F.col(c) for c in verdict})
 
 
 def grade(
@@ -114,7 +117,10 @@ def grade(
     id_col: str = "id",
     lang_col: str | None = "lang",
 ) -> DataFrame:
-    """WL1. One verdict for each item: the item's columns, then lang, text_hash and the verdict columns."""
+    """WL1. One verdict for each item: the item's columns, then lang, text_hash and the verdict columns.
+
+    Filters on the item's columns reach the scan; filters on the verdict don't repeat its work.
+    """
     prepared = prepare(items, entries, detect, use_nfkc, lang_col=lang_col)
     scored, _ = with_raw(prepared, scorer, id_col, dedupe, cache)
     return finish(scored, policy).drop("norm", "compact", "hits", "own_hits")
@@ -141,5 +147,3 @@ def long_enough(texts: DataFrame, least: int = 2, text_col: str = "text") -> Dat
     """V2. Texts of at least ``least`` characters (2 for shown texts, 3 for drafts)."""
     return texts.where(F.length(text_col) >= least)
 
-
-GradeFn = Callable[[DataFrame], DataFrame]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import compact, normalize
-from plumbline.functions.verdict import CATEGORIES, argmax_level, barrier
+from plumbline.functions.verdict import CATEGORIES, argmax_level
 
 SCORER = "lexicon"
 #: Lists of up to this many entries become constant patterns inside the plan, larger ones a helper.
@@ -64,10 +64,18 @@ def lexicon_entries(spark: SparkSession, rows: Iterable[dict]) -> list[Entry]:
     return out
 
 
-def load_lexicon(spark: SparkSession, paths: Sequence[str | Path]) -> list[Entry]:
-    """S4. Files {lang, entries: [...]} as JSON (or YAML where a parser is installed); lang defaults to the file's stem."""
+def builtin_lists() -> list[Path]:
+    """The files of the package's own word lists, by name."""
+    return sorted((Path(__file__).parent.parent / "wordlists").glob("*.json"))
+
+
+def load_lexicon(spark: SparkSession, paths: Sequence[str | Path] | None = None) -> list[Entry]:
+    """S4. Files {lang, entries: [...]} as JSON (or YAML where a parser is installed); lang defaults to the file's stem.
+
+    Without ``paths`` the package's own lists are loaded, all of them.
+    """
     rows: list[dict] = []
-    for path in map(Path, paths):
+    for path in map(Path, paths or builtin_lists()):
         text = path.read_text(encoding="utf-8")
         if path.suffix in (".yaml", ".yml"):
             import yaml
@@ -79,12 +87,6 @@ def load_lexicon(spark: SparkSession, paths: Sequence[str | Path]) -> list[Entry
     return lexicon_entries(spark, rows)
 
 
-def lexicon_frame(spark: SparkSession, entries: Sequence[Entry]) -> DataFrame:
-    """The entries as a table."""
-    rows = [(i, e.term, e.level, e.lang, e.category, e.targeted) for i, e in enumerate(entries)]
-    return spark.createDataFrame(rows, "idx int, term string, level int, lang string, category string, targeted boolean")
-
-
 def frame_entries(df: DataFrame) -> list[Entry]:
     """U2. Entries of a caller's table, which must be small enough for one driver: its size is checked."""
     rows = df.limit(MAX_ENTRIES + 1).collect()
@@ -121,8 +123,12 @@ def _vectorized(entries: Sequence[Entry]):
     """Matching of long lists: one automaton finds all terms of a text at once, then borders are checked."""
     import ahocorasick
 
+    shared = SparkSession.active().sparkContext.broadcast(list(entries))
+
     @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ') for f in HIT.split(', '))}>>")
-    def find(norm: pd.Series, comp: pd.Series) -> pd.Series:
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        # Built once a task, for all of its batches.
+        entries = shared.value
         in_norm, in_comp = ahocorasick.Automaton(), ahocorasick.Automaton()
         for i, e in enumerate(entries):
             for automaton, key, wanted in ((in_norm, e.term, e.latin), (in_comp, e.term if e.latin else e.compact, not e.latin or len(e.term) >= 3)):
@@ -147,7 +153,8 @@ def _vectorized(entries: Sequence[Entry]):
                                 found.add(i)
             return [{"idx": i, "level": entries[i].level, "lang": entries[i].lang, "term": entries[i].term, "category": entries[i].category, "targeted": entries[i].targeted} for i in sorted(found)]
 
-        return pd.Series([one(n, c) for n, c in zip(norm, comp, strict=True)])
+        for norm, comp in batches:
+            yield pd.Series([one(n, c) for n, c in zip(norm, comp, strict=True)])
 
     return find
 
@@ -185,7 +192,7 @@ def fuse_floor(df: DataFrame, hits: str) -> DataFrame:
     floor = F.array_max(F.transform(h, lambda x: x["level"]))
     lift = F.coalesce(argmax_level(F.col("level_probs")) < floor, F.lit(False))
     lifted = F.transform("level_probs", lambda p, i: p * 0.5 + F.when(i == floor, 0.5).otherwise(0.0))
-    new = {"reasons": F.transform(h, lambda x: F.concat(F.lit("lexicon:"), x["lang"], F.lit(":"), x["term"])), "level_probs": barrier(F.when(lift, lifted).otherwise(F.col("level_probs")))}
+    new = {"reasons": F.transform(h, lambda x: F.concat(F.lit("lexicon:"), x["lang"], F.lit(":"), x["term"])), "level_probs": F.when(lift, lifted).otherwise(F.col("level_probs"))}
     for c in CATEGORIES:
         p = F.col(f"cat_{c}")
         new[f"cat_{c}"] = F.when(F.exists(h, _of_category(c)), F.greatest(p, F.lit(0.9))).otherwise(p)

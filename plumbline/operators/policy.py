@@ -14,6 +14,8 @@ from plumbline.functions.verdict import ACTIONS, CATEGORIES, action_name, action
 
 #: A policy or tenant table may have at most this many rows to be broadcast.
 MAX_SMALL_ROWS = 100_000
+#: Each text meets each row of a table only if the table has at most this many rows.
+MAX_COMBINED_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -110,8 +112,8 @@ def small(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> DataFrame:
 
 def policy_matrix(verdicts: DataFrame, policies: DataFrame) -> DataFrame:
     """J5. Each verdict under each policy of a small table: policy and action are added."""
-    if policies.limit(MAX_SMALL_ROWS + 1).count() > MAX_SMALL_ROWS:
-        raise ValueError(f"a policy table may have at most {MAX_SMALL_ROWS} rows")
+    if policies.limit(MAX_COMBINED_ROWS + 1).count() > MAX_COMBINED_ROWS:
+        raise ValueError(f"a table of policies for all texts may have at most {MAX_COMBINED_ROWS} rows; join by tenant instead")
     both = verdicts.crossJoin(F.broadcast(policies))
     out = both.withColumn("action", decide(F.col("level"), F.col("confidence"), cats()))
     return out.select(*verdicts.columns, "policy", "action")

@@ -23,6 +23,22 @@ def usage(verdicts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def with_tenants(calls: DataFrame, keys: DataFrame, open_access: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S6. (calls with their tenant, refused calls with reason), from api_key and client.
+
+    ``keys`` has api_key and tenant. An unknown key is refused. A call without a key belongs to its client's
+    anonymous tenant, or is refused where access is not open.
+    """
+    k = small(keys.where(F.col("api_key").isNotNull()).select("api_key", F.col("tenant").alias("__tenant")).dropDuplicates(["api_key"]))
+    given = F.coalesce("api_key", F.lit("")) != ""
+    found = calls.join(k, "api_key", "left")
+    anonymous = F.concat(F.lit("anonymous:"), F.coalesce("client", F.lit("unknown")))
+    found = found.withColumn("tenant", F.when(given, F.col("__tenant")).when(F.lit(open_access), anonymous))
+    reason = F.when(given, "unknown key").otherwise("no key")
+    known = F.col("tenant").isNotNull()
+    return found.where(known).drop("__tenant"), found.where(~known).withColumn("reason", reason).drop("__tenant", "tenant")
+
+
 def with_limits(calls: DataFrame, tenants: DataFrame, default: int = DEFAULT_LIMIT) -> DataFrame:
     """Adds quota: the tenant's rate_limit, or the default where it is null or 0."""
     t = small(tenants.select(F.col("name").alias("tenant"), "rate_limit"))
@@ -71,7 +87,11 @@ def append_feedback(feedback: DataFrame, path: str, tenant: Column, now: Column
     stamped.write.mode("append").json(path)
 
 
-def misjudgments(feedback: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """J10. Feedback whose human action differs from the verdict's, joined on text_hash."""
-    v = verdicts.select("text_hash", "action", "level").dropDuplicates(["text_hash"])
-    return feedback.join(v, "text_hash").where(F.col("human_action") != F.col("action"))
+def misjudgments(feedback: DataFrame, verdicts: DataFrame, on: tuple[str, ...] = ("text_hash",)) -> DataFrame:
+    """J10. Feedback whose human action differs from the verdict's, joined on text_hash.
+
+    A hash has several verdicts where the floor depends on the language: all different ones are given, or
+    that of the row alone with ``on=("id",)`` or ``on=("text_hash", "lang")``.
+    """
+    v = verdicts.select(*on, "action", "level").distinct()
+    return feedback.join(v, list(on)).where(F.col("human_action") != F.col("action"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.policy import MAX_SMALL_ROWS, small
+from plumbline.operators.policy import MAX_COMBINED_ROWS, small
 
 DEFAULT_HIDE = 2
 
@@ -36,7 +36,7 @@ def viewer_matrix(verdicts: DataFrame, viewers: DataFrame, on: str | None = None
     if on:
         both = verdicts.join(small(v), on)
     else:
-        if v.limit(MAX_SMALL_ROWS + 1).count() > MAX_SMALL_ROWS:
+        if v.limit(MAX_COMBINED_ROWS + 1).count() > MAX_COMBINED_ROWS:
             raise ValueError("too many viewers for all combinations; give a column to join on")
         both = verdicts.crossJoin(F.broadcast(v))
     shown = viewer_action(*[F.col(c) for c in ("enabled", "hide_level", "blur", "allow", "level_argmax", "top_category")])

@@ -6,14 +6,16 @@ scripts and NFKC don't appear here; unit tests cover them.
 
 from __future__ import annotations
 
+import json
 import re
 
 from plumbline.functions.text import STOP_WORDS, VIETNAMESE
 from plumbline.functions.verdict import ACTIONS, CATEGORIES
 from plumbline.operators.batches import BATCH, LABEL_CATEGORIES, LABEL_PROBS
 from plumbline.operators.grading import RUBRIC_VERSION
-from plumbline.operators.policy import PRESETS
-from plumbline.plans.samples import QUOTA_S, TENANTS, VIEWERS, WORD_LIST
+from plumbline.operators.lexicon import builtin_lists
+from plumbline.operators.policy import PRESETS, Policy
+from plumbline.plans.samples import HOUSE_POLICY, KEYS, QUOTA_S, TENANTS, VIEWERS, WORD_LIST
 
 __all__ = ["BATCH", "ORACLES"]
 ORACLES: dict[str, str] = {}
@@ -114,14 +116,14 @@ graded = lambda p="balanced": f"{G},\nv AS (SELECT *, {decide(PRESETS[p])} AS ac
 VERDICT = "id, lang, text_hash, round(level, 6) AS level, level_argmax, targeted, confidence, top_category, action, reasons"
 ORACLES["grade_documents"] = ORACLES["stream_grade"] = f"WITH {graded()} SELECT {VERDICT} FROM v"
 # --- guard model
-label = "['Safe', 'UNSAFE', 'Controversial', 'nothing'][doc_id % 4 + 1]"
-names = "['None', 'Violent, Unethical Acts', 'Suicide & Self-Harm', 'Sexual Content or Sexual Acts , Other', 'Non-violent Illegal Acts,'][doc_id % 5 + 1]"
-lab = "['safe', 'unsafe', 'controversial', 'safe'][doc_id % 4 + 1]"
+SIZE = "length(coalesce(text, ''))"
+names = f"['None', 'Violent, Unethical Acts', 'Suicide & Self-Harm', 'Sexual Content or Sexual Acts , Other', 'Non-violent Illegal Acts,'][{SIZE} % 5 + 1]"
+lab = f"['safe', 'unsafe', 'controversial', 'safe'][{SIZE} % 4 + 1]"
 cat_guard = ", ".join(
-    f"CASE WHEN doc_id % 7 <> 0 AND ({' OR '.join(f'list_contains(ns, {q(k)})' for k, v in LABEL_CATEGORIES.items() if v == c) or 'false'}) THEN 0.9 ELSE 0.05 END::DOUBLE AS rcat_{c}" for c in CATEGORIES
+    f"CASE WHEN chars % 7 <> 0 AND ({' OR '.join(f'list_contains(ns, {q(k)})' for k, v in LABEL_CATEGORIES.items() if v == c) or 'false'}) THEN 0.9 ELSE 0.05 END::DOUBLE AS rcat_{c}" for c in CATEGORIES
 )
 prob_guard = ", ".join(f"CASE label {' '.join(f'WHEN {q(k)} THEN {v[i]}' for k, v in LABEL_PROBS.items())} END::DOUBLE AS p{i}" for i in range(5))
-GUARD = f"""gd0 AS (SELECT doc_id AS gid, doc_id, {lab} AS label, list_transform(string_split({names}, ','), lambda x: lower(trim(x))) AS ns FROM documents),
+GUARD = f"""gd0 AS (SELECT doc_id AS gid, {SIZE} AS chars, {lab} AS label, list_transform(string_split({names}, ','), lambda x: lower(trim(x))) AS ns FROM documents),
 gd AS (SELECT gid, label, {prob_guard}, {cat_guard}, CASE WHEN label = 'safe' THEN 0.05 ELSE 0.5 END::DOUBLE AS rtargeted, 0.7::DOUBLE AS confidence FROM gd0)"""
 ORACLES["parse_guard_output"] = f"WITH {GUARD} SELECT gid AS doc_id, label, round({LEVEL('p')}, 6) AS level, {', '.join(f'rcat_{c} AS cat_{c}' for c in CATEGORIES)}, rtargeted AS targeted, confidence FROM gd"
 ORACLES["fuse_with_language"] = f"""WITH {MATCH}, {GUARD}, raw AS (SELECT m.*, {level_of('o')} AS floor, gd.* EXCLUDE (gid) FROM m JOIN gd ON gid = id),
@@ -143,17 +145,47 @@ for name, enabled, hide, blur, allow in VIEWERS:
 SHOWN = f"{G}, s AS ({' UNION ALL '.join(shown)})"
 ORACLES["viewer_actions"] = f"WITH {SHOWN} SELECT id, viewer, shown FROM s"
 ORACLES["display_stats"] = f"WITH {SHOWN} SELECT viewer, count(*) AS graded, count(*) FILTER (id % 2 = 0) AS cached, count(*) FILTER (shown = 'hide') AS hidden, count(*) FILTER (shown = 'blur') AS blurred FROM s GROUP BY viewer"
+# --- sources, sinks and what callers bring
+ORACLES["text_lines"] = r"""WITH l AS (SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT sha256(t) AS sha, count(*) AS n, max(length(t)) AS chars, count(*) AS ids FROM l WHERE regexp_matches(t, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') GROUP BY t"""
+ORACLES["golden_files"] = r"""SELECT 'en-labels-' || doc_id AS id, coalesce(lang, 'und') AS lang, sha256(regexp_replace(text, '^[\t-\r ]+|[\t-\r ]+$', '', 'g')) AS text_sha256,
+toxic::BIGINT * 2 AS level, CASE WHEN toxic = 1 THEN 'harassment' ELSE '' END AS categories, false AS targeted, 'from labels.parquet, label ' || toxic AS note FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)"""
+ORACLES["labelled_files"] = """SELECT doc_id, form, sha256(text) AS text_sha256, toxic::BIGINT AS toxic FROM documents JOIN labels USING (doc_id), (VALUES ('csv'), ('jsonl')) AS f(form)"""
+B = [r | {"lang": doc["lang"]} for doc in (json.loads(p.read_text(encoding="utf-8")) for p in builtin_lists()) for r in doc["entries"]]
+B = [r | {"norm": r["term"].lower(), "compact": re.sub(r"[^\w]|_", "", r["term"].lower())} for r in B]
+ORACLES["builtin_matches"] = f"WITH {NORM} " + " UNION ALL ".join(f"SELECT id, {q(r['norm'])} AS term, {q(r['lang'])} AS lang, {r['level']}::BIGINT AS level FROM n WHERE {match(r)}" for r in B)
+ORACLES["feedback_appended"] = f"""WITH {NORM} SELECT doc_id, 'tenant-' || source AS tenant, text_hash, CASE WHEN toxic = 1 THEN 'block' ELSE 'pass' END AS human_action,
+CASE WHEN toxic = 1 THEN 3 END::BIGINT AS expected_level, '2026-01-01 00:00:00' AS ts FROM n JOIN labels USING (doc_id) WHERE quality IN (0, 1)"""
+by_length = ", ".join(f"CASE WHEN chars % 5 = {i} THEN 0.88 ELSE 0.03 END::DOUBLE AS p{i}" for i in range(5))
+cat_length = ", ".join(f"{'CASE WHEN chars % 7 = 0 THEN 0.75 ELSE 0.05 END' if c == 'spam' else '0.0'}::DOUBLE AS rcat_{c}" for c in CATEGORIES)
+
+
+def by_scorer(first: str) -> str:
+    """CTEs of grading by the scorer that reads lengths; ``first`` orders the items that share a hash."""
+    return f"""{MATCH}, s0 AS (SELECT *, first_value(length(text)) OVER (PARTITION BY text_hash ORDER BY {first}) AS chars, {level_of('o')} AS floor FROM m),
+raw AS (SELECT *, {by_length}, {cat_length}, 0.3::DOUBLE AS rtargeted, 0.7::DOUBLE AS confidence FROM s0), {fused()}, v AS (SELECT *, {decide(PRESETS['balanced'])} AS action FROM g)"""
+
+
+ORACLES["scored_in_batches"] = f"""WITH {by_scorer('id')} SELECT id, round(level, 6) AS level, level_argmax, round(cat_spam, 6) AS cat_spam, targeted, action, false AS cached, 'length' AS backend, 10.0::DOUBLE AS input_tokens FROM v"""
+ORACLES["stream_scored_once"] = f"""WITH {by_scorer('id % 2, id')}, c AS (SELECT *, id % 2 = 1 AND min(id % 2) OVER (PARTITION BY text_hash) = 0 AS cached FROM v)
+SELECT id, cached, round(level, 6) AS level, level_argmax, action, CASE WHEN cached THEN 0.0 ELSE 10.0 END::DOUBLE AS input_tokens FROM c"""
+ORACLES["custom_entries"] = f"WITH {MATCH} " + " UNION ALL ".join(f"SELECT id, {q(r['norm'])} AS term, {r['level']}::BIGINT AS level FROM m WHERE m{r['i']}" for r in W)
+ORACLES["custom_policy"] = f"WITH {G}, a AS (SELECT source, {decide(Policy(**HOUSE_POLICY))} AS action FROM g) SELECT source, action, count(*) AS n FROM a GROUP BY ALL"
+in_script = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS script, length(regexp_replace(t, '[^{cls}]', '', 'g')) AS n FROM x" for name, cls in (("LATIN", r"\p{Latin}"), ("ARMENIAN", r"\p{Armenian}"), ("TAMIL", r"அதமழ"), ("RUNIC", r"\p{Runic}"), ("CYRILLIC", r"\p{Cyrillic}"), ("ETHIOPIC", r"\p{Ethiopic}"), ("HAN", r"\p{Han}"), ("HIRAGANA", r"\p{Hiragana}")))
+ORACLES["all_scripts"] = f"""WITH x AS (SELECT doc_id, text || ['', 'ԱԲԳ', 'தமிழ் அ', 'ᚠᚢ Ж', 'ጀ漢か'][length(text) % 5 + 1] AS t FROM documents), c AS ({in_script}) SELECT doc_id, script, n FROM c WHERE n > 0"""
+keys = "(VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in KEYS) + ") AS ke(api_key, tenant)"
+ORACLES["tenants_by_key"] = f"""WITH c AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN 'key' || user_id % 7 END AS api_key, 'c' || event_id % 4 AS client FROM events)
+SELECT event_id, CASE WHEN c.api_key IS NULL THEN 'anonymous:' || client ELSE ke.tenant END AS tenant, CASE WHEN c.api_key IS NOT NULL AND ke.tenant IS NULL THEN 'unknown key' END AS reason FROM c LEFT JOIN {keys} ON ke.api_key = c.api_key"""
 # --- dedupe and cache
 ORACLES["dedupe_texts"] = f"WITH {NORM} SELECT text_hash, min(id) AS first_id, count(*) AS n_items FROM n GROUP BY text_hash"
-OLD = f"""y0 AS (SELECT CASE WHEN id % 4 = 0 THEN '{RUBRIC_VERSION}' ELSE 'old' END AS rubric_version, text_hash, id AS created, id * 7 % 1000 AS last_used FROM n WHERE id % 2 = 0),
-old AS (SELECT rubric_version, text_hash, max(created) AS created, arg_max(last_used, created) AS last_used FROM y0 GROUP BY ALL)"""
-OLD = OLD.replace("GROUP BY ALL", "GROUP BY rubric_version, text_hash")
+OLD = f"""y0 AS (SELECT CASE WHEN id % 4 < 2 THEN '{RUBRIC_VERSION}' ELSE 'old' END AS rubric_version, text_hash, id AS created, id * 7 % 1000 AS last_used FROM n),
+old AS (SELECT rubric_version, text_hash, max(created) AS created, arg_max(last_used, created) AS last_used FROM y0 GROUP BY rubric_version, text_hash)"""
 ORACLES["cache_misses"] = f"WITH {NORM}, {OLD} SELECT id, o.text_hash IS NOT NULL AS cached, o.text_hash IS NULL AS missed FROM n LEFT JOIN (SELECT text_hash FROM old WHERE rubric_version = '{RUBRIC_VERSION}') o USING (text_hash)"
-ORACLES["cache_upsert"] = f"""WITH {NORM}, {OLD}, b AS (SELECT rubric_version, text_hash, created, last_used, 0 AS new FROM old UNION ALL SELECT '{RUBRIC_VERSION}', text_hash, id + 10, id + 10, 1 FROM n WHERE id % 3 = 0)
+ORACLES["cache_upsert"] = f"""WITH {NORM}, {OLD}, b AS (SELECT rubric_version, text_hash, created, last_used, 0 AS new FROM old UNION ALL SELECT '{RUBRIC_VERSION}', text_hash, id + k, id + k, 1 FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 10 ELSE -10 END AS k FROM n))
 SELECT 'lexicon' AS backend, rubric_version, text_hash, max(created) AS created, arg_max(last_used, created * 2 + new) AS last_used FROM b GROUP BY rubric_version, text_hash"""
 ORACLES["cache_size"] = f"WITH {NORM}, {OLD} SELECT 'lexicon' AS backend, rubric_version, count(*) AS entries FROM old GROUP BY rubric_version"
 ORACLES["fan_out"] = f"WITH {graded()} SELECT id, text_hash, round(level, 6) AS level, action, false AS cached FROM v"
-ORACLES["lru_retention"] = f"""WITH {NORM}, {OLD}, u AS (SELECT text_hash, max(id + 500) AS used FROM n WHERE id % 5 = 0 GROUP BY text_hash)
+ORACLES["lru_retention"] = f"""WITH {NORM}, {OLD}, u AS (SELECT text_hash, max(id * 13 % 1500) AS used FROM n GROUP BY text_hash)
 SELECT text_hash, greatest(last_used, coalesce(used, last_used)) AS last_used FROM old LEFT JOIN u USING (text_hash) WHERE rubric_version = '{RUBRIC_VERSION}' ORDER BY 2 DESC, 1 LIMIT 100"""
 ORACLES["client_retention"] = "SELECT source AS viewer, doc_id AS seq FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 20"
 # --- evaluation
@@ -175,14 +207,16 @@ MEASURES = """count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(withi
  count(*) FILTER (want = 'pass' AND action = 'block') AS false_blocks, count(*) FILTER (want = 'block' AND action = 'pass') AS misses, {tok} AS tokens_per_item"""
 COUNTS = "count(*) FILTER (e >= 2 AND p)", "count(*) FILTER (e < 2 AND p)", "count(*) FILTER (e >= 2 AND NOT p)"
 F1 = f"round(CASE WHEN 2 * {COUNTS[0]} + {COUNTS[1]} + {COUNTS[2]} = 0 THEN 'nan'::DOUBLE ELSE 2.0 * {COUNTS[0]} / (2 * {COUNTS[0]} + {COUNTS[1]} + {COUNTS[2]}) END, 6)"
-ORACLES["eval_by_language"] = f"WITH {evaluated('balanced')} SELECT lang, {MEASURES.format(f1=F1, tok='0.0::DOUBLE')} FROM j GROUP BY lang"
-ORACLES["eval_overall"] = f"""WITH {evaluated('strict')} SELECT lang, {MEASURES.format(f1=F1, tok='0.0::DOUBLE')} FROM j GROUP BY lang
-UNION ALL SELECT NULL, {MEASURES.format(f1='NULL::DOUBLE', tok='NULL::DOUBLE')} FROM j"""
-ORACLES["gross_errors"] = f"WITH {evaluated('balanced')} SELECT id, lang, e::BIGINT AS expected_level, round(level, 6) AS level, level_argmax, top_category, substr(text, 1, 60) AS text_60 FROM j WHERE abs(level_argmax - e) >= 2"
 rank = lambda c: f"rank() OVER (PARTITION BY lang ORDER BY {c}) + (count(*) OVER (PARTITION BY lang, {c}) - 1) / 2.0"
-ORACLES["spearman_by_language"] = f"""WITH {evaluated('balanced')}, rk AS (SELECT lang, {rank('e')} AS rx, {rank('level')} AS ry FROM j),
-s AS (SELECT lang, count(*) AS n, avg(rx * ry) - avg(rx) * avg(ry) AS cov, avg(rx * rx) - avg(rx) ** 2 AS vx, avg(ry * ry) - avg(ry) ** 2 AS vy FROM rk GROUP BY lang)
-SELECT lang, n, round(CASE WHEN n < 2 OR vx < 1e-9 OR vy < 1e-9 THEN 'nan'::DOUBLE ELSE cov / sqrt(vx * vy) END, 6) AS spearman FROM s"""
+RHO = f"""rk AS (SELECT lang, {rank('e')} AS rx, {rank('level')} AS ry FROM j),
+s AS (SELECT lang, count(*) AS n, avg(rx * ry) - avg(rx) * avg(ry) AS cov, avg(rx * rx) - avg(rx) ** 2 AS vx, avg(ry * ry) - avg(ry) ** 2 AS vy FROM rk GROUP BY lang),
+rho AS (SELECT lang, n, round(CASE WHEN n < 2 OR vx < 1e-9 OR vy < 1e-9 THEN 'nan'::DOUBLE ELSE cov / sqrt(vx * vy) END, 6) AS spearman FROM s)"""
+EACH = f"SELECT j.lang AS lang, {MEASURES.format(f1=F1, tok='0.0::DOUBLE')}, max(spearman) AS spearman FROM j LEFT JOIN (SELECT lang, spearman FROM rho) r ON r.lang = j.lang GROUP BY j.lang"
+ORACLES["eval_by_language"] = f"WITH {evaluated('balanced')}, {RHO} {EACH}"
+ORACLES["eval_overall"] = f"""WITH {evaluated('strict')}, {RHO} {EACH}
+UNION ALL SELECT NULL, {MEASURES.format(f1='NULL::DOUBLE', tok='NULL::DOUBLE')}, NULL::DOUBLE FROM j"""
+ORACLES["gross_errors"] = f"WITH {evaluated('balanced')} SELECT id, lang, e::BIGINT AS expected_level, round(level, 6) AS level, level_argmax, top_category, substr(text, 1, 60) AS text_60 FROM j WHERE abs(level_argmax - e) >= 2"
+ORACLES["spearman_by_language"] = f"WITH {evaluated('balanced')}, {RHO} SELECT lang, n, spearman FROM rho"
 ORACLES["binary_eval"] = f"WITH {evaluated('balanced')} SELECT source, count(*) AS n, {COUNTS[0]} AS tp, {COUNTS[1]} AS fp, {COUNTS[2]} AS fn, {F1} AS f1 FROM j GROUP BY source"
 # --- requests
 ORACLES["invalid_requests"] = """SELECT * FROM (SELECT conv_id AS request_id, count(*) AS n_items, CASE WHEN count(*) > 6 THEN 'too many items' WHEN max(length(coalesce(text, ''))) > 1200 THEN 'text too long'
@@ -194,7 +228,10 @@ pos = "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1"
 ORACLES["batch_numbers"] = f"SELECT conv_id, turn, {pos} AS pos, (({pos}) // 4)::BIGINT AS chunk FROM conversations"
 ORACLES["batch_requests"] = f"""WITH b AS (SELECT conv_id, (({pos}) // 4)::BIGINT AS chunk FROM conversations)
 SELECT conv_id, chunk, count(*) AS n_items, 9 * count(*) AS n_questions, count(*) + 1 AS n_state FROM b GROUP BY conv_id, chunk"""
-ORACLES["parse_model_response"] = """WITH x AS (SELECT doc_id, n_chars, doc_id % 10 / 10.0::DOUBLE AS x FROM documents),
+ABOUT = ",".join(sorted([*(f"cat_{c}" for c in CATEGORIES), "risk", "targeted"]))
+ORACLES["batch_content"] = f"""WITH b AS (SELECT conv_id, text, {pos} AS pos FROM conversations)
+SELECT conv_id, (pos // 4)::BIGINT AS chunk, 'c' || pos % 4 AS key, '{ABOUT}' AS about, true AS named, sha256(text) AS text_sha256 FROM b"""
+ORACLES["parse_model_response"] = f"""WITH x AS (SELECT doc_id, {SIZE} AS n_chars, {SIZE} % 10 / 10.0::DOUBLE AS x FROM documents),
 i AS (SELECT doc_id, n_chars, x, 0 AS item, [x, 0.2, 0.1, 0.1, 0.1] AS p FROM x UNION ALL SELECT doc_id, n_chars, x, 1, [0.0, x, 0.0, x, 0.0] FROM x),
 s AS (SELECT *, CASE WHEN list_sum(p) = 0 THEN 1 ELSE list_sum(p) END AS t FROM i)
 SELECT doc_id, item::BIGINT AS item, round((p[2] + 2 * p[3] + 3 * p[4] + 4 * p[5]) / t, 6) AS level, (list_position(p, list_max(p)) - 1)::BIGINT AS level_argmax,

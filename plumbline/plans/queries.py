@@ -12,7 +12,7 @@ from plumbline.functions.verdict import CATEGORIES, argmax_level, cats, expected
 from plumbline.operators import batches, cache, evaluate, grading, lexicon, policy, requests, viewer
 from plumbline.plans import samples
 from plumbline.sources import datasets
-from plumbline.sources.shared import keep
+from plumbline.sources.shared import keep, new_path
 from plumbline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,10 +142,11 @@ def grade_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guard_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a guard model, made from the documents by expression."""
-    label = F.element_at(F.array(*[F.lit(x) for x in ("Safe", "UNSAFE", "Controversial", "nothing")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    names = F.element_at(F.array(*[F.lit(x) for x in ("None", "Violent, Unethical Acts", "Suicide & Self-Harm", "Sexual Content or Sexual Acts , Other", "Non-violent Illegal Acts,")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    out = F.concat(F.lit("Safety: "), label, F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("\nCategories: "), names)), F.lit("\n"), F.substring("text", 1, 20))
+    """Answers of a guard model, made from the whole documents by expression; the text follows the two lines."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    label = F.element_at(F.array(*[F.lit(x) for x in ("Safe", "UNSAFE", "Controversial", "nothing")]), (size % 4 + 1).cast("int"))
+    names = F.element_at(F.array(*[F.lit(x) for x in ("None", "Violent, Unethical Acts", "Suicide & Self-Harm", "Sexual Content or Sexual Acts , Other", "Non-violent Illegal Acts,")]), (size % 5 + 1).cast("int"))
+    out = F.concat(F.lit("Safety: "), label, F.when(size % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("\nCategories: "), names)), F.lit("\n"), F.coalesce("text", F.lit("")))
     return documents(spark, sf_dir).withColumn("answer", out)
 
 
@@ -203,26 +204,132 @@ def display_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewer.display_stats(viewer.viewer_matrix(g, viewers(spark)))
 
 
+# --- sources, sinks and what callers bring ---------------------------------------------------------
+
+
+@query
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a text file, read back line by line."""
+    path = new_path(spark, "texts")
+    documents(spark, sf_dir).where(F.col("text").isNotNull()).select("text").write.text(path)
+    lines = datasets.read_texts(spark, paths=[path]).withColumn("sha", F.sha2("text", 256))
+    return lines.groupBy("sha").agg(F.count("*").alias("n"), n(F.max(F.length("text"))).alias("chars"), F.count_distinct("id").alias("ids"))
+
+
+@query
+def golden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden rows of the labelled documents, written a folder a language and read back."""
+    g = datasets.to_golden(labelled(spark, sf_dir).withColumnRenamed("lang", "own"), "text", "toxic", "en", {"1": 2, "0": 0}, "labels", "labels.parquet", "harassment", "doc_id")
+    langs = documents(spark, sf_dir).select(F.concat(F.lit("en-labels-"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("own"))
+    path = new_path(spark, "golden")
+    datasets.write_golden(g.join(langs, "id").withColumn("lang", F.coalesce("own", F.lit("und"))).drop("own"), path)
+    back = datasets.read_golden(spark, path)
+    return back.select("id", "lang", F.sha2("text", 256).alias("text_sha256"), n("level").alias("level"), F.array_join("categories", ",").alias("categories"), "targeted", "note")
+
+
+@query
+def labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as CSV and as JSON lines, read back."""
+    rows = labelled(spark, sf_dir).select("doc_id", "text", "toxic")
+    parts = []
+    for form in ("csv", "jsonl"):
+        path = f"{new_path(spark, 'labelled')}.{form}"
+        out = rows.write.option("header", True).option("escape", '"').option("quoteAll", True)
+        out.csv(path) if form == "csv" else out.json(path)
+        back = datasets.read_labelled(spark, path)
+        parts.append(back.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(form).alias("form"), F.sha2("text", 256).alias("text_sha256"), F.col("toxic").cast("long").alias("toxic")))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def builtin_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the package's own word lists find."""
+    h = grading.prepare(items(spark, sf_dir), lexicon.load_lexicon(spark)).select("id", F.explode("hits").alias("h"))
+    return h.select("id", F.col("h.term").alias("term"), F.col("h.lang").alias("lang"), n("h.level").alias("level"))
+
+
+@query
+def feedback_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human verdicts appended in two runs and read back."""
+    fb = labelled(spark, sf_dir).select(
+        "doc_id", "source", T.text_hash(T.normalize(F.col("text"))).alias("text_hash"), F.when(F.col("toxic") == 1, "block").otherwise("pass").alias("human_action"), F.when(F.col("toxic") == 1, 3).alias("expected_level")
+    )
+    path = new_path(spark, "feedback")
+    for quality in (0, 1):
+        own = fb.join(table(spark, sf_dir, "labels").where(F.col("quality") == quality).select("doc_id"), "doc_id", "left_semi")
+        requests.append_feedback(own, path, F.concat(F.lit("tenant-"), F.col("source")), F.lit("2026-01-01 00:00:00"))
+    back = spark.read.json(path)
+    return back.select("doc_id", "tenant", "text_hash", "human_action", n("expected_level").alias("expected_level"), "ts")
+
+
+@query
+def scored_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grading with a caller's batch scorer: each distinct text is scored once."""
+    g = grading.grade(items(spark, sf_dir), word_list(spark), "balanced", scorer=samples.LengthScorer())
+    return g.select("id", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), r6("cat_spam").alias("cat_spam"), "targeted", "action", "cached", "backend", "input_tokens")
+
+
+@query
+def custom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a caller's table of entries."""
+    rows = [(r["term"], r["level"], r.get("lang"), r.get("category"), r.get("targeted", False)) for r in samples.WORD_LIST]
+    frame = spark.createDataFrame(rows, "term string, level int, lang string, category string, targeted boolean").coalesce(1)
+    h = grading.prepare(items(spark, sf_dir), lexicon.frame_entries(frame)).select("id", "lang", F.explode("hits").alias("h"))
+    return h.select("id", F.col("h.term").alias("term"), n("h.level").alias("level"))
+
+
+@query
+def custom_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions under a caller's own policy."""
+    g = grading.grade(items(spark, sf_dir), word_list(spark), samples.HOUSE_POLICY)
+    return g.groupBy("source", "action").agg(F.count("*").alias("n"))
+
+
+@query
+def all_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter counts of every script; most documents get letters of rarer ones put behind them."""
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("", "ԱԲԳ", "தமிழ் அ", "ᚠᚢ Ж", "ጀ漢か")]), (F.length(F.coalesce("text", F.lit(""))) % 5 + 1).cast("int"))
+    d = documents(spark, sf_dir).select("doc_id", T.script_counts(F.concat(F.col("text"), tail)).alias("m"))
+    return d.select("doc_id", F.explode("m").alias("script", "k")).select("doc_id", "script", n("k").alias("n"))
+
+
+@query
+def tenants_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenant of each call by its key; calls without one are anonymous, unknown keys are refused."""
+    e = table(spark, sf_dir, "events")
+    key = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("key"), (F.col("user_id") % 7).cast("string")))
+    calls = e.select("event_id", key.alias("api_key"), F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("client"))
+    known, refused = requests.with_tenants(calls, spark.createDataFrame(samples.KEYS, "api_key string, tenant string"))
+    return known.select("event_id", "tenant", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("event_id", F.lit(None).cast("string").alias("tenant"), "reason"))
+
+
 # --- dedupe and cache ------------------------------------------------------------------------------
 
 
 @query
 def dedupe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = grading.distinct_texts(prepared(spark, sf_dir).withColumn("first_id", F.col("id")), "id", "first_id")
+    p = grading.prepare(items(spark, sf_dir), [])
+    d = grading.distinct_texts(p.withColumn("first_id", F.col("id")), "id", "first_id")
     return d.select("text_hash", F.col("text").alias("first_id"), "n_items")
 
 
-def yesterday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict table: the texts of even ids, some under another version."""
-    v = grading.with_raw(prepared(spark, sf_dir).where("id % 2 = 0"), None, "id")[0]
-    version = F.when(F.col("id") % 4 == 0, F.lit(grading.RUBRIC_VERSION)).otherwise(F.lit("old"))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's hash and raw word-list verdict, computed once and written."""
+    v = grading.with_raw(prepared(spark, sf_dir), None, "id")[0]
+    return keep(v.select("id", "text_hash", *grading.RAW_COLS), "scored")
+
+
+def yesterday(v: DataFrame) -> DataFrame:
+    """A verdict table of all texts, some entries of an older version."""
+    version = F.when(F.col("id") % 4 < 2, F.lit(grading.RUBRIC_VERSION)).otherwise(F.lit("old"))
     v = v.withColumns({"rubric_version": version, "created": F.col("id"), "last_used": F.col("id") * 7 % 1000}).select(*cache.KEY, *[c for c in grading.RAW_COLS if c != "backend"], "created", "last_used")
     return cache.upsert(v.limit(0), v)
 
 
 @query
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, old = prepared(spark, sf_dir).select("id", "text_hash"), yesterday(spark, sf_dir)
+    p = scored(spark, sf_dir)
+    old, p = yesterday(p), p.select("id", "text_hash")
     hit = cache.lookup(p, old, lexicon.SCORER, grading.RUBRIC_VERSION)
     left = cache.misses(p, old, lexicon.SCORER, grading.RUBRIC_VERSION).select(F.col("id").alias("mid"))
     return hit.join(left, hit["id"] == left["mid"], "left").select("id", "cached", F.col("mid").isNotNull().alias("missed"))
@@ -230,15 +337,16 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = yesterday(spark, sf_dir)
-    new = grading.with_raw(prepared(spark, sf_dir).where("id % 3 = 0"), None, "id")[0]
-    new = new.withColumns({"rubric_version": F.lit(grading.RUBRIC_VERSION), "created": F.col("id") + 10, "last_used": F.col("id") + 10}).select(*old.columns)
+    v = scored(spark, sf_dir)
+    old = yesterday(v)
+    created = F.col("id") + F.when(F.col("id") % 3 == 0, 10).otherwise(-10)
+    new = v.withColumns({"rubric_version": F.lit(grading.RUBRIC_VERSION), "created": created, "last_used": created}).select(*old.columns)
     return cache.upsert(old, new).select("backend", "rubric_version", "text_hash", "created", "last_used")
 
 
 @query
 def cache_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cache.cache_size(yesterday(spark, sf_dir))
+    return cache.cache_size(yesterday(scored(spark, sf_dir)))
 
 
 @query
@@ -250,8 +358,9 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lru_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = prepared(spark, sf_dir).where("id % 5 = 0").select("text_hash", (F.col("id") + 500).alias("used_at"))
-    touched = cache.touch(yesterday(spark, sf_dir).where(F.col("rubric_version") == grading.RUBRIC_VERSION), used)
+    v = scored(spark, sf_dir)
+    used = v.select("text_hash", (F.col("id") * 13 % 1500).alias("used_at"))
+    touched = cache.touch(yesterday(v).where(F.col("rubric_version") == grading.RUBRIC_VERSION), used)
     return cache.retain_recent(touched, 100).select("text_hash", "last_used")
 
 
@@ -303,7 +412,7 @@ def eval_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(e: DataFrame) -> DataFrame:
-    return e.select("lang", "n", *[r6(c).alias(c) for c in ("exact", "within1", "f1_l2", "cat", "targeted")], "false_blocks", "misses", "tokens_per_item")
+    return e.select("lang", "n", *[r6(c).alias(c) for c in ("exact", "within1", "f1_l2", "spearman", "cat", "targeted")], "false_blocks", "misses", "tokens_per_item")
 
 
 @query
@@ -359,9 +468,21 @@ def batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("conv_id", n("chunk").alias("chunk"), n("n_items").alias("n_items"), n("n_questions").alias("n_questions"), n(n_state).alias("n_state"))
 
 
+@query
+def batch_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request says: one row a text with its state and how many questions are asked about it."""
+    b = batches.build_requests(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", 4)
+    asked = b.select("conv_id", "chunk", F.from_json("state", "map<string,string>").alias("state"), F.explode(F.from_json("questions", "map<string,string>")).alias("name", "question"))
+    key = F.regexp_extract("name", "^(c[0-9]+)_", 1)
+    asked = asked.select("conv_id", "chunk", key.alias("key"), F.regexp_extract("name", "^c[0-9]+_(.*)$", 1).alias("about"), F.element_at("state", key).alias("text"), F.contains("question", F.concat(F.lit("`"), key, F.lit("`"))).alias("named"))
+    out = asked.groupBy("conv_id", "chunk", "key").agg(F.array_join(F.array_sort(F.collect_set("about")), ",").alias("about"), F.bool_and("named").alias("named"), F.max(F.sha2("text", 256)).alias("text_sha256"))
+    return out.withColumn("chunk", n("chunk"))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch answers of a model, made from the documents by expression: two items each, the second without level 4."""
-    x = F.col("doc_id") % 10 / 10.0
+    """Batch answers of a model, made from the whole documents by expression: two items each, the second without level 4."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    x = size % 10 / 10.0
     level = lambda ps: F.to_json(F.struct(F.lit("score").alias("type"), F.lit(0.9).alias("confidence"), F.map_from_arrays(F.array(*[F.lit(str(i)) for i in range(len(ps))]), F.array(*ps)).alias("probabilities")))
     yes = lambda p: F.to_json(F.struct(F.lit("noul").alias("type"), p.alias("noul")))
     parts = []
@@ -370,7 +491,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append((f"c{i}_targeted", yes(x)))
         parts += [(f"c{i}_cat_{c}", yes(F.lit(0.1 * (k + i)))) for k, c in enumerate(CATEGORIES)]
     answers = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts])
-    out = F.concat(F.lit('{"model":"m","answers":{'), answers, F.lit('},"usage":{"input_tokens":'), F.col("n_chars").cast("string"), F.lit("}}"))
+    out = F.concat(F.lit('{"model":"m","answers":{'), answers, F.lit('},"usage":{"input_tokens":'), size.cast("string"), F.lit("}}"))
     return documents(spark, sf_dir).select("doc_id", out.alias("response"), F.lit(2).alias("n_items"))
 
 
@@ -456,3 +577,13 @@ def stream_text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_available(jobs.change_stream(s, ["conv_id"], "turn"), "changes")
 
 
+@query
+def stream_scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two micro-batches: texts that the first one scored are not scored again."""
+    inbox = new_path(spark, "inbox")
+    for odd in (0, 1):
+        items(spark, sf_dir).where(F.pmod("id", F.lit(2)) == odd).coalesce(1).write.mode("append").parquet(f"{inbox}/part={odd}")
+    s = spark.readStream.schema(items(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(inbox)
+    out, store = new_path(spark, "verdicts"), new_path(spark, "store")
+    jobs.scored_once(s, word_list(spark), samples.LengthScorer(), store, out, new_path(spark, "scored-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("id", "cached", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), "action", "input_tokens")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,17 @@ GOLDEN = "id string, text string, level int, categories array<string>, targeted
 
 
 def indexed(df: DataFrame, name: str = "index") -> DataFrame:
-    """Adds each row's 0-based position in source order, by counting partitions first: no global sort."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, df.schema.add(name, "long"))
+    """Adds each row's 0-based position in source order, by counting partitions first: no global sort.
+
+    The counts, one number a partition, give the place of each partition's first row.
+    """
+    marked = df.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    counts = marked.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()
+    starts = [(r["__part"], at) for r, at in zip(counts, accumulate([0, *[r["n"] for r in counts]]), strict=False)]
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __start long"))
+    # The lower 33 bits of the id number the rows of a partition.
+    index = F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(starts, "__part").select(*df.columns, index.alias(name))
 
 
 def read_texts(spark: SparkSession, texts: Sequence[str] = (), paths: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +42,10 @@ def read_texts(spark: SparkSession, texts: Sequence[str] = (), paths: Sequence[s
 
 
 def read_golden(spark: SparkSession, directory: str, langs: Sequence[str] | None = None) -> DataFrame:
-    """S2. All golden files of a folder; lang is the file's stem."""
-    df = spark.read.schema(GOLDEN).json(directory).withColumn("lang", F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*$", 1))
+    """S2. All golden files of a folder; lang is the file's stem, or the name of its folder as ``write_golden`` makes them."""
+    df = spark.read.schema(GOLDEN).json(directory)
+    if "lang" not in df.columns:
+        df = df.withColumn("lang", F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*$", 1))
     df = df.withColumns({"categories": F.coalesce("categories", F.array().cast("array<string>")), "targeted": F.coalesce("targeted", F.lit(False))})
     return df.where(F.col("lang").isin(*langs)) if langs else df
 

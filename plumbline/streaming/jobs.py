@@ -1,6 +1,8 @@
 """The same work on streams: grading (Q1), scoring each text once (Q2), quotas (Q3), text changes (Q4).
 
-Watermarks are ours: they only bound the state of what is kept for each key.
+State is kept for each tenant or node until it has been idle for a while (``idle_s``, in time of the machine).
+The rows of one key in one micro-batch are put in order in memory, with the few columns the job needs: bound
+micro-batches with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` where a key may be hot.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from plumbline.operators.grading import RUBRIC_VERSION, Scorer, finish, prepare, with_raw
 from plumbline.operators.lexicon import Entry
 from plumbline.operators.requests import WINDOW_S, admit
-from plumbline.sources.shared import new_path
+from plumbline.sources.shared import keep, new_path
 
 
 def grade_stream(items: DataFrame, entries: Sequence[Entry], policy: str = "balanced", lang_col: str | None = "lang") -> DataFrame:
@@ -28,8 +30,9 @@ def grade_stream(items: DataFrame, entries: Sequence[Entry], policy: str = "bala
 def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cache_path: str, out_path: str, checkpoint: str, policy: str = "balanced"):
     """Q2. Starts a query that scores only hashes the cache table lacks, and appends verdicts to ``out_path``.
 
-    Each batch writes its new entries and its verdicts under its batch id, so a repeated batch writes the
-    same folders again. The cache is the union of those folders.
+    Each batch is prepared and scored once and writes its new entries and its verdicts under its batch id, so
+    a repeated batch writes the same folders again. The cache is the union of those folders; only hashes and
+    verdicts are read of it, and ``compact_cache`` puts the folders of past batches together.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -40,44 +43,63 @@ def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cach
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
                 raise
             cache = None
-        scored, new = with_raw(prepare(batch, entries), scorer, "id", cache=cache)
-        entries_path = f"{cache_path}/batch_id={batch_id}"
-        new.withColumns({"rubric_version": F.lit(RUBRIC_VERSION), "created": F.current_timestamp()}).write.mode("overwrite").parquet(entries_path)
-        stored = spark.read.parquet(entries_path).drop("rubric_version", "created").withColumn("cached", F.lit(False))
-        known = stored
-        if cache is not None:
-            old = cache.where((F.col("backend") == scorer.name) & (F.col("rubric_version") == RUBRIC_VERSION)).select(*stored.drop("cached").columns)
-            known = stored.unionByName(old.withColumns({"cached": F.lit(True), "input_tokens": F.lit(0.0)}))
-        out = finish(prepare(batch, entries).join(known, "text_hash"), policy).drop("norm", "compact", "hits", "own_hits")
+        scored, new = with_raw(prepare(batch, entries), scorer, "id", cache=cache, dedupe=True)
+        stamped = new.withColumns({"rubric_version": F.lit(RUBRIC_VERSION), "created": F.current_timestamp(), "last_used": F.current_timestamp()})
+        stamped.write.mode("overwrite").parquet(f"{cache_path}/batch_id={batch_id}")
+        out = finish(scored, policy).drop("norm", "compact", "hits", "own_hits")
         out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def quota_stream(calls: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
+def compact_cache(spark, cache_path: str, below: int) -> None:
+    """Put the entries of all batches under ``below`` in the folder of the first; run it while no batch runs."""
+    old = spark.read.parquet(cache_path).where(F.col("batch_id") < below)
+    batches = sorted(r["batch_id"] for r in old.select("batch_id").distinct().collect())
+    if len(batches) < 2:
+        return
+    put = keep(old.drop("batch_id").dropDuplicates(["backend", "rubric_version", "text_hash"]), "compacted")
+    put.write.mode("overwrite").parquet(f"{cache_path}/batch_id={batches[0]}")
+    for b in batches[1:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{cache_path}/batch_id={b}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def quota_stream(calls: DataFrame, seconds: float = WINDOW_S, idle_s: float = 86_400) -> DataFrame:
     """Q3. (call_id, tenant, ts, admitted) of a stream of calls (call_id, tenant, ts, quota); state: admitted times.
 
     Calls of one batch are taken in order of time; a call that comes in a later batch than a later call
-    is judged when it comes.
+    is judged when it comes. A tenant without calls for ``idle_s`` seconds (at least twice the window) is
+    forgotten, which changes nothing as long as the calls' times keep up with the machine's.
     """
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
 
     def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         window = deque(state.get[0]) if state.exists else deque()
         pdf = pd.concat(list(batches)).sort_values(["ts", "call_id"], kind="stable")
         ok = [admit(window, at, quota, seconds) for at, quota in zip(pdf["ts"], pdf["quota"], strict=True)]
         state.update((list(window),))
+        state.setTimeoutDuration(int(1000 * max(idle_s, 2 * seconds)))
         yield pdf[["call_id", "tenant", "ts"]].assign(admitted=ok)
 
     out = f"call_id {kinds['call_id']}, tenant {kinds['tenant']}, ts double, admitted boolean"
-    return calls.select("call_id", "tenant", "ts", "quota").groupBy("tenant").applyInPandasWithState(run, out, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return calls.select("call_id", "tenant", "ts", "quota").groupBy("tenant").applyInPandasWithState(run, out, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def change_stream(events: DataFrame, node_cols: list[str], order_col: str, text_col: str = "text", least: int = 2) -> DataFrame:
-    """Q4. Text changes of each node: (node, order, text); state: the node's last text."""
+def change_stream(events: DataFrame, node_cols: list[str], order_col: str, text_col: str = "text", least: int = 2, idle_s: float = 86_400) -> DataFrame:
+    """Q4. Text changes of each node: (node, order, text); state: the node's last text, for ``idle_s`` seconds.
+
+    A node that shows up again later starts anew: its text counts as a change.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
     def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches)).sort_values(order_col, kind="stable")
         changed = []
@@ -86,11 +108,12 @@ def change_stream(events: DataFrame, node_cols: list[str], order_col: str, text_
             changed.append(t is not None and t != last)
             last = t
         state.update((last,))
+        state.setTimeoutDuration(int(1000 * idle_s))
         yield pdf[changed]
 
     cols = [*node_cols, order_col, text_col]
     schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
-    return events.select(*cols).groupBy(*node_cols).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+    return events.select(*cols).groupBy(*node_cols).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
