@@ -15,8 +15,9 @@ confirmed then meet all of theirs. Words of very high count are dealt in pairs o
 
 Defined cases: lines without a word, null and empty texts are left alone; rows with one id are compared
 by text hash and line number like any others; of rows that repeat id and text one is the first, whichever
-it is, and the others lose all lines with words; an empty table stays empty. Columns other than the named
-ones are kept as they are; added columns start with ``line_dedup_``.
+it is, and the others lose all lines with words; lines of any length are compared whole; an empty table
+stays empty. Columns other than the named ones are kept as they are; the three added columns replace columns
+of their names, and names that begin with ``__plumbline`` are used inside.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.kernel import mix, pieces, signed, span_hashes, word_bounds
-from plumbline.llm.store import keep, rows_at_most, same
+from plumbline.llm.quality_rules import let
+from plumbline.llm.store import bytes_at_most, keep, same
 
 BUCKETS, SLICE = 1 << 18, 1 << 12
 FIRST = 2
 HOT_WORD = 50_000
-#: Documents with removed lines are broadcast up to this number of rows.
-BROADCAST_DOCS = 200_000
+#: Tables of documents with lines to read or remove are broadcast up to this many bytes, words up to this number.
+BROADCAST_BYTES = 16 << 20
 BROADCAST_WORDS = 500_000
+ADDED = ("line_dedup_lines", "line_dedup_removed", "line_dedup_numbers")
 ROW = np.dtype([("word", "<u4"), ("rid", "<i8"), ("n", "<u4"), ("pos", "<u2"), ("bits", "<u8"), ("open", "u1")])
 #: Sketch sizes in 64-bit words, for sets of fewer words than given; a sketch folds into a smaller one by xor.
 SKETCHES = ((96, 1), (192, 2), (448, 4), (1 << 62, 32))
@@ -85,19 +88,26 @@ def line_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(buf, s, e), first, row, number
 
 
+def by_line(line: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The stable order of lines, then of numbers under 2**40; one number holds both unless a text has 2**24 lines."""
+    if len(line) and int(line[-1]) >> 24:
+        return np.lexsort((low, line))
+    return np.argsort((line << np.uint64(40)) | low, kind="stable")
+
+
 def line_sets(h: np.ndarray, first: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words of each line, rarest first, and the first of each line."""
-    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    rarity = h >> np.uint64(20)
-    if counts is not None:
-        c = np.minimum(counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
-        rarity |= c << np.uint64(44)
-    order = np.lexsort((rarity, line))
+    line = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    order = by_line(line, h >> np.uint64(24))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     h, line = h[new], line[new]
-    return h, np.searchsorted(line, np.arange(len(first)))
+    if counts is not None:
+        c = np.minimum(counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], (1 << 40) - 1).astype(np.uint64)
+        # Words of one count stay in order of their hashes.
+        h = h[by_line(line, c)]
+    return h, np.searchsorted(line, np.arange(len(first), dtype=np.uint64))
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -210,7 +220,7 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
             rows["pos"] = np.minimum(pos[copies][order], 0xFFFF)
             wide = batch.column(3).to_pylist()
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            stop = np.append(cut[1:], len(part))
+            stop = np.append(cut[1:], len(part))[: len(cut)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[cut]), pa.array([rows[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary()), pa.array([b"".join(wide[k] for k in at[a:b]) for a, b in zip(cut, stop, strict=True)], pa.binary())],
                 ["range", "rows", "wide"],
@@ -223,15 +233,16 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
         # Sets of sizes that can be similar lie in one class of sizes or in neighbouring ones.
         size_class = np.floor(np.log(r["n"]) / np.log(max(1.001, 100.0001 / percent))).astype(np.uint64)
         key = (r["word"].astype(np.uint64) << np.uint64(16)) | (size_class + np.uint64(1))
-        order = np.lexsort((r["rid"], key))
-        r, key, width, wide = r[order], key[order], width[order], {k: v[order] for k, v in wide.items()}
-        found = np.zeros(len(r), np.int64)
-        last = np.full(len(r), -1, np.int64)
-        a, b = [], []
         # Groups of one key and the rows' ranks by rid, as one ascending number: it finds the earlier rows of any group.
         keys, group = np.unique(key, return_inverse=True)
         rids, rank = np.unique(r["rid"], return_inverse=True)
         place = group * len(rids) + rank
+        order = np.argsort(place, kind="stable")
+        r, key, width, wide = r[order], key[order], width[order], {k: v[order] for k, v in wide.items()}
+        group, rank, place = group[order], rank[order], place[order]
+        found = np.zeros(len(r), np.int64)
+        last = np.full(len(r), -1, np.int64)
+        a, b = [], []
         asked = r["open"] > 0 if every else np.ones(len(r), bool)
         for step in (0, -1, 1):
             near = key + np.int64(step).astype(np.uint64)
@@ -264,7 +275,7 @@ def confirmed_lines(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent:
     rids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     needed = sets.join(rids, "rid", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "rid")).alias("wanted"))
     needed = keep(needed, "wanted")
-    small = rows_at_most(needed, BROADCAST_DOCS)
+    small = bytes_at_most(needed, 48 + 24 * F.size("wanted"), BROADCAST_BYTES)
     d, w = docs.alias("d"), (F.broadcast(needed) if small else needed).alias("w")
     texts = d.join(w, same(F.col("d.doc_id"), F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.wanted")
 
@@ -311,36 +322,37 @@ def removed_sets(sets: DataFrame, docs: DataFrame, shared, percent: int, range_b
     if rest.count():
         marked = sets.join(rest.withColumn("o", F.lit(1)), "rid", "left").withColumn("open", F.coalesce("o", F.lit(0)).cast("byte"))
         # Only their words matter then; the list is sent to the tasks if it is short.
-        words_ = sets.join(rest, "rid", "left_semi").select(F.explode("prefix").alias("w")).distinct().limit(BROADCAST_WORDS + 1).collect()
-        few = docs.sparkSession.sparkContext.broadcast(np.array([x["w"] for x in words_], np.int32).view(np.uint32)) if len(words_) <= BROADCAST_WORDS else None
+        words_ = sets.join(rest, "rid", "left_semi").select(F.explode("prefix").alias("w")).distinct().limit(BROADCAST_WORDS + 1).toArrow()["w"].to_numpy()
+        few = docs.sparkSession.sparkContext.broadcast(words_.astype(np.int32).view(np.uint32)) if len(words_) <= BROADCAST_WORDS else None
         every = keep(candidate_pairs(marked, shared, percent, range_bits, True, few).join(pairs, ["b", "a"], "left_anti"), "candidates2")
         gone = gone.union(later(every)).distinct()
     return gone
 
 
 def with_copies(named: DataFrame, lines: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """``named`` with __copy (0 for one row of each id and text, 1 for further ones), and the kept table
+    """``named`` with __plumbline_copy (0 for one row of each id and text, 1 for further ones), and the kept table
     (doc_id, th) of the ids and texts that repeat."""
     again = lines.where("head").groupBy("doc_id", "th").agg(F.count("*").alias("rows")).where("rows > 1")
     again = keep(again.select("doc_id", "th"), "again")
     n_again = again.count()
     if not n_again:
-        return named.withColumn("__copy", F.lit(0)), again
-    n, a = named.alias("n"), (F.broadcast(again) if n_again <= BROADCAST_DOCS else again).alias("a")
-    cond = same(F.col(f"n.{id_col}"), F.col("a.doc_id")) & (F.col("n.__th") == F.col("a.th"))
+        return named.withColumn("__plumbline_copy", F.lit(0)), again
+    n, a = named.alias("n"), (F.broadcast(again) if 24 * n_again <= BROADCAST_BYTES else again).alias("a")
+    cond = same(F.col(f"n.{id_col}"), F.col("a.doc_id")) & (F.col("n.__plumbline_th") == F.col("a.th"))
     # The rows are written with their numbers, so that the choice of the first one holds.
-    repeats = keep(n.join(a, cond, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "repeats")
-    first = keep(repeats.groupBy(id_col, "__th").agg(F.min("__row").alias("__row")).select("__row"), "first_rows")
-    first = F.broadcast(first) if n_again <= BROADCAST_DOCS else first
-    marked = repeats.join(first.withColumn("__copy", F.lit(0)), "__row", "left").withColumn("__copy", F.coalesce("__copy", F.lit(1)))
-    return n.join(a, cond, "left_anti").withColumn("__copy", F.lit(0)).unionByName(marked.drop("__row")), again
+    repeats = keep(n.join(a, cond, "left_semi").withColumn("__plumbline_row", F.monotonically_increasing_id()), "repeats")
+    first = keep(repeats.groupBy(id_col, "__plumbline_th").agg(F.min("__plumbline_row").alias("__plumbline_row")).select("__plumbline_row"), "first_rows")
+    first = F.broadcast(first) if 24 * n_again <= BROADCAST_BYTES else first
+    marked = repeats.join(first.withColumn("__plumbline_copy", F.lit(0)), "__plumbline_row", "left").withColumn("__plumbline_copy", F.coalesce("__plumbline_copy", F.lit(1)))
+    return n.join(a, cond, "left_anti").withColumn("__plumbline_copy", F.lit(0)).unionByName(marked.drop("__plumbline_row")), again
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, range_bits: int | None = None) -> DataFrame:
     """``docs`` with the later of similar lines taken out of the text, and three columns:
     line_dedup_lines (lines with words), line_dedup_removed (how many went), line_dedup_numbers (which)."""
-    named = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    d = named.select(F.col(id_col).alias("doc_id"), F.col("__th").alias("th"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    named = docs.withColumn("__plumbline_th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    d = named.select(F.col(id_col).alias("doc_id"), F.col("__plumbline_th").alias("th"), F.col(text_col).cast("string").alias("text"))
     if range_bits is None:
         range_bits = min(20, max(6, int(np.ceil(np.log2(max(1, docs.count()) / 512 + 1)))))
     shared = docs.sparkSession.sparkContext.broadcast(word_counts(d))
@@ -363,17 +375,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         every = x.join(y, same(F.col("x.doc_id"), F.col("y.doc_id")) & (F.col("x.th") == F.col("y.th")), "left_semi")
         per_doc = per_doc.unionByName(every.groupBy("doc_id", "th").agg(numbers).withColumn("copy", F.lit(1)))
     per_doc = keep(per_doc, "removed")
-    small = rows_at_most(per_doc, BROADCAST_DOCS)
+    small = bytes_at_most(per_doc, 48 + 4 * F.size("numbers"), BROADCAST_BYTES)
     n, r = named.alias("n"), (F.broadcast(per_doc) if small else per_doc).alias("r")
-    both = n.join(r, same(F.col(f"n.{id_col}"), F.col("r.doc_id")) & (F.col("n.__th") == F.col("r.th")) & (F.col("n.__copy") == F.col("r.copy")), "left")
+    both = n.join(r, same(F.col(f"n.{id_col}"), F.col("r.doc_id")) & (F.col("n.__plumbline_th") == F.col("r.th")) & (F.col("n.__plumbline_copy") == F.col("r.copy")), "left")
     text = F.col(f"n.{text_col}")
-    parts = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("r.numbers", lambda x: x.cast("int")))
-    cut = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("r.numbers", lambda x: x.cast("int")))
+    cut = let(F.split(text, "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n"))
     new_text = F.when(F.col("r.numbers").isNull(), text).otherwise(cut).alias(text_col)
-    # Each line with a word becomes one mark, and the marks are counted by length: no arrays of lines.
-    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D][^\n]*", "\x01")
-    n_lines = F.length(F.regexp_replace(marks, r"[^\x01]+", ""))
+    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0))
     return both.select(
         *[new_text if c == text_col else F.col(f"n.`{c}`") for c in docs.columns],
         n_lines.cast("long").alias("line_dedup_lines"),
