@@ -9,7 +9,7 @@ PROBE = 4
 
 
 class WaveletMatrix:
-    """Rank queries over symbols below 2**levels; bits are packed 64 to a word with one count a word."""
+    """Rank queries over symbols below 2**levels; bits are packed 64 to a word with one 32-bit count a word."""
 
     def __init__(self, symbols: np.ndarray, levels: int) -> None:
         self.levels, self.words, self.sums, self.zeros = levels, [], [], []
@@ -21,7 +21,7 @@ class WaveletMatrix:
             padded = np.zeros((n // 64 + 1) * 8, np.uint8)
             padded[: len(packed)] = packed
             words = padded.view(np.uint64)
-            sums = np.zeros(len(words), np.int64)
+            sums = np.zeros(len(words), np.uint32)
             np.cumsum(np.bitwise_count(words)[:-1], out=sums[1:])
             self.words.append(words)
             self.sums.append(sums)
@@ -35,7 +35,7 @@ class WaveletMatrix:
         for level in range(self.levels):
             words, sums = self.words[level], self.sums[level]
             block = i >> 6
-            ones = sums[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = sums[block].astype(np.int64) + np.bitwise_count(words[block] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
             i = np.where((c >> (self.levels - 1 - level)) & 1 > 0, self.zeros[level] + ones, i - ones)
         return i
 
@@ -63,11 +63,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of several sequences of word codes; ``first`` has the start of each, and one more."""
+    """Index of several sequences of word codes; ``first`` has the start of each, and one more.
 
-    def __init__(self, codes: np.ndarray, first: np.ndarray) -> None:
+    ``weights`` tell how often each sequence is there; copies need not be in the index themselves.
+    """
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray, weights: np.ndarray | None = None) -> None:
         n_seq = len(first) - 1
-        self.codes = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
+        self.codes = np.unique(codes, return_inverse=True)[1].astype(np.int32) + 1
         self.first = first
         sigma = int(self.codes.max(initial=0)) + 1
         ends = first[1:] + np.arange(n_seq)
@@ -83,6 +86,9 @@ class FMIndex:
         count = np.bincount(text, minlength=sigma + 1)
         self.before = np.concatenate([[0], np.cumsum(count)])
         self.n = len(text)
+        # Of the suffixes in order, how often those before each place are there.
+        times = np.ones(n_seq, np.int64) if weights is None else np.minimum(weights, 2)
+        self.times = np.concatenate([[0], np.cumsum(np.repeat(times, np.diff(first) + 1)[order])])
 
     def repeated(self, sequences: np.ndarray, window: int) -> list[tuple[int, int, int]]:
         """(sequence, from, to): maximal runs of at least ``window`` words of the given sequences that occur
@@ -99,10 +105,10 @@ class FMIndex:
         lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
         resume = np.full(len(end), -1, np.int64)  # where the main search goes on if the probe finds its pattern
         while len(live):
-            c = self.codes[base[live] + start[live] - 1]
+            c = self.codes[base[live] + start[live] - 1].astype(np.int64)
             both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo[live], hi[live]])) + np.tile(self.before[c], 2)
             low, high = both[: len(c)], both[len(c) :]
-            ok = high - low >= 2
+            ok = self.times[high] - self.times[low] >= 2
             went = live[ok]
             start[went] -= 1
             lo[went], hi[went] = low[ok], high[ok]

@@ -6,14 +6,17 @@ the same words as a window that starts anywhere else.
 Equal windows have equal minimizers (the smallest hash of the runs of ``GRAM`` words in them), so
 windows are dealt out by minimizer: a segment is a run of neighbouring windows with one minimizer, at
 most 2 * window words long. Only segments whose minimizer is found in another segment can repeat, and
-equal segments are folded into one with a count, so a passage copied any number of times is one
+equal segments are folded into one with a weight, so a passage copied any number of times is one
 sequence. The remaining sequences are gathered in shards of bounded size; each shard builds an
-FM-index of its sequences, streams them through it by backward search, and reports the runs of at
-least ``window`` words that occur twice. Minimizers with more than ``HOT`` different segments are cut
-again, into single windows, which are counted by their hash: no shard grows with a frequent phrase.
+FM-index of its sequences with their weights, streams them through it by backward search, and reports
+the runs of at least ``window`` words that occur twice. Minimizers with more than ``HOT`` different
+segments are cut again, into single windows, which are counted by their hash: no shard grows with a
+frequent phrase.
 
 Defined cases: null texts and texts shorter than a window lose nothing; repeated rows are each other's
-copies; an empty table gives an empty result; only the named columns are read.
+copies; texts of up to 2**24 words are read whole, longer ones are an error; an empty table gives an empty
+result; only the two named columns are read, and the result has doc_id, n_words, n_removed, kept_sha256 and
+kept_text, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ def window_minimizers(h: np.ndarray, first: np.ndarray, window: int, gram: int)
     if not ends[-1]:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
+    if len(g) > 1 << 24:
+        raise ValueError("a text has more than 2**24 words")
     v = (g & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(g), dtype=np.uint64)
     low, size = v, 1
     while size * 2 <= wide:
@@ -120,12 +125,9 @@ def repeated_runs(seqs: DataFrame, n_shards: int, window: int) -> DataFrame:
         n = np.array([len(x) // 4 for x in parts], np.int64)
         copies = table.column("copies").to_numpy()
         m, c = table.column("m").to_numpy(), table.column("c").to_numpy()
-        whole = np.flatnonzero(copies > 1)
-        index = FMIndex(np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(n)]))
-        runs = index.repeated(np.flatnonzero(copies == 1), window)
-        seq = np.concatenate([whole, np.array([r[0] for r in runs], np.int64)]).astype(np.int64)
-        lo = np.concatenate([np.zeros(len(whole), np.int64), np.array([r[1] for r in runs], np.int64)])
-        hi = np.concatenate([n[whole], np.array([r[2] for r in runs], np.int64)])
+        index = FMIndex(np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(n)]), copies)
+        runs = index.repeated(np.arange(len(n)), window)
+        seq, lo, hi = (np.array([r[k] for r in runs], np.int64) for k in range(3))
         return pa.table({"m": m[seq], "c": c[seq], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
     shard = F.pmod(F.xxhash64("m"), F.lit(n_shards)).cast("int").alias("shard")

@@ -242,13 +242,17 @@ def test_fm_index_counts():
     seqs = [rnd.integers(0, 3, rnd.integers(1, 40)) for _ in range(30)]
     first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
     index = FMIndex(np.concatenate(seqs), first)
+    # With weights, sequences that are there several times repeat as a whole.
+    weights = rnd.choice([1, 1, 1, 2, 5], len(seqs))
+    weighted = FMIndex(np.concatenate(seqs), first, weights)
     for window in (4, 9):
-        got = {(s, i) for s, lo, hi in index.repeated(np.arange(30), window) for i in range(lo, hi)}
         seen = {}
         for s, x in enumerate(seqs):
             for i in range(len(x) - window + 1):
                 seen.setdefault(tuple(x[i : i + window]), []).append((s, i))
-        assert got == {(s, i + k) for v in seen.values() if len(v) > 1 for s, i in v for k in range(window)}
+        for one, times in ((index, np.ones(len(seqs), int)), (weighted, weights)):
+            got = {(s, i) for s, lo, hi in one.repeated(np.arange(len(seqs)), window) for i in range(lo, hi)}
+            assert got == {(s, i + k) for v in seen.values() if sum(times[s] for s, _ in v) > 1 for s, i in v for k in range(window)}
 
 
 def test_op7_costs_are_least_and_rendering_is_undone(spark):
