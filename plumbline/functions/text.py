@@ -20,6 +20,8 @@ from plumbline.functions import unicode as U
 # Look-alike letters and what they stand for.
 CYRILLIC_ALIKE = ("аеорсухкнвтмі", "aeopcyxkhbtmi")
 GREEK_ALIKE = ("αβεορτυνκχι", "abeoptyvkxi")
+#: The two ranges that hold these letters: most texts have none of them.
+MAYBE_ALIKE = "[" + U.chars((0x3B1, 0x3C9), (0x430, 0x456)) + "]"
 #: Fixed value: letters that mark Vietnamese.
 VIETNAMESE = "[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
 #: Stop words by language; earlier languages win ties.
@@ -36,6 +38,11 @@ WORD = "[a-zà-ÿ]+"
 PREVIEW = 60
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -61,15 +68,14 @@ def normalize(text: Column, use_nfkc: bool = True) -> Column:
     """T1. Canonical form for hashing and matching; null stays null."""
     t = nfkc(text) if use_nfkc else text
     t = F.lower(F.regexp_replace(t, f"[{U.ZERO_WIDTH}{U.SOFT_HYPHEN}]", ""))
-    # Both shares are taken before either translation. The first one adds no Greek letters.
-    n = _if_minor(_if_minor(t, t, U.script_class("CYRILLIC"), CYRILLIC_ALIKE), t, U.script_class("GREEK"), GREEK_ALIKE)
+    n = let(t, lambda t: F.when(t.rlike(MAYBE_ALIKE), _without_look_alikes(t)).otherwise(t))
     n = F.regexp_replace(n, r"(?s)(.)\1{3,}", "$1$1$1")
-    return F.trim(F.regexp_replace(n, _runs(U.SPACE_CHARS), " "))
+    return F.trim(F.regexp_replace(n, f"{U.SPACE}+", " "))
 
 
-def _runs(chars: str) -> str:
-    """White space that one blank must stand for: single blanks are left out, as most of it is that already."""
-    return f"[{chars}]{{2,}}|[{chars}&&[^ ]]"
+def _without_look_alikes(t: Column) -> Column:
+    # Both shares are taken before either translation. The first one adds no Greek letters.
+    return _if_minor(_if_minor(t, t, U.script_class("CYRILLIC"), CYRILLIC_ALIKE), t, U.script_class("GREEK"), GREEK_ALIKE)
 
 
 def compact(norm: Column) -> Column:
@@ -100,11 +106,6 @@ def script_counts(text: Column) -> Column:
     return F.when(rare.isNull(), known).otherwise(F.map_concat(known, rare))
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
 def verdict_of(lang: Column | str, confidence: Column | float) -> Column:
     lang = F.lit(lang) if isinstance(lang, str) else lang
     return F.struct(lang.alias("lang"), (F.lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"))
@@ -116,9 +117,14 @@ def detect_language(text: Column) -> Column:
     return let(seen, lambda s: F.when(s["text"].isNull(), F.lit(None)).when(s["letters"] == 0, verdict_of("und", 0.0)).otherwise(_by_script(s["text"], s["letters"])))
 
 
+#: Latin letters that are letters of the Latin script by name too, and those of a lowered Vietnamese text.
+COMMON_LATIN = "A-Za-z" + U.chars((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))
+_VIETNAMESE = "[ăâđêôơư" + U.chars((0x1EA0, 0x1EF9)) + "]"
+
+
 def _by_script(text: Column, letters: Column) -> Column:
-    latin = _by_latin_words(text, letters)
-    counts = F.struct(*[script_count(text, s).alias(s) for s in U.SCRIPT_LANGS])
+    words = let(F.lower(text), lambda low: F.when(low.rlike(_VIETNAMESE), verdict_of("vi", 0.9)).otherwise(let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), _by_stop_words)))
+    counts = F.struct(*[script_count(text, s).alias(s) for s in U.SCRIPTS])
 
     def decide(n: Column) -> Column:
         kana = n["HIRAGANA"] + n["KATAKANA"]
@@ -127,17 +133,10 @@ def _by_script(text: Column, letters: Column) -> Column:
             if lang != "ja":
                 share = n[script] / letters
                 out = out.when(share >= F.lit(0.3), verdict_of(lang, F.least(F.lit(1.0), F.lit(0.5) + share / 2)))
-        return out.otherwise(latin)
-
-    # Most texts have no letter of another script: one search tells.
-    return F.when(text.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), let(counts, decide)).otherwise(latin)
-
+        return out.when(n["LATIN"] / letters < F.lit(0.5), verdict_of("und", 0.0)).otherwise(words)
 
-def _by_latin_words(text: Column, letters: Column) -> Column:
-    latin = U.script_class("LATIN")
-    few = text.rlike(f"[{U.LETTER}&&[^{latin[1:-1]}]]") & (_count(text, latin) / letters < F.lit(0.5))
-    by_words = let(F.lower(text), lambda low: F.when(low.rlike(VIETNAMESE), verdict_of("vi", 0.9)).otherwise(let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), _by_stop_words)))
-    return F.when(few, verdict_of("und", 0.0)).otherwise(by_words)
+    # Most texts have common Latin letters only: one search tells.
+    return F.when(text.rlike(f"[{U.LETTER}&&[^{COMMON_LATIN}]]"), let(counts, decide)).otherwise(words)
 
 
 def _one_of(values: list[str]):

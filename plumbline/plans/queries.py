@@ -12,7 +12,7 @@ from plumbline.functions.verdict import CATEGORIES, argmax_level, cats, expected
 from plumbline.operators import batches, cache, evaluate, grading, lexicon, policy, requests, viewer
 from plumbline.plans import samples
 from plumbline.sources import datasets
-from plumbline.sources.shared import keep, new_path
+from plumbline.sources.shared import keep, new_path, spread
 from plumbline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

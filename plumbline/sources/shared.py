@@ -61,3 +61,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in made:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer parts than there are cores is dealt out over all of them before costly work.
+
+    Larger tables are left as they are; filters and column choices still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -168,6 +168,28 @@ def test_native_path_has_no_shuffle_and_no_python_but_nfkc(spark, entries):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_filters_on_items_reach_the_scan_and_verdicts_are_not_computed_twice(spark, entries, tmp_path):
+    items(spark, TEXTS, "en").withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "t"))
+    g = grading.grade(spark.read.parquet(str(tmp_path / "t")), entries)
+    plan = g.where("source = 'x'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,x)" in plan
+    patterns = lambda df: df._jdf.queryExecution().executedPlan().toString().count("bad word")
+    assert patterns(g.where("action = 'block'").select("id")) == patterns(g.select("id", "action"))
+
+
+def test_builtin_lists_are_the_default(spark):
+    entries = lexicon.load_lexicon(spark)
+    assert {e.lang for e in entries} == {"any", "en", "es", "zh", "ja", "ko", "ru"} and all(0 <= e.level <= 4 for e in entries)
+    got = terms(grading.prepare(items(spark, ["You IDIOT", "я тебя  убью", "殺してやる!", "fine"]), entries))
+    assert got == {0: ["idiot"], 1: ["я тебя убью"], 2: ["殺してやる"], 3: []}
+
+
+def test_lists_from_files(spark, tmp_path):
+    (tmp_path / "xx.json").write_text('{"entries": [{"term": "Foo  Bar", "level": 3}]}', encoding="utf-8")
+    got = lexicon.load_lexicon(spark, [tmp_path / "xx.json"])
+    assert [(e.term, e.level, e.lang) for e in got] == [("foo bar", 3, "xx")]
+
+
 def test_invalid_requests(spark):
     rows = [("r1", "ok"), ("r2", ""), ("r3", "x" * 11), ("r4", "a"), ("r4", "b"), ("r4", "c"), ("r5", None)]
     df = spark.createDataFrame(rows, "request_id string, text string")

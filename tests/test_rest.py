@@ -35,6 +35,62 @@ def test_to_golden_counts_unmapped_rows(spark, tmp_path):
     assert datasets.to_golden(rows, "TEXT", "label", "zh", {"1": 2, "0": 0}, "d", "d.csv", limit=1).count() == 1
 
 
+def test_positions_over_several_parts(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"f{i}.txt").write_text("".join(f"line {i} {k}\n" for k in range(i + 2)), encoding="utf-8")
+    df = spark.createDataFrame([(i,) for i in range(57)], "v int").repartition(5)
+    rows = datasets.indexed(df).collect()
+    assert sorted(r["index"] for r in rows) == list(range(57)) and [r["index"] for r in rows] == list(range(57))
+    got = datasets.read_texts(spark, [], [str(tmp_path / f"f{i}.txt") for i in range(3)]).collect()
+    assert [(r.id, r.text) for r in got] == [(str(n), f"line {i} {k}") for n, (i, k) in enumerate((i, k) for i in range(3) for k in range(i + 2))]
+    assert datasets.indexed(df.limit(0)).collect() == []
+
+
+def test_golden_and_verdict_files(spark, tmp_path):
+    g = spark.createDataFrame([("a", "x\ny", 2, ["hate"], False, "n", "en"), ("b", "z", 0, [], True, None, "ja")], f"{datasets.GOLDEN}, lang string")
+    datasets.write_golden(g, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in datasets.read_golden(spark, str(tmp_path / "g")).select(g.columns).collect()) == sorted(tuple(r) for r in g.collect())
+    v = grading.grade(spark.createDataFrame([("1", "w " * 40, "en")], "id string, text string, lang string"), [])
+    short = datasets.verdict_rows(v).first()
+    assert short.text == ("w " * 40)[:57] + "..." and short.action == "pass"
+    datasets.write_verdicts(v, str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).select("id", "action").first() == ("1", "pass")
+
+
+def test_tenants_of_keys(spark):
+    keys = spark.createDataFrame([("k1", "a")], "api_key string, tenant string")
+    calls = spark.createDataFrame([(1, "k1", "x"), (2, "zz", "x"), (3, None, "x"), (4, "", None)], "id int, api_key string, client string")
+    known, refused = requests.with_tenants(calls, keys)
+    assert {r.id: r.tenant for r in known.collect()} == {1: "a", 3: "anonymous:x", 4: "anonymous:unknown"} and {r.id: r.reason for r in refused.collect()} == {2: "unknown key"}
+    known, refused = requests.with_tenants(calls, keys, open_access=False)
+    assert [r.id for r in known.collect()] == [1] and {r.id: r.reason for r in refused.collect()} == {2: "unknown key", 3: "no key", 4: "no key"}
+
+
+def test_misjudgments_give_each_verdict_of_a_hash_once(spark):
+    fb = spark.createDataFrame([("h", "en", "pass")], "text_hash string, lang string, human_action string")
+    v = spark.createDataFrame([("h", "en", "block", 3.0), ("h", "en", "block", 3.0), ("h", "fr", "pass", 0.0), ("h", "de", "review", 2.0)], "text_hash string, lang string, action string, level double")
+    assert sorted(r.action for r in requests.misjudgments(fb, v).collect()) == ["block", "review"]
+    assert [r.action for r in requests.misjudgments(fb, v, ("text_hash", "lang")).collect()] == ["block"]
+
+
+def test_too_many_combinations_are_refused(spark):
+    v = spark.createDataFrame([(1, 0, None)], "id int, level_argmax int, top_category string")
+    many = spark.range(policy.MAX_COMBINED_ROWS + 1).select(F.col("id").cast("string").alias("viewer"), F.lit(True).alias("enabled"), F.lit(2).alias("hide_level"), F.lit(True).alias("blur"), F.lit(None).cast("map<string,boolean>").alias("allow"))
+    with pytest.raises(ValueError, match="join"):
+        viewer.viewer_matrix(v, many)
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    from plumbline.sources.shared import keep, scratch
+
+    with scratch(spark):
+        a = keep(spark.range(5), "a")
+        b = keep(a, "b", stays=True)
+    assert b.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        a.collect()
+
+
 def test_guard_output(spark):
     outs = ["Safety: Unsafe\nCategories: Violent, Suicide & Self-Harm", "safety: controversial\ncategories: None", "gibberish", "Safety: Safe\nCategories: Unknown, "]
     df = batches.parse_guard_output(spark.createDataFrame([(o,) for o in outs], "o string"), "o")

@@ -93,6 +93,13 @@ def test_script_classes_agree_with_letter_names(spark):
     assert got == {s: want[s] for s in U.SCRIPTS}
 
 
+def test_counts_of_every_script(spark):
+    texts = ["abc Жз 漢字かなカナ", "ԱԲԳ தமிழ் ᚠ", "", "12 !?", "ጀ Ꭰa", None, "ªº ｱＡ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.m for r in df.select("i", T.script_counts(F.col("t")).alias("m")).collect()}
+    assert {i: m for i, m in got.items() if texts[i] is not None} == {i: dict(scripts(t)) for i, t in enumerate(texts) if t is not None}
+
+
 def test_nfkc_stable_texts_do_not_change():
     spans = [(0x00, 0x7F), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x400, 0x481), (0x48A, 0x52F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFC), (0xAC00, 0xD7A3)]
     assert all(f"\\x{{{a:x}}}-\\x{{{b:x}}}" in U.NFKC_STABLE for a, b in spans)
