@@ -289,7 +289,7 @@ def lm_scores(
     mixed: float = 0.25,
     min_pair: int = 1,
     max_dictionary: int = 1_000_000,
-    max_filter_bytes: int = 128 << 20,
+    max_filter_bytes: int = 32 << 20,
     range_bits: int | None = None,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""

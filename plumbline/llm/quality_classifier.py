@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.kernel import grams, pieces, span_hashes, word_bounds
@@ -117,6 +117,12 @@ def fit_cutoff(scores: np.ndarray, good: np.ndarray, keep_good: float) -> float:
     return -np.inf if i == 0 else float(s[i - 1] + (s[i] - s[i - 1]) / 2 if i < len(s) else s[-1])
 
 
+def gumbel(doc_id: Column, seed: Column | int) -> Column:
+    """Gumbel noise that an id and a seed fix."""
+    h = F.xxhash64(doc_id, F.lit(seed) if isinstance(seed, int) else seed)
+    return -F.log(-F.log((F.pmod(h, F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+
+
 def kth_key(keys: DataFrame, k: int, n: int) -> float | None:
     """The k-th largest ``key`` by histograms of 1,024 bins, each round over the bin that holds it."""
     if k >= n or k <= 0:
@@ -173,10 +179,9 @@ def quality_classifier(
     fit = scored(sample.where(~half).select("doc_id", "good", "text"), "text", weights, temperature, prior)
     fit = fit.groupBy("doc_id").agg(F.min("good").alias("good"), F.avg("log_weight").alias("log_weight")).drop("doc_id").toPandas()
     cutoff = fit_cutoff(fit["log_weight"].to_numpy(float), fit["good"].to_numpy() == 1, keep_good)
-    noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
     if with_hash:
         d = d.withColumn("th", text_hash(F.col("text")))
-    s = keep(scored(d, "text", weights, temperature, prior).withColumn("key", F.col("log_weight") + noise), "weights")
+    s = keep(scored(d, "text", weights, temperature, prior).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "weights")
     n, reach = s.agg(F.count("*"), F.sum((F.col("log_weight") >= cutoff).cast("long"))).first()
     k = min(n, k) if k is not None else reach or 0
     least = kth_key(s, k, n)

@@ -98,6 +98,42 @@ def lm_base(docs):
     return out, n
 
 
+def lm_scores(docs, mixed=0.25):
+    """Smoothed two-word model over counts rounded to the middle of their powers of two, without a filter."""
+    one, two = Counter(), Counter()
+    tokens = {}
+    for i, t, *_ in docs:
+        w = [None, *words(t, True), None]
+        tokens[i] = w
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+    n, v = sum(one.values()), len(one)
+    middle = lambda c: c if c <= 1 else 1.5 * 2 ** (c.bit_length() - 1) - 0.5
+
+    def log_p(a, b):
+        alone = (middle(one[b]) + 1) / (n + v + 1)
+        before = middle(one[a])
+        return math.log10(mixed * min(middle(two[a, b]), before) / before + (1 - mixed) * alone if before else alone)
+
+    return {i: (len(w) - 1, sum(log_p(a, b) for a, b in zip(w, w[1:]))) for i, w in tokens.items()}
+
+
+def log_weights(docs, target_ids, n_buckets, alpha, margin, prior, temperature):
+    """Mean log ratio of one- and two-word grams, target over all documents, without hashing."""
+    grams = {i: [*((x,) for x in w), *zip(w, w[1:])] for i, t, *_ in docs for w in [words(t, True)]}
+    raw = Counter(g for x in grams.values() for g in x)
+    target = Counter(g for i in target_ids for g in grams[i])
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+
+    def ratio(g):
+        t, r = target[g] + alpha, raw[g] * n_target / n_raw + alpha
+        x = math.log(t / (n_target + alpha * n_buckets)) - math.log(r / (n_target + alpha * n_buckets))
+        return math.copysign(max(abs(x) - margin, 0), x)
+
+    return {i: (len(x), sum(map(ratio, x)) / (len(x) + prior) / temperature) for i, x in grams.items()}
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

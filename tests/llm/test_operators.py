@@ -20,7 +20,7 @@ from plumbline.llm.lm_scoring import lm_scores
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.pii import personal_data
-from plumbline.llm.quality_classifier import quality_classifier
+from plumbline.llm.quality_classifier import gumbel, quality_classifier
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.substring_dedup import dedup_passages
 from tests.llm import brute
@@ -81,6 +81,17 @@ def test_op2_size_of_the_filter_changes_no_score(spark, docs):
     assert unseen and max(unseen) < min(got[i] for i in range(40) if i not in held)
 
 
+def test_op2_against_a_plain_model(docs):
+    want = brute.lm_scores(CORPUS)
+    got = {r.doc_id: (r.n_tokens, r.score) for r in lm_scores(docs).collect()}
+    off = []
+    for d, (n, score) in want.items():
+        assert got[d][0] == n
+        off.append(abs(got[d][1] - score) / n)
+    # Only wrong answers of the filter, about one probe in a hundred, make a difference.
+    assert sum(off) / len(off) < 0.03 and max(off) < 0.3
+
+
 def test_op3_base_spans_and_model(docs):
     rnd = random.Random(1)
     for k in range(6000):
@@ -376,6 +387,33 @@ def test_op9_rejects_planted_documents(docs, labels):
     assert all(r.kept for r in quality_classifier(docs, labels.limit(0)).collect())
 
 
+def test_op9_log_weights_against_plain_counts(docs, labels):
+    kw = {"alpha": 0.5, "margin": 0.1, "prior": 20.0, "temperature": 0.01}
+    half = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0).collect()}
+    target = [i for i, q, t in LABELS if q and not t and i in half]
+    want = brute.log_weights(CORPUS, target, 1 << 22, **kw)
+    got = {r.doc_id: (r.n_features, r.log_weight) for r in quality_classifier(docs, labels, n_buckets=1 << 22, **kw).collect()}
+    for d, (n, w) in want.items():
+        assert got[d][0] == n and got[d][1] == pytest.approx(w, rel=0.02, abs=0.3), d
+
+
+def test_op9_draws_k_by_weight(spark, docs, labels):
+    import numpy as np
+
+    out = quality_classifier(docs, labels, k=60).collect()
+    assert sum(r.kept for r in out) == 60 and min(r.key for r in out if r.kept) > max(r.key for r in out if not r.kept)
+    # Inclusion rates over many seeds are those of Gumbel top-k on the same weights.
+    n, k, seeds = 120, 30, 300
+    weights = np.linspace(-3, 3, n)
+    rows = spark.range(n).crossJoin(spark.range(seeds).withColumnRenamed("id", "seed"))
+    keys = np.zeros((seeds, n))
+    for r in rows.select("id", "seed", gumbel(F.col("id"), F.col("seed")).alias("g")).collect():
+        keys[r.seed, r.id] = r.g
+    rate = lambda g: np.mean(np.argsort(np.argsort(-(weights + g), axis=1), axis=1) < k, axis=0)
+    expected = rate(np.random.default_rng(1).gumbel(size=(20_000, n)))
+    assert np.abs(rate(keys) - expected).max() < 0.13 and np.abs(rate(keys) - expected).mean() < 0.03
+
+
 def test_op10_targets_and_taken(docs):
     got = mix_sources(docs).collect()
     size = {d: len(brute.words(t)) for d, t, *_ in CORPUS}
