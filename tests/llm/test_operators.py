@@ -388,13 +388,15 @@ def test_op9_rejects_planted_documents(docs, labels):
 
 
 def test_op9_log_weights_against_plain_counts(docs, labels):
-    kw = {"alpha": 0.5, "margin": 0.1, "prior": 20.0, "temperature": 0.01}
+    kw = {"alpha": 0.5, "margin": 0.1, "prior": 20.0, "temperature": 1.0}
     half = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0).collect()}
     target = [i for i, q, t in LABELS if q and not t and i in half]
     want = brute.log_weights(CORPUS, target, 1 << 22, **kw)
     got = {r.doc_id: (r.n_features, r.log_weight) for r in quality_classifier(docs, labels, n_buckets=1 << 22, **kw).collect()}
-    for d, (n, w) in want.items():
-        assert got[d][0] == n and got[d][1] == pytest.approx(w, rel=0.02, abs=0.3), d
+    # Some of the tens of thousands of grams share a bucket of four million.
+    off = [abs(got[d][1] - w) for d, (_, w) in want.items()]
+    assert all(got[d][0] == n for d, (n, _) in want.items()) and max(off) < 0.02 and sum(off) / len(off) < 0.001
+    assert max(abs(w) for _, w in want.values()) > 0.3
 
 
 def test_op9_draws_k_by_weight(spark, docs, labels):
