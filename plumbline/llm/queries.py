@@ -16,29 +16,33 @@ from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import quality_classifier
 from plumbline.llm.quality_rules import quality_rules
-
 from plumbline.llm.substring_dedup import dedup_passages
+from plumbline.sources.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(documents(spark, sf_dir))
     return out.withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(documents(spark, sf_dir))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(documents(spark, sf_dir))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.col("decontam_found").alias("contaminated"), F.col("decontam_n_items").alias("n_items"), F.col("decontam_items").alias("items"))
 
 
@@ -47,25 +51,25 @@ def op7_repair_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(documents(spark, sf_dir))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     return out.select("doc_id", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_removed").alias("n_removed"), F.col("line_dedup_numbers").alias("removed_lines"), digest.alias("text_sha256"))
 
 
 def op6_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_passages(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+    return dedup_passages(documents(spark, sf_dir), window=35).drop("kept_text")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return near_duplicates(documents(spark, sf_dir), k=4)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
