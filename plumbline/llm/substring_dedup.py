@@ -169,7 +169,8 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, spans): packed, merged word spans of each document that lie in repeated windows."""
     gram = min(GRAM, window)
     segs = keep(segments(docs, window, gram), "segments")
-    shared = segs.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    # Written, so that the join may split a frequent minimizer's segments over several tasks.
+    shared = keep(segs.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "minimizers")
     cand = keep(segs.join(shared, "m"), "shared")
     distinct = keep(cand.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("p")), "distinct")
     hot = keep(distinct.groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("m"), "hot")
