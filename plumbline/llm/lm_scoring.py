@@ -85,12 +85,14 @@ def build_segment(h: np.ndarray, q: np.ndarray) -> bytes:
 class Filter:
     """All segments side by side; ``level`` probes it."""
 
-    def __init__(self, segments: dict[int, bytes], range_bits: int) -> None:
+    def __init__(self, segments: dict[int, bytes | pa.Buffer], range_bits: int) -> None:
         n = 1 << range_bits
         sizes = np.array([len(segments.get(i, b"\0")) for i in range(n)], np.int64)
         self.shift, self.bits = np.uint64(64 - range_bits), (sizes * 8).astype(np.uint64)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.data = np.frombuffer(b"".join(segments.get(i, b"\0") for i in range(n)), np.uint8)
+        self.data = np.zeros(int(sizes.sum()), np.uint8)
+        for i, x in segments.items():
+            self.data[self.offsets[i] : self.offsets[i] + sizes[i]] = np.frombuffer(x, np.uint8)
 
     def level(self, h: np.ndarray, seg: np.ndarray | None = None) -> np.ndarray:
         """Levels of hashes, in the segments of their ranges unless ``seg`` names others."""
@@ -111,6 +113,12 @@ class Filter:
         return out
 
 
+def collected(tables: DataFrame, range_bits: int) -> Filter:
+    """The whole filter, which the caller has found small enough; read as Arrow, so that it is held twice at most."""
+    rows = tables.select("range", "segment").toArrow()
+    return Filter({r.as_py(): x.as_buffer() for r, x in zip(rows.column(0), rows.column(1), strict=True)}, range_bits)
+
+
 def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
         return h, c
@@ -289,7 +297,7 @@ def lm_scores(
     mixed: float = 0.25,
     min_pair: int = 1,
     max_dictionary: int = 1_000_000,
-    max_filter_bytes: int = 32 << 20,
+    max_filter_bytes: int = 128 << 20,
     range_bits: int | None = None,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
@@ -309,7 +317,7 @@ def lm_scores(
     session = docs.sparkSession.sparkContext
     dictionary = session.broadcast(frequent(tables, least))
     small = filter_bytes <= max_filter_bytes
-    shared = session.broadcast(Filter({r["range"]: bytes(r["segment"]) for r in tables.select("range", "segment").collect()}, range_bits) if small else None)
+    shared = session.broadcast(collected(tables, range_bits) if small else None)
 
     def score(batches):
         known_h, known_c = dictionary.value
