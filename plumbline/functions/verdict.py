@@ -26,7 +26,7 @@ def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     They come out of a generator that gives one row a row: filters on them stay above it, so matching and
     scoring are not repeated inside a filter, while filters on the other columns still reach the scan.
     """
-    rest = [c for c in df.columns if c not in columns]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*rest, F.inline(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))))
 
 
