@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,13 @@ from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.lm_scoring import lm_scores
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.neighbours import nearest_neighbours
+from plumbline.llm.periodic_runs import periodic_runs
 from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import quality_classifier
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.substring_dedup import dedup_passages
+from plumbline.llm.vector_codes import books_digest, vector_codes
 from plumbline.sources.shared import spread
 
 
@@ -72,9 +77,52 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one document of ten, chosen by its id's checksum, the words from one on repeat with a period."""
+
+    def rows(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for k, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+                g, rest = divmod(zlib.crc32(str(doc).encode()), 10)
+                if doc is None or rest or not (ws := (text or b"").split()):
+                    continue
+                a = g % len(ws)
+                p = 1 + (len(ws) - a) // (3 + g % 8)
+                texts[k] = b" ".join(ws[:a] + [ws[a + i % p] for i in range(len(ws) - a)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+    d = docs.select("doc_id", "text")
+    return d.mapInArrow(rows, d.schema)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_repeats(documents(spark, sf_dir)))
+
+    def longer(best, run):  # runs come by start, then period, so the first of equals stays
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), longer)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    exact = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exact, "runs_sha256", "collapsed_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(spread(table(spark, sf_dir, "embeddings")))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spread(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op4_decontaminate, op5_dedup_lines, op6_dedup_passages, op7_repair_roles, op8_near_duplicates, op9_quality_classifier, op10_mix_sources)
+    for f in (op1_quality_rules, op2_lm_scores, op3_personal_data, op4_decontaminate, op5_dedup_lines, op6_dedup_passages, op7_repair_roles, op8_near_duplicates, op9_quality_classifier, op10_mix_sources, op11_periodic_runs, op12_vector_codes, op13_nearest_neighbours)
 }
 
 OP1_SQL = r"""
