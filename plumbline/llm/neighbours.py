@@ -14,8 +14,10 @@
    ``boundary`` times that distance, at most ``replicas`` lists in all.
 6. A query takes all lists whose centroids are within ``ratio`` times the distance of its nearest one: there is
    no cap. Long lists are cut into chunks of ``chunk_rows`` and their queries into blocks of ``block_rows``;
-   each pair of chunk and block is one group. All inner products in it are exact; the best ``k`` + 1 of each
-   query go on and are put together.
+   each pair of chunk and block is one group. All inner products in it are exact.
+7. First a query meets only its ``first`` nearest lists, without copies of boundary vectors. The score of its
+   ``k`` + 1st best there is a floor: in the search of all its lists a group gives out no lower score, so what
+   is put together for a query is little, however many lists it takes.
 
 Memory: a group has at most about ``chunk_rows`` vectors and ``block_rows`` queries, whatever list is hot; the
 centroids are at most ``lists`` vectors. Lists grow with the data beyond ``lists`` * ``list_rows`` rows.
@@ -102,6 +104,30 @@ class CentroidGraph:
                 out[r, t] = np.sqrt(np.maximum(0, d))
 
 
+def groups(postings: DataFrame, asked: DataFrame, d: int, k: int, chunk_rows: int, block_rows: int, n_lists: int) -> DataFrame:
+    """(q1, q2, k1, k2, id, score): the best of each chunk of a list for each query of a block that asks it.
+
+    ``postings`` has list, k1, k2, id, vec; ``asked`` has list, q1, q2, q and floor.
+    """
+    kind = postings.schema["id"].dataType.simpleString()
+    # One row a list, so a bounded number of rows.
+    count = lambda df, c: df.groupBy("list").agg(F.count("*").alias(c))
+    sizes = count(postings, "a").join(count(asked, "b"), "list").limit(n_lists).collect()
+    sizes = [(r["list"], -(-r["a"] // chunk_rows), -(-r["b"] // block_rows)) for r in sizes]
+    sizes = F.broadcast(postings.sparkSession.createDataFrame(sizes, "list int, chunks int, blocks int"))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = ["list", "chunk", "block"]
+    left = postings.join(sizes, "list").withColumns({"chunk": F.pmod("k1", "chunks").cast("int"), "block": all_of("blocks")}).select(*key, "k1", "k2", "id", "vec")
+    right = asked.join(sizes, "list").withColumns({"block": F.pmod("q1", "blocks").cast("int"), "chunk": all_of("chunks")}).select(*key, "q1", "q2", "q", "floor")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, c, score = best_of(matrix(left.column("vec"), d), left.column("id").to_numpy(), matrix(right.column("q"), d), right.column("floor").to_numpy(), k)
+        a, b = right.select(["q1", "q2"]).take(pa.array(q)), left.select(["k1", "k2", "id"]).take(pa.array(c))
+        return pa.table({"q1": a["q1"], "q2": a["q2"], "k1": b["k1"], "k2": b["k2"], "id": b["id"], "score": score})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, f"q1 long, q2 long, k1 long, k2 long, id {kind}, score double")
+
+
 def lists_of(dist: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, lists): for each row the centroids within ``ratio`` of the nearest, the ``most`` nearest at most."""
     inside = dist <= ratio * dist.min(axis=1)[:, None]
@@ -113,8 +139,8 @@ def lists_of(dist: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.
     return np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32), np.nonzero(inside)[1].astype(np.int32)
 
 
-def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of the ``k`` best of each query, ties to smaller ids.
+def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the ``k`` best of each query that reach its floor, ties to smaller ids.
 
     Scores are added up in one order, so that a pair has the same score in whatever group it meets.
     """
@@ -124,7 +150,7 @@ def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.n
     for i in range(0, len(q) if len(x) else 0, step):
         s = q[i : i + step] @ x.T
         least = np.partition(s, -k, axis=1)[:, -k] if k < len(x) else np.full(len(s), -np.inf)
-        r, c = np.nonzero(s >= (least - slack)[:, None])
+        r, c = np.nonzero(s >= (np.maximum(least, floor[i : i + step]) - slack)[:, None])
         exact = (q[i + r] * x[c]).sum(axis=1)
         order = np.lexsort((ids[c], -exact, r))
         r, c, exact = r[order], c[order], exact[order]
@@ -157,6 +183,7 @@ def nearest_neighbours(
     boundary: float = 1.1,
     replicas: int = 4,
     ratio: float = 1.12,
+    first: int = 2,
     chunk_rows: int = 65_536,
     block_rows: int = 8192,
     seed: int = 7,
@@ -189,33 +216,30 @@ def nearest_neighbours(
                 part = batch.slice(i, step)
                 x = matrix(part.column(2), d)
                 asks = part.column(4).to_numpy(zero_copy_only=False)
-                offs, to = lists_of(graph.search(longer(x, norm2), boundary), boundary, replicas)
-                q_offs, q_to = lists_of(graph.search(stretched(x[asks], norm2), ratio), ratio, len(graph.points)) if asks.any() else (np.zeros(1, np.int32), np.zeros(0, np.int32))
-                probes = np.zeros(len(x), np.int64)
-                probes[asks] = np.diff(q_offs)
-                probes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(probes)]).astype(np.int32)), pa.array(q_to))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.ListArray.from_arrays(pa.array(offs), pa.array(to)), probes], ["k1", "k2", "vec", "id", "lists", "probes"])
+                dist = graph.search(longer(x, norm2), boundary)
+                own, (offs, to) = dist.argmin(axis=1).astype(np.int32), lists_of(dist, boundary, replicas)
+                n, probes, nearest = np.zeros(len(x), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+                start = np.zeros(len(x), np.int64)
+                if asks.any():
+                    dist = graph.search(stretched(x[asks], norm2), ratio)
+                    q_offs, probes = lists_of(dist, ratio, len(graph.points))
+                    s_offs, nearest = lists_of(dist, ratio, first)
+                    n[asks], start[asks] = np.diff(q_offs), np.diff(s_offs)
+                ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(o, pa.array(v)) for o, v in ((pa.array(offs), to), (ends(n), probes), (ends(start), nearest))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(own), *lists], ["k1", "k2", "vec", "id", "own", "lists", "probes", "nearest"])
 
     each = v.groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.min("id").alias("id"), F.max("asks").alias("asks"))
-    dealt = keep(each.mapInArrow(deal, f"k1 long, k2 long, vec {vec_kind}, id {kind}, lists array<int>, probes array<int>"), "dealt")
-
-    # Chunks and blocks of each list: one row a list, at most ``lists`` of them.
-    entry = lambda c: dealt.select(F.explode(c).alias("list")).groupBy("list").agg(F.count("*").alias("n"))
-    sizes = entry("lists").alias("a").join(entry("probes").alias("b"), "list").select("list", F.ceil(F.col("a.n") / chunk_rows).cast("int").alias("chunks"), F.ceil(F.col("b.n") / block_rows).cast("int").alias("blocks"))
-    sizes = F.broadcast(v.sparkSession.createDataFrame([tuple(r) for r in sizes.collect()], "list int, chunks int, blocks int"))
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    postings = dealt.select(F.explode("lists").alias("list"), "k1", "k2", "id", "vec").join(sizes, "list").withColumns({"chunk": F.pmod("k1", "chunks"), "block": all_of("blocks")})
-    asked = dealt.select(F.explode("probes").alias("list"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("vec").alias("q")).join(sizes, "list").withColumns({"block": F.pmod("q1", "blocks"), "chunk": all_of("chunks")})
-    key = [F.col("list"), F.col("chunk").cast("int").alias("chunk"), F.col("block").cast("int").alias("block")]
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, c, score = best_of(matrix(left.column("vec"), d), left.column("id").to_numpy(), matrix(right.column("q"), d), k + 1)
-        a, b = right.select(["q1", "q2"]).take(pa.array(q)), left.select(["k1", "k2", "id"]).take(pa.array(c))
-        return pa.table({"q1": a["q1"], "q2": a["q2"], "k1": b["k1"], "k2": b["k2"], "id": b["id"], "score": score})
-
-    left = postings.select(*key, "k1", "k2", "id", "vec").groupBy("list", "chunk", "block")
-    right = asked.select(*key, "q1", "q2", "q").groupBy("list", "chunk", "block")
-    found = left.cogroup(right).applyInArrow(search, f"q1 long, q2 long, k1 long, k2 long, id {kind}, score double")
+    dealt = keep(each.mapInArrow(deal, f"k1 long, k2 long, vec {vec_kind}, id {kind}, own int, lists array<int>, probes array<int>, nearest array<int>"), "dealt")
+    q = [F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("vec").alias("q")]
+    some = groups(
+        dealt.select(F.col("own").alias("list"), "k1", "k2", "id", "vec"), dealt.select(F.explode("nearest").alias("list"), *q, F.lit(float("-inf")).alias("floor")), d, k + 1, chunk_rows, block_rows, lists
+    )
+    place = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score")))
+    floors = some.withColumn("place", place).where(F.col("place") == k + 1).select("q1", "q2", F.col("score").alias("floor"))
+    asked = dealt.where(F.size("probes") > 0).select(*q, "probes").join(keep(floors, "floors"), ["q1", "q2"], "left")
+    asked = asked.select(F.explode("probes").alias("list"), "q1", "q2", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    found = groups(dealt.select(F.explode("lists").alias("list"), "k1", "k2", "id", "vec"), asked, d, k + 1, chunk_rows, block_rows, lists)
 
     # A pair that met in several lists has one place in this order.
     place = F.dense_rank().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "id", "k1", "k2"))

@@ -172,4 +172,27 @@ c AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS re
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + (run - size / 2.0 <= rest AND rest > 0)::INT))::BIGINT AS taken FROM c
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op10_mix_sources": OP10_SQL}
+_NEAREST = """SELECT w.vec_id, p, min((((w.x1 - b.x1) * (w.x1 - b.x1) + (w.x2 - b.x2) * (w.x2 - b.x2) + (w.x3 - b.x3) * (w.x3 - b.x3) + (w.x4 - b.x4) * (w.x4 - b.x4)) * 64 + k)) AS m
+  FROM w JOIN {books} b USING (p) GROUP BY w.vec_id, p"""
+_MEANS = """SELECT p, b.k, coalesce(floor(y1)::BIGINT, b.x1) AS x1, coalesce(floor(y2)::BIGINT, b.x2) AS x2, coalesce(floor(y3)::BIGINT, b.x3) AS x3, coalesce(floor(y4)::BIGINT, b.x4) AS x4
+  FROM {books} b LEFT JOIN (SELECT p, m % 64 AS k, sum(x1) / count(*) AS y1, sum(x2) / count(*) AS y2, sum(x3) / count(*) AS y3, sum(x4) / count(*) AS y4
+                            FROM {nearest} JOIN w USING (vec_id, p) GROUP BY ALL) USING (p, k)"""
+#: Vectors of 64 components, so parts of 4; every part is compared with every entry.
+OP12_SQL = f"""
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+w AS (SELECT vec_id, p, v[4 * p + 1] AS x1, v[4 * p + 2] AS x2, v[4 * p + 3] AS x3, v[4 * p + 4] AS x4 FROM e, range(16) t(p)),
+b0 AS (SELECT p, k - 1 AS k, x1, x2, x3, x4 FROM w JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM e) USING (vec_id) WHERE k <= 64),
+n0 AS MATERIALIZED ({_NEAREST.format(books="b0")}),
+b1 AS MATERIALIZED ({_MEANS.format(books="b0", nearest="n0")}),
+n1 AS MATERIALIZED ({_NEAREST.format(books="b1")}),
+b2 AS MATERIALIZED ({_MEANS.format(books="b1", nearest="n1")}),
+n2 AS MATERIALIZED ({_NEAREST.format(books="b2")}),
+c AS (SELECT vec_id, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM n2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', x1, x2, x3, x4), ',' ORDER BY p, k)) FROM b2) AS codebooks_sha256
+FROM c JOIN e USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op10_mix_sources": OP10_SQL, "op12_vector_codes": OP12_SQL}
