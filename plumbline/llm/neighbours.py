@@ -182,7 +182,7 @@ def nearest_neighbours(
     list_rows: int = 160,
     boundary: float = 1.1,
     replicas: int = 4,
-    ratio: float = 1.12,
+    ratio: float = 1.15,
     first: int = 2,
     chunk_rows: int = 65_536,
     block_rows: int = 8192,
