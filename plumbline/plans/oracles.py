@@ -252,7 +252,7 @@ WHERE u.action <> CASE WHEN toxic = 1 THEN 'block' ELSE 'pass' END"""
 NODES = "e AS (SELECT event_id, user_id AS node_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS text FROM events)"
 ORACLES["text_changes"] = f"""WITH {NODES}, l AS (SELECT *, lag(text) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS before FROM e)
 SELECT event_id, node_id, text FROM l WHERE text IS NOT NULL AND text IS DISTINCT FROM before"""
-ORACLES["stale_verdicts"] = f"""WITH {NODES}, v AS (SELECT event_id, node_id, ts + INTERVAL 12 HOUR AS ts, text FROM e WHERE text IS NOT NULL)
+ORACLES["stale_verdicts"] = ORACLES["stream_stale_verdicts"] = f"""WITH {NODES}, v AS (SELECT event_id, node_id, ts + INTERVAL 12 HOUR AS ts, text FROM e WHERE text IS NOT NULL)
 SELECT v.event_id, v.node_id, v.text FROM v ASOF JOIN e ON v.node_id = e.node_id AND v.ts >= e.ts WHERE e.text = v.text"""
 ORACLES["stream_text_changes"] = """WITH l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
 SELECT conv_id, turn, role AS text FROM l WHERE role IS DISTINCT FROM before"""

@@ -13,7 +13,7 @@ from plumbline.operators import batches, cache, evaluate, grading, lexicon, poli
 from plumbline.plans import samples
 from plumbline.sources import datasets
 from plumbline.sources.shared import keep, new_path, spread
-from plumbline.streaming import jobs
+from plumbline.streaming import jobs, ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -564,17 +564,48 @@ def stream_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "lang", "text_hash", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), "targeted", "confidence", "top_category", "action", F.array_join("reasons", ",").alias("reasons"))
 
 
+def arrivals(rows: DataFrame, at: Column, by: str, late_s: int, batches: int = 5) -> DataFrame:
+    """A table as a stream of some micro-batches: each row comes up to ``late_s`` after its time, in an order of its own.
+
+    A last row of a far later time, with nulls otherwise, lets the watermark pass all others.
+    """
+    spark = rows.sparkSession
+    inbox, files = new_path(spark, "inbox"), max(4, rows.rdd.getNumPartitions())
+    comes = rows.withColumns({"at": at, "comes": F.unix_micros(at) / 1e6 + F.pmod(F.xxhash64(by), F.lit(late_s))})
+    cuts = comes.approxQuantile("comes", [k / batches for k in range(1, batches)], 0.001)
+    part = sum(((F.col("comes") >= c).cast("int") for c in cuts), F.lit(0))
+    for k in range(batches):
+        comes.where(part == k).drop("comes").repartition(files).write.mode("append").parquet(inbox)
+    last = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema] + [F.expr("timestamp'2200-01-01'").alias("at")]
+    spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", files).parquet(inbox)
+
+
 @query
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stream(spark, sf_dir, "events")
-    calls = s.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("tenant"), (micros("ts") / 1e6).alias("ts"), (F.col("user_id") % 4).cast("int").alias("quota"))
-    return jobs.run_available(jobs.quota_stream(calls, samples.QUOTA_S), "quota").select("call_id", "tenant", "admitted")
+    """The calls come in five micro-batches, up to a day late: the same ones are admitted as in order."""
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("tenant"), F.col("ts").cast("timestamp").alias("t"), (F.col("user_id") % 4).cast("int").alias("quota"))
+    s = arrivals(spread(calls), F.col("t"), "call_id", 86_400).withColumn("ts", F.unix_micros("at") / 1e6)
+    return jobs.run_available(ordered.quota_in_order(s, samples.QUOTA_S, "1 day", 86_400.0, 5 * 86_400.0), "quota").select("call_id", "tenant", "admitted")
 
 
 @query
 def stream_text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stream(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("role").alias("text"))
-    return jobs.run_available(jobs.change_stream(s, ["conv_id"], "turn"), "changes")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("text"))
+    s = arrivals(spread(c), F.timestamp_seconds((F.col("turn") + 1) * 60), "conv_id", 300)
+    return jobs.run_available(ordered.changes_in_order(s, ["conv_id"], F.col("at"), ["turn"], delay="5 minutes", slot_s=1800.0), "changes")
+
+
+@query
+def stream_stale_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and their verdicts, twelve hours later, as two streams that come in five micro-batches each."""
+    e = node_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    texts = arrivals(spread(e), F.col("ts"), "event_id", 40_000)
+    v = e.where("text <> ''").withColumn("ts", F.col("ts") + F.expr("interval 12 hours"))
+    verdicts = arrivals(spread(v), F.col("ts"), "event_id", 80_000)
+    both = [x.drop("ts").withColumnRenamed("at", "ts") for x in (texts, verdicts)]
+    out = ordered.fresh_verdict_stream(*both, ["surface", "node_id"], ["event_id"], delay="1 day", slot_s=86_400.0)
+    return jobs.run_available(out, "fresh").select("event_id", "node_id", "text")
 
 
 @query

@@ -1,25 +1,16 @@
-"""The same work on streams: grading (Q1), scoring each text once (Q2), quotas (Q3), text changes (Q4).
-
-State is kept for each tenant or node; with ``idle_s`` it goes once a key has been idle for so long, in time of
-the machine. That is for streams that run on: a run over what is available would wait for it without end.
-The rows of one key in one micro-batch are put in order in memory, with the few columns the job needs: bound
-micro-batches with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` where a key may be hot.
-"""
+"""The same work on streams: grading (Q1), scoring each text once (Q2); see ``ordered`` for Q3 and Q4."""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from plumbline.operators.grading import RUBRIC_VERSION, Scorer, finish, prepare, with_raw
 from plumbline.operators.lexicon import Entry
-from plumbline.operators.requests import WINDOW_S, admit
 from plumbline.sources.shared import keep, new_path
+from plumbline.streaming.ordered import keyed_state
 
 
 def grade_stream(items: DataFrame, entries: Sequence[Entry], policy: str = "balanced", lang_col: str | None = "lang") -> DataFrame:
@@ -53,10 +44,6 @@ def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cach
     return items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def timeout_for(idle_s: float | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_s else GroupStateTimeout.NoTimeout
-
-
 def compact_cache(spark, cache_path: str, below: int) -> None:
     """Put the entries of all batches under ``below`` in the folder of the first; run it while no batch runs."""
     old = spark.read.parquet(cache_path).where(F.col("batch_id") < below)
@@ -70,65 +57,11 @@ def compact_cache(spark, cache_path: str, below: int) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def quota_stream(calls: DataFrame, seconds: float = WINDOW_S, idle_s: float | None = None) -> DataFrame:
-    """Q3. (call_id, tenant, ts, admitted) of a stream of calls (call_id, tenant, ts, quota); state: admitted times.
-
-    Calls of one batch are taken in order of time; a call that comes in a later batch than a later call
-    is judged when it comes. With ``idle_s`` a tenant without calls for so many seconds (at least twice the
-    window) is forgotten, which changes nothing as long as the calls' times keep up with the machine's.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        window = deque(state.get[0]) if state.exists else deque()
-        pdf = pd.concat(list(batches)).sort_values(["ts", "call_id"], kind="stable")
-        ok = [admit(window, at, quota, seconds) for at, quota in zip(pdf["ts"], pdf["quota"], strict=True)]
-        state.update((list(window),))
-        if idle_s:
-            state.setTimeoutDuration(int(1000 * max(idle_s, 2 * seconds)))
-        yield pdf[["call_id", "tenant", "ts"]].assign(admitted=ok)
-
-    out = f"call_id {kinds['call_id']}, tenant {kinds['tenant']}, ts double, admitted boolean"
-    return calls.select("call_id", "tenant", "ts", "quota").groupBy("tenant").applyInPandasWithState(run, out, "times array<double>", "append", timeout_for(idle_s))
-
-
-def change_stream(events: DataFrame, node_cols: list[str], order_col: str, text_col: str = "text", least: int = 2, idle_s: float | None = None) -> DataFrame:
-    """Q4. Text changes of each node: (node, order, text); state: the node's last text.
-
-    With ``idle_s`` a node that shows up again later than that starts anew: its text counts as a change.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(order_col, kind="stable")
-        changed = []
-        for t in pdf[text_col]:
-            t = t if isinstance(t, str) and len(t) >= least else None
-            changed.append(t is not None and t != last)
-            last = t
-        state.update((last,))
-        if idle_s:
-            state.setTimeoutDuration(int(1000 * idle_s))
-        yield pdf[changed]
-
-    cols = [*node_cols, order_col, text_col]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
-    return events.select(*cols).groupBy(*node_cols).applyInPandasWithState(run, schema, "last string", "append", timeout_for(idle_s))
-
-
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now, into a table of the shared folder, and return that table."""
     spark = stream.sparkSession
     path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with keyed_state(spark):
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
-
-
