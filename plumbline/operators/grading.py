@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -65,17 +65,20 @@ def distinct_texts(prepared: DataFrame, order_col: str, text_col: str = "text")
     return prepared.groupBy("text_hash").agg(F.min_by(text_col, order_col).alias("text"), F.count("*").alias("n_items"))
 
 
-def with_raw(prepared: DataFrame, scorer: Scorer | None, order_col: str, dedupe: bool = False, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def with_raw(prepared: DataFrame, scorer: Scorer | None, order_col: str, dedupe: bool = False, cache: DataFrame | Callable[[DataFrame], DataFrame | None] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Adds the raw verdict columns and ``cached``; the second result has the newly scored hashes.
 
     Without a scorer the word-list score is a row expression: no shuffle, unless ``dedupe`` is asked for.
-    With one, only distinct texts that the cache lacks are scored (J2, A1), then joined back (J3).
+    With one, only distinct texts that the cache lacks are scored (J2, A1), then joined back (J3). The cache is a
+    table, or a function that gives the entries that may belong to some text hashes (or None).
     """
     if scorer is None and not dedupe:
         return prepared.withColumns(lexicon_raw(F.col("hits")) | {"cached": F.lit(False)}), None
     name = scorer.name if scorer else "lexicon"
     # Written once, as it is read for the distinct texts and again for the join back.
     prepared = keep(prepared.drop("norm", "compact"), "prepared")
+    if callable(cache):
+        cache = cache(prepared.select("text_hash"))
     rest = prepared if cache is None else misses(prepared, cache, name, RUBRIC_VERSION)
     if scorer is None:
         first = rest.groupBy("text_hash").agg(F.min_by("hits", order_col).alias("hits"))

@@ -79,12 +79,16 @@ def replay_quota(calls: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
     return rows.mapInPandas(run, f"call_id {kinds['call_id']}, tenant {kinds['tenant']}, ts double, admitted boolean")
 
 
-def append_feedback(feedback: DataFrame, path: str, tenant: Column, now: Column | None = None) -> None:
-    """S9. Append feedback rows with ts and tenant; unknown actions and levels outside 0..4 are refused."""
+def stamped_feedback(feedback: DataFrame, tenant: Column, now: Column | None = None) -> DataFrame:
+    """Feedback rows with ts and tenant; unknown actions and levels outside 0..4 are refused."""
     ok = F.col("human_action").isin(*ACTIONS) & (F.col("expected_level").isNull() | F.col("expected_level").between(0, 4))
     checked = feedback.withColumn("human_action", F.when(ok, F.col("human_action")).otherwise(F.raise_error(F.lit("bad human_action or expected_level"))))
-    stamped = checked.withColumns({"ts": now if now is not None else F.current_timestamp(), "tenant": tenant})
-    stamped.write.mode("append").json(path)
+    return checked.withColumns({"ts": now if now is not None else F.current_timestamp(), "tenant": tenant})
+
+
+def append_feedback(feedback: DataFrame, path: str, tenant: Column, now: Column | None = None) -> None:
+    """S9. Append stamped feedback; a run that is repeated appends again (``feedback_stream`` doesn't)."""
+    stamped_feedback(feedback, tenant, now).write.mode("append").json(path)
 
 
 def misjudgments(feedback: DataFrame, verdicts: DataFrame, on: tuple[str, ...] = ("text_hash",)) -> DataFrame:

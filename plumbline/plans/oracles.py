@@ -166,7 +166,7 @@ def by_scorer(first: str) -> str:
 raw AS (SELECT *, {by_length}, {cat_length}, 0.3::DOUBLE AS rtargeted, 0.7::DOUBLE AS confidence FROM s0), {fused()}, v AS (SELECT *, {decide(PRESETS['balanced'])} AS action FROM g)"""
 
 
-ORACLES["scored_in_batches"] = f"""WITH {by_scorer('id')} SELECT id, round(level, 6) AS level, level_argmax, round(cat_spam, 6) AS cat_spam, targeted, action, false AS cached, 'length' AS backend, 10.0::DOUBLE AS input_tokens FROM v"""
+ORACLES["scored_in_batches"] = ORACLES["scored_resumable"] = f"""WITH {by_scorer('id')} SELECT id, round(level, 6) AS level, level_argmax, round(cat_spam, 6) AS cat_spam, targeted, action, false AS cached, 'length' AS backend, 10.0::DOUBLE AS input_tokens FROM v"""
 ORACLES["stream_scored_once"] = f"""WITH {by_scorer('id % 2, id')}, c AS (SELECT *, id % 2 = 1 AND min(id % 2) OVER (PARTITION BY text_hash) = 0 AS cached FROM v)
 SELECT id, cached, round(level, 6) AS level, level_argmax, action, CASE WHEN cached THEN 0.0 ELSE 10.0 END::DOUBLE AS input_tokens FROM c"""
 ORACLES["custom_entries"] = f"WITH {MATCH} " + " UNION ALL ".join(f"SELECT id, {q(r['norm'])} AS term, {r['level']}::BIGINT AS level FROM m WHERE m{r['i']}" for r in W)

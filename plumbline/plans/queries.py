@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.verdict import CATEGORIES, argmax_level, cats, expected_level
-from plumbline.operators import batches, cache, evaluate, grading, lexicon, policy, requests, viewer
+from plumbline.operators import batches, cache, evaluate, grading, lexicon, policy, requests, resumable, viewer
+from plumbline.operators.verdict_store import VerdictStore
 from plumbline.plans import samples
 from plumbline.sources import datasets
 from plumbline.sources.shared import keep, new_path, spread
@@ -269,6 +270,15 @@ def scored_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), r6("cat_spam").alias("cat_spam"), "targeted", "action", "cached", "backend", "input_tokens")
 
 
+@query
+def scored_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a ledger: a first run scores every other document, the second one only what is left."""
+    ledger, docs = new_path(spark, "ledger"), items(spark, sf_dir)
+    resumable.grade_resumable(docs.where("id % 2 = 0"), word_list(spark), samples.LengthScorer(), ledger)
+    g, _ = resumable.grade_resumable(docs, word_list(spark), samples.LengthScorer(), ledger)
+    return g.select("id", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), r6("cat_spam").alias("cat_spam"), "targeted", "action", "cached", "backend", "input_tokens")
+
+
 @query
 def custom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of a caller's table of entries."""
@@ -328,8 +338,12 @@ def yesterday(v: DataFrame) -> DataFrame:
 
 @query
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against yesterday's table on disk."""
     p = scored(spark, sf_dir)
-    old, p = yesterday(p), p.select("id", "text_hash")
+    store = VerdictStore(spark, new_path(spark, "store"))
+    store.upsert(yesterday(p))
+    p = p.select("id", "text_hash")
+    old = store.candidates(p, lexicon.SCORER, grading.RUBRIC_VERSION)
     hit = cache.lookup(p, old, lexicon.SCORER, grading.RUBRIC_VERSION)
     left = cache.misses(p, old, lexicon.SCORER, grading.RUBRIC_VERSION).select(F.col("id").alias("mid"))
     return hit.join(left, hit["id"] == left["mid"], "left").select("id", "cached", F.col("mid").isNotNull().alias("missed"))
@@ -337,11 +351,15 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yesterday's table on disk, and today's entries put into it."""
     v = scored(spark, sf_dir)
     old = yesterday(v)
     created = F.col("id") + F.when(F.col("id") % 3 == 0, 10).otherwise(-10)
     new = v.withColumns({"rubric_version": F.lit(grading.RUBRIC_VERSION), "created": created, "last_used": created}).select(*old.columns)
-    return cache.upsert(old, new).select("backend", "rubric_version", "text_hash", "created", "last_used")
+    store = VerdictStore(spark, new_path(spark, "store"))
+    store.upsert(old)
+    store.upsert(new)
+    return store.read().select("backend", "rubric_version", "text_hash", "created", "last_used")
 
 
 @query
@@ -559,7 +577,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def stream_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    s = stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang").repartition(spark.sparkContext.defaultParallelism)
     out = jobs.run_available(jobs.grade_stream(s, word_list(spark)), "graded")
     return out.select("id", "lang", "text_hash", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), "targeted", "confidence", "top_category", "action", F.array_join("reasons", ",").alias("reasons"))
 
@@ -611,10 +629,11 @@ def stream_stale_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in two micro-batches: texts that the first one scored are not scored again."""
-    inbox = new_path(spark, "inbox")
+    inbox, rows = new_path(spark, "inbox"), items(spark, sf_dir)
+    files = rows.rdd.getNumPartitions()
     for odd in (0, 1):
-        items(spark, sf_dir).where(F.pmod("id", F.lit(2)) == odd).coalesce(1).write.mode("append").parquet(f"{inbox}/part={odd}")
-    s = spark.readStream.schema(items(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(inbox)
+        rows.where(F.pmod("id", F.lit(2)) == odd).repartition(files).write.mode("append").parquet(f"{inbox}/part={odd}")
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(inbox)
     out, store = new_path(spark, "verdicts"), new_path(spark, "store")
     jobs.scored_once(s, word_list(spark), samples.LengthScorer(), store, out, new_path(spark, "scored-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("id", "cached", r6("level").alias("level"), n("level_argmax").alias("level_argmax"), "action", "input_tokens")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.grading import RUBRIC_VERSION, Scorer, finish, prepare, with_raw
 from plumbline.operators.lexicon import Entry
-from plumbline.sources.shared import keep, new_path
+from plumbline.operators.requests import stamped_feedback
+from plumbline.operators.verdict_store import VerdictStore
+from plumbline.sources.shared import new_path
 from plumbline.streaming.ordered import keyed_state
 
 
@@ -19,42 +21,38 @@ def grade_stream(items: DataFrame, entries: Sequence[Entry], policy: str = "bala
     return finish(scored, policy).drop("norm", "compact", "hits", "own_hits")
 
 
-def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cache_path: str, out_path: str, checkpoint: str, policy: str = "balanced"):
-    """Q2. Starts a query that scores only hashes the cache table lacks, and appends verdicts to ``out_path``.
+def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cache_path: str, out_path: str, checkpoint: str, policy: str = "balanced", buckets: int = 64):
+    """Q2. Starts a query that scores only hashes the verdict store lacks, and appends verdicts to ``out_path``.
 
-    Each batch is prepared and scored once and writes its new entries and its verdicts under its batch id, so
-    a repeated batch writes the same folders again. The cache is the union of those folders; only hashes and
-    verdicts are read of it, and ``compact_cache`` puts the folders of past batches together.
+    A batch asks the store's filters for its own hashes and reads entries only where they may be (see
+    ``verdict_store``): texts seen for the first time cost no read, however many batches went before. It writes
+    its verdicts under its batch id, and then its entries with the id in the store's manifest, so a batch that is
+    repeated is known there, or does the same again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            cache = spark.read.parquet(cache_path).where(F.col("batch_id") < batch_id)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            cache = None
-        scored, new = with_raw(prepare(batch, entries), scorer, "id", cache=cache, dedupe=True)
-        stamped = new.withColumns({"rubric_version": F.lit(RUBRIC_VERSION), "created": F.current_timestamp(), "last_used": F.current_timestamp()})
-        stamped.write.mode("overwrite").parquet(f"{cache_path}/batch_id={batch_id}")
+        store = VerdictStore(batch.sparkSession, cache_path, buckets)
+        if store.note() is not None and store.note() >= batch_id:
+            return
+        scored, new = with_raw(prepare(batch, entries), scorer, "id", cache=lambda h: store.candidates(h, scorer.name, RUBRIC_VERSION), dedupe=True)
         out = finish(scored, policy).drop("norm", "compact", "hits", "own_hits")
         out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        now = F.current_timestamp()
+        store.upsert(new.withColumns({"rubric_version": F.lit(RUBRIC_VERSION), "created": now, "last_used": now}), note=batch_id)
 
     return items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def compact_cache(spark, cache_path: str, below: int) -> None:
-    """Put the entries of all batches under ``below`` in the folder of the first; run it while no batch runs."""
-    old = spark.read.parquet(cache_path).where(F.col("batch_id") < below)
-    batches = sorted(r["batch_id"] for r in old.select("batch_id").distinct().collect())
-    if len(batches) < 2:
-        return
-    put = keep(old.drop("batch_id").dropDuplicates(["backend", "rubric_version", "text_hash"]), "compacted")
-    put.write.mode("overwrite").parquet(f"{cache_path}/batch_id={batches[0]}")
-    for b in batches[1:]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{cache_path}/batch_id={b}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def feedback_stream(feedback: DataFrame, path: str, tenant: Column, checkpoint: str, now: Column | None = None):
+    """S9. Starts a query that appends checked feedback, each batch in the folder of its id.
+
+    A batch that is repeated overwrites its folder: no second copy.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        stamped_feedback(batch, tenant, now).write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+
+    return feedback.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.verdict import CATEGORIES, expected_level
 from plumbline.operators import batches, evaluate, grading, lexicon, policy, requests, viewer
+from plumbline.operators.verdict_store import VerdictStore
 from plumbline.sources import datasets
 from plumbline.streaming import jobs
 from tests.test_grading import Counting
@@ -198,7 +199,7 @@ def test_stream_grades_like_batch_and_scores_once(spark, tmp_path):
         jobs.scored_once(s, entries, Counting(), store, out, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
     got = spark.read.parquet(out)
-    assert got.where("batch_id = 0").count() == 3 and spark.read.parquet(store).count() == 2
+    assert got.where("batch_id = 0").count() == 3 and VerdictStore(spark, store).read().count() == 2
     assert {r.cached for r in got.where("batch_id = 1").collect()} == {True}
 
 
