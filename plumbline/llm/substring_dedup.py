@@ -9,14 +9,18 @@ most 2 * window words long. Only segments whose minimizer is found in another se
 equal segments are folded into one with a weight, so a passage copied any number of times is one
 sequence. The remaining sequences are gathered in shards of bounded size; each shard builds an
 FM-index of its sequences with their weights, streams them through it by backward search, and reports
-the runs of at least ``window`` words that occur twice. Minimizers with more than ``HOT`` different
-segments are cut again, into single windows, which are counted by their hash: no shard grows with a
-frequent phrase.
+the runs of at least ``window`` words that occur twice.
+
+A minimizer whose different segments have more than ``SHARD_WORDS`` words together is dealt out again,
+before any index is built: its segments are cut by a second minimizer, under another order of the runs,
+pieces that are equal are folded, and minimizer pairs take the place of minimizers; so on for ``LEVELS``
+levels. What is still too large then is cut into single windows, dealt out by their own hash. So no shard
+grows with a frequent phrase, and all windows are searched in an index.
 
 Defined cases: null texts and texts shorter than a window lose nothing; repeated rows are each other's
-copies; texts of up to 2**24 words are read whole, longer ones are an error; an empty table gives an empty
-result; only the two named columns are read, and the result has doc_id, n_words, n_removed, kept_sha256 and
-kept_text, so other columns may have any name.
+copies; texts of any length are read whole, very long ones ``LONG`` windows at a time; ties between runs of
+one hash go to the first; an empty table gives an empty result; only the two named columns are read, and
+the result has doc_id, n_words, n_removed, kept_sha256 and kept_text, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,18 +33,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.fm_index import FMIndex
-from plumbline.llm.kernel import grams, pieces, sequence_hashes, signed, span_hashes, word_bounds
+from plumbline.llm.kernel import grams, mix, pieces, sequence_hashes, signed, span_hashes, text_buffers, word_bounds
 from plumbline.llm.store import keep, same
 
 GRAM = 8
-HOT = 50_000
 SHARD_WORDS = 400_000
+LEVELS = 4
+#: Windows of one text whose minimizers are found at a time; below 2**24, as a place has 24 bits.
+LONG = 1 << 22
 #: Documents with removed words, or wanted segments, are broadcast up to this many bytes of spans.
 BROADCAST_BYTES = 48 << 20
 
 
 def window_minimizers(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window: its first word, the place of its minimizer, and the minimizer's hash."""
+    if len(h) - window >= LONG:
+        # Stretches that overlap by all but one word of a window.
+        parts = []
+        for a in range(0, len(h) - window + 1, LONG):
+            b = min(len(h), a + LONG + window - 1)
+            edges = np.unique(np.concatenate([[0, b - a], np.clip(first, a, b) - a]))
+            start, place, m = _stretch_minimizers(h[a:b], edges, window, gram)
+            parts.append((start + a, place + (a // LONG << 40), m))  # places of two stretches are never the same
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _stretch_minimizers(h, first, window, gram)
+
+
+def _stretch_minimizers(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     g, _, row_first = grams(h, first, gram)
     wide = window - gram + 1
     counts = np.maximum(np.diff(first) - window + 1, 0)
@@ -48,8 +67,6 @@ def window_minimizers(h: np.ndarray, first: np.ndarray, window: int, gram: int)
     if not ends[-1]:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    if len(g) > 1 << 24:
-        raise ValueError("a text has more than 2**24 words")
     v = (g & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(g), dtype=np.uint64)
     low, size = v, 1
     while size * 2 <= wide:
@@ -134,25 +151,57 @@ def repeated_runs(seqs: DataFrame, n_shards: int, window: int) -> DataFrame:
     return seqs.withColumn("shard", shard).groupBy("shard").applyInArrow(search, "m long, c long, lo int, hi int")
 
 
-def counted_windows(seqs: DataFrame, window: int) -> DataFrame:
-    """(m, c, lo, hi) for hot minimizers: windows counted one by one, by the hash of their words."""
+def finer(seqs: DataFrame, window: int, gram: int, level: int) -> DataFrame:
+    """(m, c, copies, lo, m2, c2, words): the sequences' pieces by one more minimizer, or their single windows."""
 
     def rows(batches):
+        salt = np.uint64(2 * level + 1) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            out = {x: [] for x in ("m", "c", "copies", "lo", "w")}
-            for k, x in enumerate(batch.column(3).to_pylist()):
-                codes = np.frombuffer(x, np.uint32).astype(np.uint64)
-                a = np.arange(len(codes) - window + 1)
-                out["w"].append(sequence_hashes(codes, a, a + window, 3))
-                out["lo"].append(a.astype(np.int32))
-                for f in range(3):
-                    out[("m", "c", "copies")[f]].append(np.full(len(a), batch.column(f)[k].as_py(), np.int64))
-            cat = lambda x, kind: np.concatenate(out[x]) if out[x] else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(cat("m", np.int64)), pa.array(cat("c", np.int64)), pa.array(cat("copies", np.int64)), pa.array(cat("lo", np.int32)), pa.array(signed(cat("w", np.uint64)))], ["m", "c", "copies", "lo", "w"])
-
-    w = seqs.select("m", "c", "copies", "words").mapInArrow(rows, "m long, c long, copies long, lo int, w long")
-    twice = w.groupBy("m", "w").agg(F.sum("copies").alias("k")).where("k > 1").select("m", "w")
-    return w.join(twice, ["m", "w"]).select("m", "c", "lo", (F.col("lo") + window).cast("int").alias("hi"))
+            parts = batch.column(3).to_pylist()
+            step = max(1, (1 << 20) // max(1, max(map(len, parts), default=1)))
+            for i in range(0, len(parts), step):
+                first = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts[i : i + step]])])
+                codes = np.frombuffer(b"".join(parts[i : i + step]), np.uint32)
+                h = mix(codes.astype(np.uint64) ^ salt)
+                if level < LEVELS:
+                    start, place, m2 = window_minimizers(h, first, window, gram)
+                else:
+                    counts = np.maximum(np.diff(first) - window + 1, 0)
+                    start = np.concatenate([np.arange(a, a + n) for a, n in zip(first[:-1], counts, strict=True)]) if counts.sum() else np.zeros(0, np.int64)
+                    place, m2 = start, sequence_hashes(h, start, start + window, 3)
+                row = np.searchsorted(first, start, "right") - 1
+                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])) if len(start) else np.zeros(0, np.int64)
+                last = np.append(new[1:], len(start)) - 1
+                a, b = start[new], (start[last] + window if len(new) else start[new])
+                at = pa.array(row[new] + i)
+                m = batch.column(0).take(at)
+                m2 = mix(m.to_numpy().view(np.uint64) ^ m2[new])
+                words = [codes[x:y].tobytes() for x, y in zip(a, b, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [m, batch.column(1).take(at), batch.column(2).take(at), pa.array((a - first[row[new]]).astype(np.int32)), pa.array(signed(m2)), pa.array(signed(sequence_hashes(h, a, b, 2))), pa.array(words, pa.binary())],
+                    ["m", "c", "copies", "lo", "m2", "c2", "words"],
+                )
+
+    return seqs.select("m", "c", "copies", "words").mapInArrow(rows, "m long, c long, copies long, lo int, m2 long, c2 long, words binary")
+
+
+def indexed_runs(seqs: DataFrame, window: int, gram: int, level: int = 0) -> DataFrame:
+    """(m, c, lo, hi): the repeated runs of written sequences (m, c, copies, words)."""
+    per = seqs.groupBy("m").agg(F.sum(F.length("words") / 4).alias("n"))
+    hot = keep(per.where(F.col("n") > SHARD_WORDS).select("m"), "hot") if level <= LEVELS else None
+    if hot is None or hot.isEmpty():
+        rest, split = seqs, None
+    else:
+        rest = seqs.join(hot, "m", "left_anti")
+        split = keep(finer(seqs.join(hot, "m", "left_semi"), window, gram, level), "pieces")
+    total = rest.agg(F.sum(F.length("words"))).first()[0] or 0
+    runs = repeated_runs(rest, max(1, -(-total // 4 * 2 // SHARD_WORDS)), window)
+    if split is None:
+        return runs
+    pieces = split.groupBy(F.col("m2").alias("m"), F.col("c2").alias("c")).agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
+    inner = keep(indexed_runs(keep(pieces, "different"), window, gram, level + 1), "inner").select(F.col("m").alias("m2"), F.col("c").alias("c2"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+    inner = split.select("m", "c", "lo", "m2", "c2").join(inner, ["m2", "c2"])
+    return runs.unionByName(inner.select("m", "c", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi")))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -165,6 +214,18 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Some words of a text, joined by one space."""
+    if not len(starts):
+        return b""
+    spaced = np.append(buf, np.uint8(32))
+    spaced[ends] = 32
+    edge = np.zeros(len(spaced) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends + 1] -= 1  # a word's end is a gap, so the next word begins there at the earliest
+    return spaced[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes()[:-1]
+
+
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, spans): packed, merged word spans of each document that lie in repeated windows."""
     gram = min(GRAM, window)
@@ -173,14 +234,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     shared = keep(segs.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "minimizers")
     cand = keep(segs.join(shared, "m"), "shared")
     distinct = keep(cand.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("p")), "distinct")
-    hot = keep(distinct.groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("m"), "hot")
-    seqs = keep(sequences(docs, distinct), "sequences")
-    total = seqs.agg(F.sum(F.length("words"))).first()[0] or 0
-    cold = seqs.join(hot, "m", "left_anti")
-    runs = repeated_runs(cold, max(1, total // 4 // SHARD_WORDS), window)
-    if hot.count():
-        runs = runs.unionByName(counted_windows(seqs.join(hot, "m", "left_semi"), window))
-    runs = keep(runs, "runs")
+    runs = keep(indexed_runs(keep(sequences(docs, distinct), "sequences"), window, gram), "runs")
     found = cand.join(runs, ["m", "c"]).select("doc_id", "th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     per_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
@@ -203,18 +257,16 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def rows(batches):
         for batch in batches:
             n, gone, sha, kept = [], [], [], []
-            for t, x in zip(batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                ws = (t.as_py() or b"").split()
-                n.append(len(ws))
-                if x.is_valid:
-                    stay = np.ones(len(ws), bool)
-                    for lo, hi in np.frombuffer(x.as_py(), np.int64).reshape(-1, 2):
-                        stay[lo:hi] = False
-                    gone.append(len(ws) - int(stay.sum()))
-                    ws = [ws[k] for k in np.flatnonzero(stay)]
-                else:
-                    gone.append(0)
-                kept.append(b" ".join(ws))
+            for k in range(batch.num_rows):
+                buf, offs = text_buffers(batch.column(2).slice(k, 1))
+                s, e, _ = word_bounds(buf, offs)
+                stay = np.ones(len(s), bool)
+                x = batch.column(3)[k]
+                for lo, hi in np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) if x.is_valid else ():
+                    stay[lo:hi] = False
+                n.append(len(s))
+                gone.append(len(s) - int(stay.sum()))
+                kept.append(joined(buf, s[stay], e[stay]))
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 

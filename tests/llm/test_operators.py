@@ -238,12 +238,26 @@ def test_op5_one_copy_of_repeated_rows_stays(spark):
     assert [r.text for r in got if r.doc_id == 3] == ["\nand this is new"] and [r.text for r in got if r.doc_id == 2] == ["before the\nothers"]
 
 
-def test_op6_against_all_windows_and_in_small_shards(docs, monkeypatch):
-    for window, hot, shard in ((35, 50_000, 400_000), (35, 1, 500), (12, 10**9, 300)):
-        monkeypatch.setattr(substring_dedup, "HOT", hot)
-        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
-        want = brute.without_repeats(CORPUS, window)
-        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in dedup_passages(docs, window=window).collect()} == want
+@pytest.mark.parametrize("window,shard,levels,long", [(35, 400_000, 4, 1 << 22), (35, 150, 1, 64), (12, 60, 2, 20), (12, 1, 0, 1 << 22)])
+def test_op6_against_all_windows_in_small_shards_and_stretches(docs, monkeypatch, window, shard, levels, long):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substring_dedup, "LEVELS", levels)
+    monkeypatch.setattr(substring_dedup, "LONG", long)
+    want = brute.without_repeats(CORPUS, window)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in dedup_passages(docs, window=window).collect()} == want
+
+
+def test_op6_minimizers_of_stretches_are_those_of_the_whole(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    h = kernel.mix(rnd.integers(0, 50, 4_000).astype(np.uint64))
+    for first in (np.array([0, 4_000]), np.array([0, 100, 110, 110, 2_500, 4_000])):
+        monkeypatch.setattr(substring_dedup, "LONG", 1 << 22)
+        whole = substring_dedup.window_minimizers(h, first, 12, 8)
+        monkeypatch.setattr(substring_dedup, "LONG", 300)
+        cut = substring_dedup.window_minimizers(h, first, 12, 8)
+        assert (whole[0] == cut[0]).all() and (whole[2] == cut[2]).all()
 
 
 def test_fm_index_counts():
