@@ -6,6 +6,11 @@ the documents are joined; a hit fixes how item and document are aligned. The wor
 are then compared: an item is found if some run of ``overlap`` aligned words (the whole item if it is
 shorter) has at least ``percent`` hundredths equal words.
 
+A seed that more than ``HOT_ITEMS`` places of the benchmark share isn't joined as it is: each aligned run that
+is equal enough has more equal words than a mask spans, so such a seed is extended by one word before or
+after it, at each distance at which that word may stand, and again as long as the extended seed is shared by
+too many. Only if the words that must be equal are used up are all places of a seed compared.
+
 The benchmark's seeds, items and candidates are broadcast if their bytes are few; otherwise the same
 joins are shuffled. Texts are lower-cased. With the default ``overlap`` and ``percent`` no set of
 replaced words hides an item: the three masks leave a hit for every choice of two of 13 words, and the
@@ -32,6 +37,7 @@ from plumbline.llm.store import bytes_at_most, keep, same, text_hash, with_verdi
 #: Fixed masks of five words each, and those that items of 7 to 12 words need besides.
 MASKS = ("1101011", "11100101", "110010011")
 SHORT_MASKS, SHORT = ("11111", "1110111"), range(7, 13)
+HOT_ITEMS = 32
 #: Tables are broadcast up to this many bytes, which are summed over their rows.
 BROADCAST_BYTES = 32 << 20
 
@@ -73,6 +79,57 @@ def aligned(h: Column, item: Column, diag: Column, overlap: int, percent: int) -
     return F.when(hi - lo >= length, found).otherwise(F.lit(False))
 
 
+def extended(rows: DataFrame, keys: list[str], overlap: int) -> DataFrame:
+    """Each row's key with one more word of its context, which stands beyond the words used so far."""
+    most = overlap - 1
+
+    def fits(o: Column) -> Column:
+        outside = ((o < 0) & (o >= F.col("span") - overlap)) | (o >= F.col("span"))
+        return (o > F.col("used")) & outside & F.get("ctx", o + most).isNotNull()
+
+    further = F.filter(F.sequence(F.lit(-most), F.lit(most)), fits)
+    each = F.transform(further, lambda o: F.struct(o.alias("used"), F.xxhash64("key", o, F.get("ctx", o + most)).alias("key")))
+    return rows.select(*keys, "span", "ctx", F.explode(each).alias("e")).select(*keys, "span", "ctx", "e.used", "e.key")
+
+
+def hot_hits(docs: DataFrame, hits: DataFrame, bench: DataFrame, items: DataFrame, masks: tuple[str, ...], overlap: int, percent: int) -> DataFrame:
+    """(doc_id, th, item_id, diag) of seeds that too many items share, by extended seeds.
+
+    ``hits`` are the documents' places of such seeds (doc_id, th, mask, pos, seed), ``bench`` the items' (item_id,
+    mask, q, seed).
+    """
+    offsets = F.sequence(F.lit(1 - overlap), F.lit(overlap - 1))
+    span = F.get(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask"))
+    size = F.least(F.lit(overlap), F.size("h"))
+    # Of ``size`` aligned words so many are equal, so at least that less a mask's span stand outside it.
+    need = F.when(F.size("h") < min(map(len, MASKS)), size).otherwise(F.ceil(F.lit(percent) * size / 100)).cast("int")
+
+    def placed(rows: DataFrame, at: str, keys: list[str], *more: Column) -> DataFrame:
+        ctx = F.transform(offsets, lambda o: F.get("h", F.col(at) + o))
+        return rows.select(*keys, span.alias("span"), F.lit(-overlap).alias("used"), F.col("seed").alias("key"), ctx.alias("ctx"), *more)
+
+    item_keys, doc_keys = ["item_id", "q", "depth"], ["doc_id", "th", "pos"]
+    i, b = items.withColumnRenamed("item", "h").alias("i"), bench.alias("b")
+    i = b.join(i, same(F.col("b.item_id"), F.col("i.item_id"))).select("b.item_id", "mask", "q", "seed", "h")
+    i = keep(placed(i, "q", ["item_id", "q"], (need - span).alias("depth")).select(*item_keys, "span", "used", "key", "ctx"), "hot_items")
+    a, b = docs.dropDuplicates(["doc_id", "th"]).alias("a"), hits.alias("b")
+    d = b.join(a, same(F.col("a.doc_id"), F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))).select("b.doc_id", "b.th", "mask", "pos", "seed", "h")
+    d = keep(placed(d, "pos", doc_keys).select(*doc_keys, "span", "used", "key", "ctx"), "hot_places")
+    found, level = [], 0
+    out = [*doc_keys[:2], "item_id", (F.col("pos") - F.col("q")).alias("diag")]
+    while True:
+        found.append(d.join(i.where(F.col("depth") <= level).select("item_id", "q", "key"), "key").select(*out))
+        i = keep(extended(i.where(F.col("depth") > level), item_keys, overlap), "extended")
+        if i.isEmpty():
+            break
+        shared = keep(i.groupBy("key").agg(F.count("*").alias("n")), "shared")
+        d = keep(extended(d, doc_keys, overlap).join(shared.select("key"), "key", "left_semi"), "further")
+        hot = shared.where(F.col("n") > HOT_ITEMS).select("key")
+        found.append(d.join(i.join(hot, "key", "left_anti").select("item_id", "q", "key"), "key").select(*out))
+        i, d, level = i.join(hot, "key", "left_semi"), d.join(hot, "key", "left_semi"), level + 1
+    return reduce(DataFrame.unionByName, found)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -96,11 +153,17 @@ def contaminated(
     bench = exploded(items.withColumnRenamed("item", "h").withColumn("size", F.size("h")), ["item_id", "size"], masks)
     bench = bench.where(reduce(or_, [(F.col("mask") == i) & fits for i, (_, fits) in enumerate(uses)]))
     text_bytes = lambda c: F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    bench = keep(bench.select("item_id", F.col("pos").alias("q"), "seed").distinct(), "seeds")
+    bench = keep(bench.select("item_id", "mask", F.col("pos").alias("q"), "seed").distinct(), "seeds")
+    hot = keep(bench.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ITEMS).select("seed"), "hot_seeds")
     few = bytes_at_most(bench, text_bytes("item_id") + 32, BROADCAST_BYTES)
     d = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("th"), word_hashes(F.col(text_col)).alias("h"))
-    hits = exploded(d, ["doc_id", "th"], masks).join(F.broadcast(bench) if few else bench, "seed")
-    cands = keep(hits.select("doc_id", "th", "item_id", (F.col("pos") - F.col("q")).alias("diag")).distinct(), "candidates")
+    places = exploded(d, ["doc_id", "th"], masks)
+    cold = bench.drop("mask").join(F.broadcast(hot) if few else hot, "seed", "left_anti")
+    hits = places.join(F.broadcast(cold) if few else cold, "seed").select("doc_id", "th", "item_id", (F.col("pos") - F.col("q")).alias("diag"))
+    if not hot.isEmpty():
+        frequent = places.join(F.broadcast(hot) if few else hot, "seed").select("doc_id", "th", "mask", "pos", "seed")
+        hits = hits.unionByName(hot_hits(d, keep(frequent, "frequent"), bench.join(hot, "seed", "left_semi"), items, masks, overlap, percent))
+    cands = keep(hits.distinct(), "candidates")
     small = bytes_at_most(cands, text_bytes("doc_id") + 24, BROADCAST_BYTES)
     small_items = bytes_at_most(items, 8 * F.size("item") + text_bytes("item_id") + 32, BROADCAST_BYTES)
     with_items = cands.join(F.broadcast(items) if small_items else items, same(cands["item_id"], items["item_id"])).select("doc_id", "th", cands["item_id"], "diag", "item")

@@ -10,6 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import decontaminate as decontaminate_module
 from plumbline.llm import chat_format, kernel, line_dedup, near_dedup, pii, substring_dedup
 from plumbline.llm.chat_format import repair_roles
 from plumbline.llm.components import connected_components
@@ -22,6 +23,7 @@ from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import gumbel, quality_classifier
 from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.store import keep
 from plumbline.llm.substring_dedup import dedup_passages
 from tests.llm import brute
 
@@ -198,6 +200,36 @@ def test_op4_every_choice_of_replaced_words(spark):
     assert got == brute.contaminated(docs, items) and len(got) > 300
 
 
+def test_op4_seeds_that_many_items_share(spark, monkeypatch):
+    rnd = random.Random(5)
+    opening = [f"o{i}" for i in range(8)]
+    items = [(i, " ".join(opening + [f"i{i}w{k}" for k in range(12)])) for i in range(1500)]
+    docs = [(i, " ".join(opening + [f"d{i}w{k}" for k in range(20)])) for i in range(600)]
+    for n in range(60):  # a run of 13 words with the opening, two of them replaced
+        w = items[n * 20][1].split()
+        for k in rnd.sample(range(13), 2):
+            w[k] = "z"
+        docs.append((1000 + n, " ".join(["x"] * (n % 3) + w[:13] + ["y"] * 5)))
+    docs.append((2000, " ".join(opening)))
+    kept = {}
+
+    def kept_as(df, name):
+        kept[name] = keep(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(decontaminate_module, "keep", kept_as)
+    found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("decontam_found").collect()
+    assert {r.doc_id: r.decontam_items for r in found} == {1000 + n: str(n * 20) for n in range(60)}
+    assert kept["candidates"].count() < 10_000
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_op4_every_seed_extended(spark, docs, benchmark, monkeypatch, hot):
+    monkeypatch.setattr(decontaminate_module, "HOT_ITEMS", hot)
+    test_op4_against_all_alignments(docs, benchmark)
+    test_op4_every_choice_of_replaced_words(spark)
+
+
 def test_op5_against_all_pairs_and_in_small_steps(docs, monkeypatch):
     gone = brute.removed_lines(CORPUS)
     for first, hot in ((2, 50_000), (1, 3)):
