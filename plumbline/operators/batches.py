@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.verdict import CATEGORIES
+from plumbline.operators.ordering import running_total
 
 BATCH = 16
 # Profiles and category names of the guard model's labels.
@@ -31,9 +32,12 @@ ABOUT = {
 
 
 def number_batches(items: DataFrame, group_cols: list[str], order_col: str, size: int = BATCH) -> DataFrame:
-    """W2. Adds pos (from 0, within the group) and chunk = pos div size."""
-    pos = F.row_number().over(Window.partitionBy(*group_cols).orderBy(order_col)) - 1
-    return items.withColumn("pos", pos).withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
+    """W2. Adds pos (from 0, within the group) and chunk = pos div size; ``order_col`` tells a group's items apart.
+
+    A very long group is numbered by several tasks.
+    """
+    numbered = running_total(items, group_cols, [order_col], F.lit(1), "pos").withColumn("pos", F.col("pos").cast("int"))
+    return numbered.withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
 
 
 def questions(key: Column) -> Column:

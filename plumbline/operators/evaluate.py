@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.verdict import CATEGORIES
+from plumbline.operators.ordering import running_total
 from plumbline.operators.policy import Policy, decide, load_policy
 
 
@@ -67,8 +68,7 @@ def gross_errors(verdicts: DataFrame, text_col: str = "text") -> DataFrame:
 def average_ranks(counts: DataFrame, by: str, value: str, out: str) -> DataFrame:
     """W1. (by, value, rank): mean rank of each distinct value, from a table of counts ``n``."""
     per = counts.groupBy(by, value).agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.select(by, value, (before + (F.col("n") + 1) / 2).alias(out))
+    return running_total(per, [by], [value], F.col("n"), "before").select(by, value, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import compact, normalize, resolve_language, text_hash
 from plumbline.functions.verdict import CAT_COLS, argmax_level, expected_level, once, present, round4, top_category
 from plumbline.functions.verdict import cats as category_columns
+from plumbline.operators import lexicon
 from plumbline.operators.cache import lookup, misses
-from plumbline.operators.lexicon import Entry, fuse_floor, hits_for_language, lexicon_hits, lexicon_raw
+from plumbline.operators.lexicon import Entry, as_table, fuse_floor, hits_for_language, lexicon_hits, lexicon_raw, with_indexed_hits
 from plumbline.operators.policy import Policy, apply_policy
 from plumbline.sources.shared import keep
 
@@ -31,11 +32,16 @@ class Scorer(Protocol):
     def grade(self, texts: Sequence[str]) -> Sequence[dict]: ...
 
 
-def prepare(items: DataFrame, entries: Sequence[Entry], detect: bool = True, use_nfkc: bool = True, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """Adds norm, text_hash, lang (resolved) and hits (of any language). Null texts are dropped."""
+def prepare(items: DataFrame, entries: Sequence[Entry] | DataFrame, detect: bool = True, use_nfkc: bool = True, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """Adds norm, text_hash, lang (resolved) and hits (of any language). Null texts are dropped.
+
+    Long lists, and tables of ``entry_table``, are joined by an index instead of standing in the plan.
+    """
     df = items.where(F.col(text_col).isNotNull()).withColumn("norm", normalize(F.col(text_col), use_nfkc))
     given = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     df = df.withColumns({"text_hash": text_hash(F.col("norm")), "lang": resolve_language(given, F.col(text_col), detect), "compact": compact(F.col("norm"))})
+    if isinstance(entries, DataFrame) or len(entries) > lexicon.INLINE_ENTRIES:
+        return with_indexed_hits(df, entries if isinstance(entries, DataFrame) else as_table(df.sparkSession, entries))
     hits = lexicon_hits(entries, F.col("norm"), F.col("compact"))
     return once(df, {"hits": hits}) if entries else df.withColumn("hits", hits)
 

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import compact, normalize
 from plumbline.functions.verdict import CATEGORIES, argmax_level
+from plumbline.sources.shared import keep
 
 SCORER = "lexicon"
-#: Lists of up to this many entries become constant patterns inside the plan, larger ones a helper.
+#: Lists of up to this many entries become constant patterns inside the plan, longer ones an index that is joined.
 INLINE_ENTRIES = 200
-#: A list is broadcast, so it must fit here: entries, of at most 200 characters each.
+#: Of so many texts the sequences of characters are counted, to choose each term's rarest; results don't depend on it.
+GRAM_SAMPLE = 2_000
+#: Lists that pass through the driver have at most so many entries; ``entry_table`` has no limit.
 MAX_ENTRIES = 1_000_000
 HIT = "idx int, level int, lang string, term string, category string, targeted boolean"
+_HITS = f"array<struct<{', '.join(f.replace(' ', ': ') for f in HIT.split(', '))}>>"
 _LATIN = re.compile(r"[a-z0-9 '._-]+")
 
 
@@ -111,52 +114,81 @@ def _hit(i: int, e: Entry) -> Column:
 
 
 def lexicon_hits(entries: Sequence[Entry], norm: Column, comp: Column) -> Column:
-    """J1. Array of the entries found in a text, of any language, in list order."""
+    """J1. Array of the entries found in a text, of any language, in list order; long lists: ``with_indexed_hits``."""
     if not entries:
-        return F.array().cast(f"array<struct<{HIT.replace(' ', ':')}>>".replace(",:", ",").replace(", ", ","))
-    if len(entries) > INLINE_ENTRIES:
-        return _vectorized(entries)(norm, comp)
+        return F.array().cast(_HITS)
     return F.filter(F.array(*[F.when(_matches(e, norm, comp), _hit(i, e)) for i, e in enumerate(entries)]), lambda h: h.isNotNull())
 
 
-def _vectorized(entries: Sequence[Entry]):
-    """Matching of long lists: one automaton finds all terms of a text at once, then borders are checked."""
-    import ahocorasick
-
-    shared = SparkSession.active().sparkContext.broadcast(list(entries))
-
-    @F.pandas_udf(f"array<struct<{', '.join(f.replace(' ', ': ') for f in HIT.split(', '))}>>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        # Built once a task, for all of its batches.
-        entries = shared.value
-        in_norm, in_comp = ahocorasick.Automaton(), ahocorasick.Automaton()
-        for i, e in enumerate(entries):
-            for automaton, key, wanted in ((in_norm, e.term, e.latin), (in_comp, e.term if e.latin else e.compact, not e.latin or len(e.term) >= 3)):
-                if wanted:
-                    automaton.add_word(key, [*automaton.get(key, []), i])
-        for a in (in_norm, in_comp):
-            if len(a):
-                a.make_automaton()
-
-        def edge(text: str, at: int) -> bool:
-            return not (0 <= at < len(text) and text[at].isascii() and text[at].isalnum())
-
-        def one(n: str | None, c: str | None) -> list[dict]:
-            found = set()
-            for automaton, text in ((in_norm, n), (in_comp, c)):
-                if text and len(automaton):
-                    for end, ids in automaton.iter(text):
-                        for i in ids:
-                            e = entries[i]
-                            size = len(e.term if e.latin else e.compact)
-                            if not e.latin or edge(text, end + 1) and edge(text, end - size):
-                                found.add(i)
-            return [{"idx": i, "level": entries[i].level, "lang": entries[i].lang, "term": entries[i].term, "category": entries[i].category, "targeted": entries[i].targeted} for i in sorted(found)]
-
-        for norm, comp in batches:
-            yield pd.Series([one(n, c) for n, c in zip(norm, comp, strict=True)])
-
-    return find
+def entry_table(rows: DataFrame) -> DataFrame:
+    """Entries of a table (idx, term, level, lang, category, targeted) of any length, normalized; order is that of idx.
+
+    Terms that are neither Latin nor have a letter or digit are left out, as they would match every text.
+    """
+    norm = normalize(F.col("term"))
+    t = rows.withColumn("term", norm).withColumns({"compact": compact(F.col("term")), "latin": F.col("term").rlike("^(?:" + _LATIN.pattern + ")$")})
+    quoted = F.regexp_replace("term", "([^a-z0-9 ])", r"\\$1")
+    pattern = F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
+    kinds = {f.split(" ")[0]: f.split(" ")[1] for f in HIT.split(", ")}
+    return t.where(F.col("latin") | (F.col("compact") != "")).select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], "compact", "latin", pattern.alias("pattern"))
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """All different runs of so many characters; the characters are split off once."""
+
+    def of(c: Column, q: int) -> Column:
+        at = F.sequence(F.lit(0), F.size(c) - q)
+        runs = F.transform(at, lambda i: F.concat(*[F.get(c, i + k) for k in range(q)]))
+        return F.when(F.size(c) >= q, runs).otherwise(F.array().cast("array<string>"))
+
+    each = F.transform(F.array(F.split(text, "")), lambda c: F.array_distinct(F.concat(*[of(c, q) for q in sizes])))
+    return F.get(each, 0)
+
+
+def indexed_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """J1. (text_hash, hits) of texts (text_hash, norm, compact) with a hit, for a table of entries of any length.
+
+    Each term is filed under its rarest run of up to three characters. The texts' runs are joined with that index,
+    which gives the few terms that may be in a text, and those are looked for by the rules of the inline path.
+    """
+    texts = keep(texts.select("text_hash", "norm", "compact").dropDuplicates(["text_hash"]), "texts")
+    found = F.array(
+        F.when(F.col("latin"), F.struct(F.lit(0).alias("form"), F.col("term").alias("needle"))),
+        F.when(~F.col("latin"), F.struct(F.lit(1).alias("form"), F.col("compact").alias("needle"))),
+        F.when(F.col("latin") & (F.length("term") >= 3), F.struct(F.lit(1).alias("form"), F.col("term").alias("needle"))),
+    )
+    needles = entries.select("idx", F.explode(F.array_compact(found)).alias("n")).select("idx", "n.form", "n.needle")
+    size = F.least(F.lit(3), F.length("needle"))
+    own = needles.withColumn("own", F.when(size == 3, _grams(F.col("needle"), [3])).when(size == 2, _grams(F.col("needle"), [2])).otherwise(_grams(F.col("needle"), [1])))
+    own = own.select("idx", "form", F.explode("own").alias("gram"))
+    some = texts.limit(GRAM_SAMPLE)
+    forms = lambda t, sizes: t.select("text_hash", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), _grams(F.col(c), sizes).alias("grams")) for i, c in enumerate(("norm", "compact"))])).alias("f")).select("text_hash", "f.form", F.explode("f.grams").alias("gram"))
+    often = forms(some, [1, 2, 3]).groupBy("form", "gram").agg(F.count("*").alias("n"))
+    rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram"))
+    index = keep(own.join(often, ["form", "gram"], "left").groupBy("idx", "form").agg(rarest.alias("gram")), "index")
+    sizes = [r["q"] for r in index.select(F.length("gram").alias("q")).distinct().collect()]
+    if not sizes:
+        return texts.limit(0).select("text_hash", F.array().cast(_HITS).alias("hits"))
+    cands = forms(texts, sorted(sizes)).join(index, ["form", "gram"]).select("text_hash", "form", "idx").distinct()
+    text = F.when(F.col("form") == 0, F.col("norm")).otherwise(F.col("compact"))
+    # The texts come last, so that they are sent once each and not with every term that may be in them.
+    both = cands.join(entries.withColumnRenamed("compact", "__own"), "idx").join(texts, "text_hash").withColumn("__t", text)
+    latin = F.expr("contains(__t, term) and regexp_like(__t, pattern)")
+    hit = both.where(F.when(F.col("latin"), latin).otherwise(F.expr("contains(__t, __own)")))
+    hits = F.array_sort(F.collect_set(F.struct(*[f.split(" ")[0] for f in HIT.split(", ")])))
+    return hit.groupBy("text_hash").agg(hits.cast(_HITS).alias("hits"))
+
+
+def with_indexed_hits(prepared: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds hits to rows with text_hash, norm and compact."""
+    found = indexed_hits(prepared, entries)
+    return prepared.join(found, "text_hash", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HITS)))
+
+
+def as_table(spark: SparkSession, entries: Sequence[Entry]) -> DataFrame:
+    """Entries of a list, which are normalized already, as ``entry_table`` gives them."""
+    rows = [(i, e.level, e.lang, e.term, e.category, e.targeted, e.compact, e.latin, _pattern(e.term)) for i, e in enumerate(entries)]
+    return spark.createDataFrame(rows, f"{HIT}, compact string, latin boolean, pattern string")
 
 
 def hits_for_language(hits: Column, lang: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.verdict import ACTIONS
+from plumbline.operators.ordering import pieces
 from plumbline.operators.policy import small
 
 #: Fixed values.
@@ -60,22 +61,25 @@ def admit(window: deque, at: float, quota: int, seconds: float) -> bool:
 def replay_quota(calls: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
     """W4. (call_id, tenant, ts, admitted) of calls with call_id, tenant, ts (seconds) and quota.
 
-    Only admitted calls fill the window, so a tenant's calls are replayed in order. Rows reach the helper
-    sorted by tenant and time in batches: it holds one window of at most ``quota`` times, never a tenant.
+    Only admitted calls fill the window, so calls are replayed in order; but a pause longer than the window
+    empties it, so a tenant's calls are cut there and the pieces are replayed side by side. Rows reach the
+    helper sorted in batches: it holds one window of at most ``quota`` times, never a piece. Only a tenant that
+    never pauses is one task.
     """
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
 
     def run(batches):
-        tenant, window = object(), deque()
+        here, window = object(), deque()
         for pdf in batches:
             out = []
-            for t, at, quota in zip(pdf["tenant"], pdf["ts"], pdf["quota"], strict=True):
-                if t != tenant:
-                    tenant, window = t, deque()
+            for t, piece, at, quota in zip(pdf["tenant"], pdf["piece"], pdf["ts"], pdf["quota"], strict=True):
+                if (t, piece) != here:
+                    here, window = (t, piece), deque()
                 out.append(admit(window, at, quota, seconds))
             yield pdf[["call_id", "tenant", "ts"]].assign(admitted=pd.Series(out, index=pdf.index, dtype=bool))
 
-    rows = calls.select("call_id", "tenant", "ts", "quota").repartition("tenant").sortWithinPartitions("tenant", "ts", "call_id")
+    rows = pieces(calls.select("call_id", "tenant", "ts", "quota"), ["tenant"], "ts", ["ts", "call_id"], seconds, "piece")
+    rows = rows.repartition("tenant", "piece").sortWithinPartitions("tenant", "piece", "ts", "call_id")
     return rows.mapInPandas(run, f"call_id {kinds['call_id']}, tenant {kinds['tenant']}, ts double, admitted boolean")
 
 

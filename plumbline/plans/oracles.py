@@ -148,12 +148,17 @@ ORACLES["display_stats"] = f"WITH {SHOWN} SELECT viewer, count(*) AS graded, cou
 # --- sources, sinks and what callers bring
 ORACLES["text_lines"] = r"""WITH l AS (SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS t FROM documents WHERE text IS NOT NULL)
 SELECT sha256(t) AS sha, count(*) AS n, max(length(t)) AS chars, count(*) AS ids FROM l WHERE regexp_matches(t, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') GROUP BY t"""
+ORACLES["text_line_order"] = """SELECT (row_number() OVER (ORDER BY floor(sqrt(doc_id % 49)), doc_id) - 1)::VARCHAR AS id, 'doc ' || doc_id AS line FROM documents"""
 ORACLES["golden_files"] = r"""SELECT 'en-labels-' || doc_id AS id, coalesce(lang, 'und') AS lang, sha256(regexp_replace(text, '^[\t-\r ]+|[\t-\r ]+$', '', 'g')) AS text_sha256,
 toxic::BIGINT * 2 AS level, CASE WHEN toxic = 1 THEN 'harassment' ELSE '' END AS categories, false AS targeted, 'from labels.parquet, label ' || toxic AS note FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)"""
 ORACLES["labelled_files"] = """SELECT doc_id, form, sha256(text) AS text_sha256, toxic::BIGINT AS toxic FROM documents JOIN labels USING (doc_id), (VALUES ('csv'), ('jsonl')) AS f(form)"""
 B = [r | {"lang": doc["lang"]} for doc in (json.loads(p.read_text(encoding="utf-8")) for p in builtin_lists()) for r in doc["entries"]]
 B = [r | {"norm": r["term"].lower(), "compact": re.sub(r"[^\w]|_", "", r["term"].lower())} for r in B]
 ORACLES["builtin_matches"] = f"WITH {NORM} " + " UNION ALL ".join(f"SELECT id, {q(r['norm'])} AS term, {q(r['lang'])} AS lang, {r['level']}::BIGINT AS level FROM n WHERE {match(r)}" for r in B)
+ORACLES["long_list_matches"] = f"""WITH {NORM}, t AS (SELECT DISTINCT unnest(regexp_extract_all(norm, '[a-z]{{7,}}')) AS term FROM n),
+w AS (SELECT id, unnest(regexp_split_to_array(norm, '[^a-z0-9]+')) AS term FROM n UNION SELECT id, unnest(regexp_split_to_array(compact, '[^a-z0-9]+')) FROM n),
+h AS (SELECT id, count(*) AS n_terms, sum(length(term) % 5)::BIGINT AS levels, sha256(string_agg(term, ',' ORDER BY term)) AS terms_sha256 FROM w JOIN t USING (term) GROUP BY id)
+SELECT id, coalesce(n_terms, 0) AS n_terms, coalesce(levels, 0) AS levels, coalesce(terms_sha256, sha256('')) AS terms_sha256 FROM n LEFT JOIN h USING (id)"""
 ORACLES["feedback_appended"] = f"""WITH {NORM} SELECT doc_id, 'tenant-' || source AS tenant, text_hash, CASE WHEN toxic = 1 THEN 'block' ELSE 'pass' END AS human_action,
 CASE WHEN toxic = 1 THEN 3 END::BIGINT AS expected_level, '2026-01-01 00:00:00' AS ts FROM n JOIN labels USING (doc_id) WHERE quality IN (0, 1)"""
 by_length = ", ".join(f"CASE WHEN chars % 5 = {i} THEN 0.88 ELSE 0.03 END::DOUBLE AS p{i}" for i in range(5))

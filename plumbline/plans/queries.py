@@ -217,6 +217,16 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("sha").agg(F.count("*").alias("n"), n(F.max(F.length("text"))).alias("chars"), F.count_distinct("id").alias("ids"))
 
 
+@query
+def text_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' first characters as lines of seven files of unequal sizes: ids follow the files' paths."""
+    path = new_path(spark, "lines")
+    line = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    d = documents(spark, sf_dir).select("doc_id", F.floor(F.sqrt(F.col("doc_id") % 49)).cast("int").alias("f"), line.alias("line"))
+    d.repartition("f").sortWithinPartitions("f", "doc_id").select("f", "line").write.partitionBy("f").text(path)
+    return datasets.read_texts(spark, paths=[path]).select("id", F.col("text").alias("line"))
+
+
 @query
 def golden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden rows of the labelled documents, written a folder a language and read back."""
@@ -249,6 +259,18 @@ def builtin_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", F.col("h.term").alias("term"), F.col("h.lang").alias("lang"), n("h.level").alias("level"))
 
 
+@query
+def long_list_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against a list of every longer word that any of them has."""
+    p = grading.prepare(items(spark, sf_dir), []).drop("hits")
+    terms = p.select(F.explode(F.regexp_extract_all("norm", F.lit("[a-z]{7,}"), F.lit(0))).alias("term")).distinct()
+    rows = terms.select(F.monotonically_increasing_id().alias("idx"), "term", (F.length("term") % 5).alias("level"), F.lit("any").alias("lang"), F.lit(None).alias("category"), F.lit(False).alias("targeted"))
+    entries = keep(lexicon.entry_table(rows), "entries")
+    h = lexicon.with_indexed_hits(p, entries).withColumn("terms", F.array_sort(F.transform("hits", lambda x: x["term"])))
+    levels = F.aggregate("hits", F.lit(0).cast("long"), lambda t, x: t + x["level"])
+    return h.select("id", n(F.size("terms")).alias("n_terms"), levels.alias("levels"), F.sha2(F.array_join("terms", ","), 256).alias("terms_sha256"))
+
+
 @query
 def feedback_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human verdicts appended in two runs and read back."""

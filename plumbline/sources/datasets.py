@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import preview
 from plumbline.functions.unicode import SPACE_CHARS
 from plumbline.functions.verdict import CATEGORIES
+from plumbline.operators.ordering import running_total
 
+#: Separators besides line feed and carriage return.
+RARE_ENDS = r"\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 GOLDEN = "id string, text string, level int, categories array<string>, targeted boolean, note string"
 
 
@@ -31,14 +34,25 @@ def indexed(df: DataFrame, name: str = "index") -> DataFrame:
 
 
 def read_texts(spark: SparkSession, texts: Sequence[str] = (), paths: Sequence[str] = ()) -> DataFrame:
-    """S1. (id, text): given texts, then the lines of each file in order; blank lines go; ids are positions."""
-    parts = [spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)] if texts else []
-    parts += [spark.read.text(p).select(F.col("value").alias("text")) for p in paths]
+    """S1. (id, text): given texts, then the lines of each path in order; blank lines go; ids are positions.
+
+    The files of a folder come in order of their paths. A line's place is its file's, its split's first byte and its
+    number in the split, so nothing is sorted: the splits' counts, one row a split, are added up. Besides
+    the usual line ends the separators in ``RARE_ENDS`` end a line.
+    """
+    parts = [spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(F.lit(0).alias("__k"), F.lit("").alias("__file"), F.lit(0).cast("long").alias("__at"), "text")] if texts else []
+    for k, p in enumerate(paths):
+        lines = spark.read.text(p).select(F.lit(k + 1).alias("__k"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.explode(F.split("value", f"[{RARE_ENDS}]")).alias("text"))
+        parts.append(lines)
     if not parts:
         return spark.createDataFrame([], "id string, text string")
     lines = reduce(DataFrame.unionByName, parts)
-    full = lines.where(F.length(F.regexp_replace("text", f"[{SPACE_CHARS}]", "")) > 0)
-    return indexed(full).select(F.col("index").cast("string").alias("id"), "text")
+    full = lines.where(F.length(F.regexp_replace("text", f"[{SPACE_CHARS}]", "")) > 0).withColumn("__row", F.monotonically_increasing_id())
+    place = ["__k", "__file", "__at"]
+    splits = running_total(full.groupBy(*place).agg(F.min("__row").alias("__first"), F.count("*").alias("__n")), [], place, F.col("__n"), "__start").drop("__n")
+    # Rows of a split are next to each other in one task, so their numbers are too.
+    index = F.col("__start") + F.col("__row") - F.col("__first")
+    return full.join(splits, place).select(index.cast("string").alias("id"), "text")
 
 
 def read_golden(spark: SparkSession, directory: str, langs: Sequence[str] | None = None) -> DataFrame:

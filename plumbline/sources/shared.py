@@ -7,11 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_scratch: list[list[str]] = []
+#: What ``scratch`` of this thread or task has to remove.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,24 +45,29 @@ def keep(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     Inside ``scratch`` the table is removed at its end, unless it ``stays``.
     """
     path = new_path(df.sparkSession, name)
-    if _scratch and not stays:
-        _scratch[-1].append(path)
+    if _scratch.get() and not stays:
+        _scratch.get()[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove at the end what ``keep`` wrote inside; results read after that must have been kept with ``stays``."""
     made: list[str] = []
-    _scratch.append(made)
+    token = _scratch.set((*_scratch.get(), made))
     try:
         yield
     finally:
-        _scratch.remove(made)
+        _scratch.reset(token)
         for path in made:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Word lists, policies, the grading pipeline, the cache and the scorer contract."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,21 @@ def test_long_lists_match_the_same(spark, entries, monkeypatch):
     short = terms(grading.prepare(items(spark, TEXTS), entries))
     monkeypatch.setattr(lexicon, "INLINE_ENTRIES", 0)
     assert terms(grading.prepare(items(spark, TEXTS), entries)) == short
+    rows = spark.createDataFrame([(i, r["term"], r.get("level", 2), r.get("lang", "any"), r.get("category"), r.get("targeted", False)) for i, r in enumerate(LIST)], "idx int, term string, level int, lang string, category string, targeted boolean")
+    assert terms(grading.prepare(items(spark, TEXTS), lexicon.entry_table(rows))) == short
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_indexed_terms_of_any_length_match_the_same(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    letters = "ab1é坏 .'@"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(150)]
+    terms_ = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(120)}
+    own = [{"term": t, "level": i % 5} for i, t in enumerate(sorted(terms_)) if any(c in "ab1é坏" for c in t) and t.strip()]
+    found = lexicon.lexicon_entries(spark, own)
+    short = terms(grading.prepare(items(spark, texts), found))
+    monkeypatch.setattr(lexicon, "INLINE_ENTRIES", 0)
+    assert terms(grading.prepare(items(spark, texts), found)) == short and sum(map(len, short.values())) > 300
 
 
 def test_a_term_without_letters_is_refused(spark):
