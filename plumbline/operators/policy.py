@@ -105,9 +105,11 @@ def apply_policy(verdicts: DataFrame, policy: str | Policy | dict) -> DataFrame:
     return verdicts.withColumn("action", decide(F.col("level"), F.col("confidence"), cats(), load_policy(policy)))
 
 
-def small(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> DataFrame:
-    """Broadcast a table after counting it; a larger one is left to Spark's own choice of join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = MAX_SMALL_ROWS, most_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast a table after counting its rows and characters; a larger one is left to Spark's own choice of join."""
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), size.alias("size")).first()
+    return F.broadcast(df) if seen["n"] <= limit and (seen["size"] or 0) <= most_bytes else df
 
 
 def policy_matrix(verdicts: DataFrame, policies: DataFrame) -> DataFrame:

@@ -3,9 +3,19 @@
 import os
 import threading
 
+from pyspark.sql import functions as F
+
+from plumbline.operators.policy import small
 from plumbline.sources.shared import keep, scratch
 
 
+def test_a_table_of_few_long_rows_is_not_broadcast(spark):
+    hinted = lambda df: "Broadcast" in df._jdf.queryExecution().logical().toString() or "broadcast" in df._jdf.queryExecution().logical().toString()
+    df = spark.range(10).withColumns({"m": F.create_map(F.lit("k"), F.lit("v" * 200)), "none": F.lit(None).cast("string")})
+    assert hinted(small(df)) and not hinted(small(df, limit=9)) and not hinted(small(df, most_bytes=1000))
+    assert hinted(small(df.limit(0)))
+
+
 def test_a_scratch_removes_what_its_own_thread_kept(spark):
     inside, done, paths = threading.Event(), threading.Event(), {}
 
