@@ -13,6 +13,7 @@ from plumbline.functions.text import preview
 from plumbline.functions.unicode import SPACE_CHARS
 from plumbline.functions.verdict import CATEGORIES
 from plumbline.operators.ordering import running_total
+from plumbline.operators.policy import small
 
 #: Separators besides line feed and carriage return.
 RARE_ENDS = r"\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
@@ -52,7 +53,7 @@ def read_texts(spark: SparkSession, texts: Sequence[str] = (), paths: Sequence[s
     splits = running_total(full.groupBy(*place).agg(F.min("__row").alias("__first"), F.count("*").alias("__n")), [], place, F.col("__n"), "__start").drop("__n")
     # Rows of a split are next to each other in one task, so their numbers are too.
     index = F.col("__start") + F.col("__row") - F.col("__first")
-    return full.join(splits, place).select(index.cast("string").alias("id"), "text")
+    return full.join(small(splits), place).select(index.cast("string").alias("id"), "text")
 
 
 def read_golden(spark: SparkSession, directory: str, langs: Sequence[str] | None = None) -> DataFrame:
