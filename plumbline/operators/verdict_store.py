@@ -42,7 +42,7 @@ class VerdictStore:
     has more than ``segments`` segments, or when later segments together exceed ``share`` of the first.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, segments: int = 8, share: float = 0.5, bits: int = 16):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, segments: int = 8, share: float = 0.5, bits: int = 16):
         self.spark, self.root = spark, root.rstrip("/")
         self.segments, self.share, self.bits = segments, share, bits
         found = self._manifest()
@@ -97,7 +97,7 @@ class VerdictStore:
             paths = [f"{self.root}/filter/{e['filter']}/bucket={b}" for b, e in old.items()]
             before = self.spark.read.schema("block long, bits binary, b int").parquet(*paths).select(F.col("b").alias("bucket"), "block", "bits")
             maps = maps.unionByName(before).groupBy("bucket", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        maps.withColumn("b", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/filter/{token}")
+        maps.withColumn("b", F.col("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/filter/{token}")
 
     # --- reading
 

@@ -21,7 +21,7 @@ def grade_stream(items: DataFrame, entries: Sequence[Entry], policy: str = "bala
     return finish(scored, policy).drop("norm", "compact", "hits", "own_hits")
 
 
-def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cache_path: str, out_path: str, checkpoint: str, policy: str = "balanced", buckets: int = 64):
+def scored_once(items: DataFrame, entries: Sequence[Entry], scorer: Scorer, cache_path: str, out_path: str, checkpoint: str, policy: str = "balanced", buckets: int = 16):
     """Q2. Starts a query that scores only hashes the verdict store lacks, and appends verdicts to ``out_path``.
 
     A batch asks the store's filters for its own hashes and reads entries only where they may be (see
