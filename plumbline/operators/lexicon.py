@@ -18,6 +18,8 @@ from plumbline.sources.shared import keep
 SCORER = "lexicon"
 #: Lists of up to this many entries become constant patterns inside the plan, longer ones an index that is joined.
 INLINE_ENTRIES = 200
+#: A term is filed under one run of so many characters, or under the whole of it if it is shorter.
+GRAM = 6
 #: Of so many texts the sequences of characters are counted, to choose each term's rarest; results don't depend on it.
 GRAM_SAMPLE = 2_000
 #: Lists that pass through the driver have at most so many entries; ``entry_table`` has no limit.
@@ -148,7 +150,7 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
 def indexed_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """J1. (text_hash, hits) of texts (text_hash, norm, compact) with a hit, for a table of entries of any length.
 
-    Each term is filed under its rarest run of up to three characters. The texts' runs are joined with that index,
+    Each term is filed under its rarest run of up to ``GRAM`` characters. The texts' runs are joined with that index,
     which gives the few terms that may be in a text, and those are looked for by the rules of the inline path.
     """
     texts = keep(texts.select("text_hash", "norm", "compact").dropDuplicates(["text_hash"]), "texts")
@@ -158,12 +160,13 @@ def indexed_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
         F.when(F.col("latin") & (F.length("term") >= 3), F.struct(F.lit(1).alias("form"), F.col("term").alias("needle"))),
     )
     needles = entries.select("idx", F.explode(F.array_compact(found)).alias("n")).select("idx", "n.form", "n.needle")
-    size = F.least(F.lit(3), F.length("needle"))
-    own = needles.withColumn("own", F.when(size == 3, _grams(F.col("needle"), [3])).when(size == 2, _grams(F.col("needle"), [2])).otherwise(_grams(F.col("needle"), [1])))
+    # A needle of at most GRAM characters is its own run; a longer one has several to choose from.
+    own = needles.withColumn("own", F.when(F.length("needle") > GRAM, _grams(F.col("needle"), [GRAM])).otherwise(F.array("needle")))
     own = own.select("idx", "form", F.explode("own").alias("gram"))
     some = texts.limit(GRAM_SAMPLE)
     forms = lambda t, sizes: t.select("text_hash", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), _grams(F.col(c), sizes).alias("grams")) for i, c in enumerate(("norm", "compact"))])).alias("f")).select("text_hash", "f.form", F.explode("f.grams").alias("gram"))
-    often = forms(some, [1, 2, 3]).groupBy("form", "gram").agg(F.count("*").alias("n"))
+    # Only longer needles have a choice, so only runs of GRAM characters are counted.
+    often = forms(some, [GRAM]).groupBy("form", "gram").agg(F.count("*").alias("n"))
     rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram"))
     index = keep(own.join(often, ["form", "gram"], "left").groupBy("idx", "form").agg(rarest.alias("gram")), "index")
     sizes = [r["q"] for r in index.select(F.length("gram").alias("q")).distinct().collect()]

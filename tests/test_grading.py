@@ -77,12 +77,14 @@ def test_indexed_terms_of_any_length_match_the_same(spark, monkeypatch, seed):
     rnd = random.Random(seed)
     letters = "ab1é坏 .'@"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(150)]
-    terms_ = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(120)}
+    texts += [" ".join("".join(rnd.choice("ab") for _ in range(8)) for _ in range(12)) for _ in range(50)]
+    terms_ = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(150)} | {"".join(rnd.choice("ab") for _ in range(8)) for _ in range(40)}
     own = [{"term": t, "level": i % 5} for i, t in enumerate(sorted(terms_)) if any(c in "ab1é坏" for c in t) and t.strip()]
     found = lexicon.lexicon_entries(spark, own)
     short = terms(grading.prepare(items(spark, texts), found))
     monkeypatch.setattr(lexicon, "INLINE_ENTRIES", 0)
     assert terms(grading.prepare(items(spark, texts), found)) == short and sum(map(len, short.values())) > 300
+    assert any(len(t) > lexicon.GRAM for found_ in short.values() for t in found_)
 
 
 def test_a_term_without_letters_is_refused(spark):
