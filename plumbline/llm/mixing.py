@@ -3,7 +3,8 @@
 Each source takes whole repeats of all its documents and, for what is left of its target, the
 documents whose hash lies below a threshold. The threshold comes from histograms: sizes are summed by
 source and hash bucket, and only the bucket in which the budget ends is refined by the next bits of
-the hash. Documents are never sorted or gathered; a histogram has at most 4,096 rows a source.
+the hash. Documents are never sorted or gathered; a histogram has at most 4,096 rows a source. Sources are
+ranked and filled up in ranges, so that neither they nor rows of one hash need to fit into one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own that comes last; an empty
 table gives an empty result; rows with one id share a hash and are then told apart by size; sizes of 0
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import keep, same, text_hash, words
+from plumbline.operators.ordering import running_total
 
 LEVELS, BITS = 4, 12
 
@@ -23,21 +25,23 @@ LEVELS, BITS = 4, 12
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Targets of a summary (source, source_size) with one row a source: shares by weight, each stopped
     at ``most`` times the source's size, the excess shared again by weight until none is above."""
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rn") - 1) % len(weights) + 1)
-    s = sources.withColumn("rn", rank).withColumn("w", weight.cast("double"))
-    s = s.withColumn("cap", most * F.col("source_size").cast("double")).withColumn("fills", F.col("cap") / F.col("w"))
-    by_fill = Window.orderBy("fills", "rn")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    s = s.withColumn("k", F.row_number().over(by_fill))
-    left = F.sum("source_size").over(all_rows).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight_left = F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    s = s.withColumn("rate", left / weight_left)
-    free = F.min(F.when(F.col("fills") > F.col("rate"), F.struct("k", "rate"))).over(all_rows)
-    s = s.withColumn("free", free)
-    target = F.when(F.col("free").isNull() | (F.col("k") < F.col("free.k")), F.col("cap")).otherwise(F.col("w") * F.col("free.rate"))
-    s = s.withColumn("target", F.least(target, F.col("cap")))
+    s = running_total(sources.withColumn("last", F.col("source").isNull()), [], ["last", "source"], F.lit(1), "rn")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rn") % len(weights) + 1).cast("int"))
+    s = s.withColumns({"w": weight.cast("long"), "cap": most * F.col("source_size")})
+    s = s.withColumn("fills", F.col("cap").cast("double") / F.col("w"))
+    for c in ("cap", "w"):
+        s = running_total(s, [], ["fills", "rn"], F.col(c), f"{c}_before")
+    s = keep(s, "fills")
+    # In order of the rate at which a source is full, those before the first that isn't are stopped.
+    words_all, weight_all = s.agg(F.sum("source_size"), F.sum("w")).first()
+    rate = (F.lit(words_all).cast("double") - F.col("cap_before")) / (F.lit(weight_all) - F.col("w_before"))
+    s = s.withColumn("rate", rate)
+    free = s.where(F.col("fills") > F.col("rate")).agg(F.min(F.struct("fills", "rn", "rate"))).first()[0]
+    target = F.col("cap").cast("double")
+    if free:
+        full = F.struct("fills", "rn") < F.struct(F.lit(free["fills"]).alias("fills"), F.lit(free["rn"]).cast("long").alias("rn"))
+        target = F.when(full, target).otherwise(F.least(F.col("w") * F.lit(free["rate"]), target))
+    s = s.withColumn("target", target)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     s = s.withColumn("whole", whole)
     return s.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
@@ -86,10 +90,10 @@ def mix_sources(
     both = t.join(e, same(F.col("t.source"), F.col("e.source")), "left").select("t.*", "e.low", "e.used")
     out = d.alias("d").join(F.broadcast(both.alias("b")) if small else both.alias("b"), same(F.col("d.source"), F.col("b.source")))
     # Rows that share the boundary hash are taken one by one, smallest first, while that comes nearer to the budget.
-    at_edge = out.where(F.col("h") == F.col("low"))
-    run = F.sum("d.size").over(Window.partitionBy("d.source").orderBy("d.size", "d.doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    at_edge = out.where(F.col("h") == F.col("low")).select("d.*", "source_size", "target", "whole", "rest", "used")
+    at_edge = running_total(at_edge, ["source"], ["size", "doc_id", "th"], F.col("size"), "before").alias("d")
     more = [F.col("d.th").alias("th")] if with_hash else []
     result = lambda extra: [*more, F.col("d.doc_id").alias("doc_id"), F.col("d.size").alias("size"), "source_size", "target", (F.col("d.size") * (F.col("whole") + extra.cast("long"))).alias("taken")]
-    edge_rows = at_edge.withColumn("run", run).select(*result(F.col("used") + F.col("run") - F.col("d.size") / 2 <= F.col("rest")))
+    edge_rows = at_edge.select(*result(F.col("used") + F.col("before") + F.col("d.size") / 2 <= F.col("rest")))
     other = out.where((F.col("h") != F.col("low")) | F.col("low").isNull())
     return other.select(*result(F.coalesce(F.col("h") < F.col("low"), F.lit(True)) & (F.col("rest") > 0))).unionByName(edge_rows)

@@ -18,7 +18,7 @@ from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.fm_index import FMIndex
 from plumbline.llm.line_dedup import dedup_lines
 from plumbline.llm.lm_scoring import lm_scores
-from plumbline.llm.mixing import mix_sources
+from plumbline.llm.mixing import mix_sources, source_targets
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.pii import personal_data
 from plumbline.llm.quality_classifier import gumbel, quality_classifier
@@ -482,6 +482,26 @@ def test_op10_targets_and_taken(docs):
     assert sorted(got) == sorted(mix_sources(docs.repartition(5)).collect())
 
 
+def test_op10_targets_of_many_sources_with_equal_sizes(spark):
+    rnd = random.Random(5)
+    totals = {f"s{i:04}": rnd.choice([0, 1, 5, 5, 5, 40, 900]) for i in range(700)} | {None: 30}
+    rows = spark.createDataFrame(list(totals.items()), "source string, source_size long").repartition(5)
+    got = source_targets(rows).collect()
+    want = brute.targets(totals)
+    assert len(got) == 701 and all(r.target == pytest.approx(want[r.source]) for r in got)
+    assert any(r.target == 3 * r.source_size for r in got) and any(r.target < 3 * r.source_size for r in got)
+    assert all(r.whole * r.source_size + r.rest == pytest.approx(r.target) and 0 <= r.whole <= 3 for r in got)
+
+
+def test_op10_ids_that_repeat_share_the_boundary_hash(spark):
+    rows = [(None, " ".join(["w"] * (i % 7)), "a") for i in range(400)] + [(i, "x y z", "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).collect()
+    a = [r for r in got if r.doc_id is None]
+    assert len(got) == 450 and len(a) == 400 and abs(sum(r.taken for r in a) - a[0].target) <= 4
+    assert sorted(map(repr, got)) == sorted(map(repr, mix_sources(docs.repartition(6)).collect()))
+
+
 def test_word_hashes_tell_words_apart():
     import numpy as np
     import pyarrow as pa
