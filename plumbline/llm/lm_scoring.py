@@ -7,12 +7,11 @@ each range of hash values, so every segment is built by one task from its own gr
 Probability of word w after v: ``mixed * c(v, w) / c(v) + (1 - mixed) * (c(w) + 1) / (N + V + 1)``.
 Two-word grams count from ``min_pair`` occurrences on.
 
-The filter is broadcast if it has at most ``max_filter_bytes``. Beyond that the distinct grams of each
-``CHUNK`` documents are dealt out by hash range, every range probes its own segment, and the levels found
-go back to the chunk. Answers, false positives included, are the same either way.
-
-The base score needs exact counts: words of the most frequent levels, at most ``max_dictionary`` of
-them, are broadcast; the rest, all rare by construction, are joined by shuffle.
+The filter is never put together. Documents are packed into written chunks of about ``CHUNK_BYTES``; the
+distinct grams of each chunk, with their counts in training text, are dealt out by hash range. The task of a
+range adds the counts up, builds the segment, probes it for all grams it was sent, and answers each chunk
+in the order of the chunk's sorted grams, so answers need no keys. Exact word counts, which the base score
+needs, come back with them. Words are told apart by 64-bit hashes, pairs by the range and 40 further bits.
 
 Defined cases: a null text is empty and has one token, the end; the first word follows an end; a null
 id counts as the empty string for the fold; repeated rows each get a result and each count in training;
@@ -28,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.kernel import mix, pieces, signed, span_hashes, word_bounds
+from plumbline.llm.kernel import mix, pieces, span_hashes, text_buffers, word_bounds
 from plumbline.llm.store import keep
 
 END = np.uint64(0x5E17D0CE57A11EAD)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1B54A32D192ED03)
 BITS_PER_ENTRY, PROBES = 10, 7
-#: Documents whose grams are dealt out together if the filter is too large to broadcast.
-CHUNK = 128
+#: Bytes of text whose grams are dealt out together, and whose grams go to one range.
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+#: Bytes of a pair's hash that are sent, besides its range.
+PAIR_BYTES = 5
 
 
 def doc_tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,179 +114,118 @@ class Filter:
         return out
 
 
-def collected(tables: DataFrame, range_bits: int) -> Filter:
-    """The whole filter, which the caller has found small enough; read as Arrow, so that it is held twice at most."""
-    rows = tables.select("range", "segment").toArrow()
-    return Filter({r.as_py(): x.as_buffer() for r, x in zip(rows.column(0), rows.column(1), strict=True)}, range_bits)
-
-
-def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(h):
-        return h, c
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[new], np.add.reduceat(c, new)
-
-
-def gram_tables(texts: DataFrame, range_bits: int, min_pair: int) -> DataFrame:
-    """One row for each range of hashes: exact word counts, pair counts from ``min_pair`` on, and the filter's segment."""
-    most = 1 << 21
-
-    def count(batches):
-        held: dict[str, list] = {"w": [], "p": []}
-        size = 0
-
-        def flush():
-            for kind, parts in held.items():
-                if not parts:
-                    continue
-                h, c = summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-                cut = np.searchsorted(h >> np.uint64(64 - range_bits), np.arange((1 << range_bits) + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cut))
-                for k in range(0, len(full), 1024):
-                    some = full[k : k + 1024]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int64()), pa.array([kind] * len(some)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.array([c[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary())],
-                        ["range", "kind", "h", "c"],
-                    )
-                parts.clear()
+def slim(x: np.ndarray) -> bytes:
+    """Numbers from 0, each in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
 
-        for batch in batches:
-            for _, _, buf, offs in pieces(batch.column(0)):
-                tokens, before, _ = doc_tokens(buf, offs)
-                for kind, h in (("w", tokens), ("p", pair_hashes(before, tokens))):
-                    u, c = np.unique(h, return_counts=True)
-                    held[kind].append((u, c))
-                    size += len(u)
-                if size > most:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        found = {}
-        kinds = np.array(table.column("kind").to_pylist())
-        hs, cs = table.column("h").to_pylist(), table.column("c").to_pylist()
-        for kind in "wp":
-            own = np.flatnonzero(kinds == kind)
-            h = np.frombuffer(b"".join(hs[i] for i in own), np.uint64)
-            found[kind] = summed(h, np.frombuffer(b"".join(cs[i] for i in own), np.uint32).astype(np.int64))
-        (wh, wc), (ph, pc) = found["w"], found["p"]
-        ph, pc = ph[pc >= min_pair], pc[pc >= min_pair]
-        by_level = np.bincount(levels(wc), minlength=64)[:64]
-        row = {
-            "range": [table.column("range")[0].as_py()], "wh": [wh.tobytes()], "wc": [wc.tobytes()], "ph": [ph.tobytes()], "pc": [pc.tobytes()],
-            "segment": [build_segment(np.concatenate([wh, ph]), levels(np.concatenate([wc, pc])))],
-            "n": [int(wc.sum())], "v": [len(wh)], "by_level": [by_level.tolist()],
-        }
-        return pa.table(row, schema=pa.schema([("range", pa.int64()), *[(x, pa.binary()) for x in ("wh", "wc", "ph", "pc", "segment")], ("n", pa.int64()), ("v", pa.int64()), ("by_level", pa.list_(pa.int64()))]))
-
-    parts = texts.mapInArrow(count, "range long, kind string, h binary, c binary")
-    schema = "range long, wh binary, wc binary, ph binary, pc binary, segment binary, n long, v long, by_level array<long>"
-    return keep(parts.groupBy("range").applyInArrow(merge, schema), "grams")
-
-
-def unpacked(tables: DataFrame, h: str, c: str, below: int | None = None) -> DataFrame:
-    """(h, c) rows of packed counts, only those under ``below`` if given."""
-
-    def rows(batches):
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                hs, cs = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
-                keep_ = slice(None) if below is None else cs < below
-                yield pa.RecordBatch.from_arrays([pa.array(hs[keep_]), pa.array(cs[keep_])], ["h", "c"])
 
-    return tables.select(h, c).mapInArrow(rows, "h long, c long")
+def wide(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``slim``."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def frequent(tables: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the words with at least ``least`` occurrences; the caller has bounded their number."""
+def cut_pairs(h: np.ndarray, range_bits: int) -> np.ndarray:
+    """Pair hashes without the bits that are not sent; their order and range stay."""
+    unsent = np.uint64(64 - range_bits - 8 * PAIR_BYTES)
+    return h >> unsent << unsent
 
-    def pick(batches):
-        for batch in batches:
-            out = []
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                h, c = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int64)
-                out.append((h[c >= least].tobytes(), c[c >= least].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["h", "c"])
 
-    rows = tables.select("wh", "wc").mapInArrow(pick, "h binary, c binary").collect()
-    h, c = np.frombuffer(b"".join(r["h"] for r in rows), np.uint64), np.frombuffer(b"".join(r["c"] for r in rows), np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+def sent_pairs(h: np.ndarray, range_bits: int) -> bytes:
+    low = h << np.uint64(range_bits) >> np.uint64(64 - 8 * PAIR_BYTES)
+    return low.view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES].tobytes()
 
 
-def token_log(c1: np.ndarray, c2: np.ndarray, cw: np.ndarray, n: int, v: int, mixed: float) -> np.ndarray:
-    """log10 of the smoothed probability, from the counts of history, pair and word."""
-    alone = (cw + 1) / (n + v + 1)
-    pair = np.minimum(c2, c1) / np.maximum(c1, 1)
-    return np.log10(np.where(c1 > 0, mixed * pair + (1 - mixed) * alone, alone))
+def read_pairs(data: bytes, part: int, range_bits: int) -> np.ndarray:
+    out = np.zeros((len(data) // PAIR_BYTES, 8), np.uint8)
+    out[:, :PAIR_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, PAIR_BYTES)
+    low = out.view(np.uint64).ravel() << np.uint64(64 - range_bits - 8 * PAIR_BYTES)
+    return low | np.uint64(part << (64 - range_bits))
+
+
+def chunked(docs: DataFrame, range_bits: int | None) -> tuple[DataFrame, int]:
+    """The kept table (chunk, packed) of all documents, and the bits of the ranges."""
+
+    def pack(batches):
+        for batch in batches:
+            size = batch.column(batch.num_columns - 1).nbytes
+            for i, j, _, offs in pieces(batch.column(batch.num_columns - 1), -(-size // max(1, -(-size // CHUNK_BYTES)))):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(batch.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([int(offs[-1])]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["size", "packed"])
+
+    chunks = keep(docs.mapInArrow(pack, "size long, packed binary").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    if range_bits is None:
+        size = chunks.agg(F.sum("size")).first()[0] or 0
+        range_bits = min(20, max(6, math.ceil(math.log2(size / RANGE_BYTES + 1))))
+    return chunks.select("chunk", "packed"), range_bits
+
+
+def unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
-def piece_scores(tokens: np.ndarray, before: np.ndarray, starts: np.ndarray, level_of, n: int, v: int, mixed: float) -> np.ndarray:
-    """Score of each row; ``level_of`` gives the levels of hashes."""
-    u, back = np.unique(tokens, return_inverse=True)
-    cw = level_values(level_of(u))
-    ends_c = float(level_values(level_of(np.array([END])))[0])
-    history = np.where(before == END, ends_c, 0.0)
-    inner = before != END
-    history[inner] = cw[back[np.flatnonzero(inner) - 1]]
-    pu, pback = np.unique(pair_hashes(before, tokens), return_inverse=True)
-    c2 = level_values(level_of(pu))[pback]
-    return np.add.reduceat(token_log(history, c2, cw[back], n, v, mixed), starts[:-1])
+def range_cuts(h: np.ndarray, range_bits: int) -> np.ndarray:
+    """Where the ranges of sorted hashes begin; one more at the end."""
+    return np.append(np.searchsorted(h, np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits)), len(h))
 
 
-def dealt_scores(docs: DataFrame, tables: DataFrame, range_bits: int, n: int, v: int, mixed: float) -> DataFrame:
-    """(rid, score) of a kept table (rid, text), with every segment of the filter probed by the task of its range."""
-    chunks = docs.select(F.floor(F.col("rid") / CHUNK).cast("long").alias("chunk"), "rid", "text")
+def range_answers(chunks: DataFrame, range_bits: int, min_pair: int) -> DataFrame:
+    """The kept table (chunk, range, wc, wq, pq, n, v): for the sorted words and pairs that a chunk has in a range, the words' exact counts
+    and the filter's levels. One row of each range has its numbers of training tokens and of distinct words."""
 
     def ask(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for _, _, buf, offs in pieces(batch.column(1).slice(lo, hi - lo)):
-                    tokens, before, _ = doc_tokens(buf, offs)
-                    h = np.unique(np.concatenate([tokens, pair_hashes(before, tokens)]))
-                    part = (h >> np.uint64(64 - range_bits)).astype(np.int64)
-                    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                    stop = np.append(cut[1:], len(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part[cut]), pa.array(np.full(len(cut), ids[lo])), pa.array([h[x:y].tobytes() for x, y in zip(cut, stop, strict=True)], pa.binary())],
-                        ["range", "chunk", "h"],
-                    )
-
-    def probe(asked: pa.Table, segments: pa.Table) -> pa.Table:
-        found = Filter({i: x for i, x in enumerate(segments.column("segment").to_pylist())}, 0)
-        hashes = [np.frombuffer(x, np.uint64) for x in asked.column("h").to_pylist()]
-        if not hashes:
-            return pa.table({"chunk": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "q": pa.array([], pa.binary())})
-        h = np.concatenate(hashes)
-        q = found.level(h, np.zeros(len(h), np.int64))
-        ends = np.cumsum([len(x) for x in hashes])
-        hs, qs = [], []
-        for x, y in zip(hashes, np.split(q, ends[:-1]), strict=True):
-            hs.append(x[y > 0].tobytes())
-            qs.append(y[y > 0].astype(np.uint8).tobytes())
-        return pa.table({"chunk": asked.column("chunk"), "h": pa.array(hs, pa.binary()), "q": pa.array(qs, pa.binary())})
-
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(answers.column("h").to_pylist()), np.uint64)
-        q = np.frombuffer(b"".join(answers.column("q").to_pylist()), np.uint8).astype(np.int64)
-        h, first = np.unique(h, return_index=True)
-        q = q[first]
-
-        def level_of(x):
-            at = np.minimum(np.searchsorted(h, x), max(0, len(h) - 1))
-            return np.where(h[at] == x, q[at], 0) if len(h) else np.zeros(len(x), np.int64)
-
-        out = [piece_scores(*doc_tokens(buf, offs), level_of, n, v, mixed) for _, _, buf, offs in pieces(rows.column("text"))]
-        return pa.table({"rid": rows.column("rid"), "score": pa.array(np.concatenate(out) if out else np.zeros(0))})
-
-    asked = chunks.select("chunk", "text").mapInArrow(ask, "range long, chunk long, h binary")
-    answers = asked.groupBy("range").cogroup(tables.select("range", "segment").groupBy("range")).applyInArrow(probe, "chunk long, h binary, q binary")
-    return chunks.groupBy("chunk").cogroup(answers.where(F.length("h") > 0).groupBy("chunk")).applyInArrow(score, "rid long, score double")
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs = unpack(data.as_py())
+                tokens, before, starts = doc_tokens(*text_buffers(docs.column("text")))
+                learnt = np.repeat(~docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), np.diff(starts))
+                sent = []
+                for h in (tokens, cut_pairs(pair_hashes(before, tokens), range_bits)):
+                    order = np.argsort(h, kind="stable")
+                    h = h[order]
+                    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    h, c = h[new], np.add.reduceat(learnt[order].astype(np.int64), new)
+                    sent.append((h, c, range_cuts(h, range_bits)))
+                (wh, wc, wcut), (ph, pc, pcut) = sent
+                full = np.flatnonzero((np.diff(wcut) > 0) | (np.diff(pcut) > 0))
+                w, p = [slice(wcut[i], wcut[i + 1]) for i in full], [slice(pcut[i], pcut[i + 1]) for i in full]
+                kinds = [[wh[x].tobytes() for x in w], [slim(wc[x]) for x in w], [sent_pairs(ph[x], range_bits) for x in p], [slim(pc[x]) for x in p]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), *[pa.array(x, pa.binary()) for x in kinds]],
+                    ["range", "chunk", "wh", "wc", "ph", "pc"],
+                )
+
+    def answer(table: pa.Table) -> pa.Table:
+        part = table.column("range")[0].as_py()
+        wh, ph = [np.frombuffer(x, np.uint64) for x in table.column("wh").to_pylist()], [read_pairs(x, part, range_bits) for x in table.column("ph").to_pylist()]
+        found = []
+        for hs, cs in ((wh, "wc"), (ph, "pc")):
+            u, back = np.unique(np.concatenate(hs), return_inverse=True)
+            c = np.concatenate([wide(x, len(h)) for x, h in zip(table.column(cs).to_pylist(), hs, strict=True)])
+            # Sums of doubles are exact below 2**53.
+            found.append((u, back, np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)))
+        (wu, wback, wc), (pu, pback, pc) = found
+        known, pairs = wc > 0, pc >= max(1, min_pair)
+        filt = Filter({0: build_segment(np.concatenate([wu[known], pu[pairs]]), levels(np.concatenate([wc[known], pc[pairs]])))}, 0)
+        wq, pq = (filt.level(u, np.zeros(len(u), np.int64)).astype(np.uint8)[back] for u, back in ((wu, wback), (pu, pback)))
+        wcut, pcut = np.cumsum([len(x) for x in wh])[:-1], np.cumsum([len(x) for x in ph])[:-1]
+        rows = table.num_rows
+        return pa.table({
+            "chunk": table.column("chunk"), "range": table.column("range"), "wc": pa.array([slim(x) for x in np.split(wc[wback], wcut)], pa.binary()),
+            "wq": pa.array([x.tobytes() for x in np.split(wq, wcut)], pa.binary()), "pq": pa.array([x.tobytes() for x in np.split(pq, pcut)], pa.binary()),
+            "n": pa.array([int(wc.sum())] + [0] * (rows - 1), pa.int64()), "v": pa.array([int(known.sum())] + [0] * (rows - 1), pa.int64()),
+        })
+
+    asked = chunks.mapInArrow(ask, "range long, chunk long, wh binary, wc binary, ph binary, pc binary")
+    return keep(asked.groupBy("range").applyInArrow(answer, "chunk long, range long, wc binary, wq binary, pq binary, n long, v long"), "answers")
+
+
+def token_log(c1: np.ndarray, c2: np.ndarray, cw: np.ndarray, n: int, v: int, mixed: float) -> np.ndarray:
+    """log10 of the smoothed probability, from the counts of history, pair and word."""
+    alone = (cw + 1) / (n + v + 1)
+    pair = np.minimum(c2, c1) / np.maximum(c1, 1)
+    return np.log10(np.where(c1 > 0, mixed * pair + (1 - mixed) * alone, alone))
 
 
 def lm_scores(
@@ -300,64 +240,40 @@ def lm_scores(
     max_filter_bytes: int = 128 << 20,
     range_bits: int | None = None,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    ``max_dictionary`` and ``max_filter_bytes`` bounded what was broadcast; nothing is now, and they change nothing.
+    """
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds)) == held_out_fold
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), text.alias("text"))
-    if range_bits is None:
-        range_bits = min(20, max(6, math.ceil(math.log2(max(1, docs.count()) / 64 + 1))))
-    tables = gram_tables(d.where(~F.col("held_out")).select("text"), range_bits, min_pair)
-    size = tables.agg(F.sum("n"), F.sum("v"), F.sum(F.length("segment")), *[F.sum(F.col("by_level")[i]) for i in range(64)]).first()
-    n, v, filter_bytes = size[0] or 0, size[1] or 0, size[2] or 0
-    words_of, least_level, room = [x or 0 for x in size[3:]], 63, max_dictionary
-    while least_level > 1 and words_of[least_level] <= room:
-        room -= words_of[least_level]
-        least_level -= 1
-    least = 2 ** (least_level if words_of[least_level] > room else least_level - 1)
-    session = docs.sparkSession.sparkContext
-    dictionary = session.broadcast(frequent(tables, least))
-    small = filter_bytes <= max_filter_bytes
-    shared = session.broadcast(collected(tables, range_bits) if small else None)
-
-    def score(batches):
-        known_h, known_c = dictionary.value
-        filt = shared.value
-        for batch in batches:
-            out = {x: [] for x in ("n_tokens", "n_known", "log", "score", "rare")}
-            for _, _, buf, offs in pieces(batch.column(2)):
-                tokens, before, starts = doc_tokens(buf, offs)
-                u, back = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(known_h, u), max(0, len(known_h) - 1))
-                hit = known_h[at] == u if len(known_h) else np.zeros(len(u), bool)
-                c = np.where(hit, known_c[at] if len(known_h) else 0, 0)
-                out["n_tokens"].append(np.diff(starts))
-                out["n_known"].append(np.add.reduceat(hit[back].astype(np.int64), starts[:-1]))
-                out["log"].append(np.add.reduceat(np.log10(c + 1.0)[back], starts[:-1]))
-                rest = ~hit[back]
-                ends = np.concatenate([[0], np.cumsum(rest)])[starts]
-                out["rare"].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(tokens[rest]))))
-                if filt is None:
-                    out["score"].append(np.zeros(len(starts) - 1))
-                    continue
-                out["score"].append(piece_scores(tokens, before, starts, filt.level, n, v, mixed))
-            if out["n_tokens"]:
-                text = batch.column(2) if filt is None else pa.nulls(batch.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(3), text, *[pa.array(np.concatenate(out[x])) for x in ("n_tokens", "n_known", "log", "score")], pa.concat_arrays(out["rare"])],
-                    ["doc_id", "held_out", "th", "text", "n_tokens", "n_known", "log", "score", "rare"],
-                )
+    chunks, range_bits = chunked(d, range_bits)
+    answers = range_answers(chunks, range_bits, min_pair)
+    size = answers.agg(F.sum("n"), F.sum("v")).first()
+    n, v = size[0] or 0, size[1] or 0
+
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = unpack(packed.column("packed")[0].as_py())
+        tokens, before, starts = doc_tokens(*text_buffers(docs.column("text")))
+        answers = answers.sort_by("range")
+        wq, pq = (np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint8).astype(np.int64) for x in ("wq", "pq"))
+        wc = np.concatenate([wide(x, len(q)) for x, q in zip(answers.column("wc").to_pylist(), answers.column("wq").to_pylist(), strict=True)])
+        u, back = np.unique(tokens, return_inverse=True)
+        pu, pback = np.unique(cut_pairs(pair_hashes(before, tokens), range_bits), return_inverse=True)
+        if len(u) != len(wq) or len(u) != len(wc) or len(pu) != len(pq):
+            raise ValueError("a chunk's answers don't match its grams")
+        cw, c2 = level_values(wq)[back], level_values(pq)[pback]
+        history = np.empty(len(tokens))
+        history[1:] = cw[:-1]
+        history[before == END] = level_values(wq[np.searchsorted(u, END)])
+        total = lambda x: np.add.reduceat(x, starts[:-1])
+        n_tokens = np.diff(starts)
+        base = total(np.log10(wc + 1.0)[back]) - n_tokens * math.log10(n + v + 1)
+        return pa.table({
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(total((wc > 0).astype(np.int64)[back])),
+            "train_tokens": pa.array(np.full(len(n_tokens), n, np.int64)), "base_score": pa.array(base), "score": pa.array(total(token_log(history, c2, cw, n, v, mixed))),
+        })
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    with_hash = d.select("doc_id", "held_out", "text", F.xxhash64("text").alias("th"))
-    first = with_hash.mapInArrow(score, f"doc_id {kind}, held_out boolean, th long, text string, n_tokens long, n_known long, log double, score double, rare array<long>")
-    first = keep(first.withColumn("rid", F.monotonically_increasing_id()), "scores")
-    rare = first.select("rid", F.explode("rare").alias("h")).join(unpacked(tables, "wh", "wc", least), "h")
-    rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"), F.count("*").alias("rare_known"))
-    out = first.drop("rare", "text").join(rare, "rid", "left")
-    if not small:
-        out = out.drop("score").join(dealt_scores(first.select("rid", "text"), tables, range_bits, n, v, mixed), "rid")
-    total = F.col("log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), total.alias("base_score"), "score",
-    )
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "range", "wc", "wq", "pq").groupBy("chunk")).applyInArrow(score, schema)

@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate as decontaminate_module
-from plumbline.llm import chat_format, kernel, line_dedup, near_dedup, pii, substring_dedup
+from plumbline.llm import chat_format, kernel, line_dedup, lm_scoring, near_dedup, pii, substring_dedup
 from plumbline.llm.chat_format import repair_roles
 from plumbline.llm.components import connected_components
 from plumbline.llm.decontaminate import decontaminate
@@ -83,6 +84,33 @@ def test_op2_size_of_the_filter_changes_no_score(spark, docs):
     assert unseen and max(unseen) < min(got[i] for i in range(40) if i not in held)
 
 
+def test_op2_sends_no_filter_through_the_driver(spark, docs, monkeypatch):
+    want = {r.doc_id: r for r in lm_scores(docs).collect()}
+
+    def no(*args):
+        raise AssertionError("nothing of the model may pass through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", no)
+    monkeypatch.setattr(type(docs), "toArrow", no)
+    assert len(lm_scores(docs).limit(3).take(3)) == 3
+    # Chunks of any size give the same; a text longer than a chunk is one.
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 300)
+    got = {r.doc_id: r for r in lm_scores(docs.repartition(3)).collect()}
+    assert got == want and len(got) == len(CORPUS)
+
+
+def test_op2_numbers_and_pairs_as_sent():
+    for most in (0, 1, 255, 256, 70_000, 2**33):
+        x = np.array([0, most // 2, most])
+        assert (lm_scoring.wide(lm_scoring.slim(x), 3) == x).all()
+    for bits in (6, 13, 20):
+        h = np.sort(lm_scoring.cut_pairs(kernel.mix(np.arange(5000, dtype=np.uint64)), bits))
+        cut = lm_scoring.range_cuts(h, bits)
+        full = np.flatnonzero(np.diff(cut)).tolist()
+        parts = [lm_scoring.read_pairs(lm_scoring.sent_pairs(h[cut[i] : cut[i + 1]], bits), i, bits) for i in full]
+        assert (np.concatenate(parts) == h).all() and len(np.unique(h)) == 5000
+
+
 def test_op2_against_a_plain_model(docs):
     want = brute.lm_scores(CORPUS)
     got = {r.doc_id: (r.n_tokens, r.score) for r in lm_scores(docs).collect()}
