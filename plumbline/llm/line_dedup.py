@@ -135,7 +135,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, shared, percent: int) -> DataFrame:
-    """One row a line with words: doc_id, th, line, whether it is its row's first, set hash s1 s2, size n, parity sketches, prefix words (32 bits of
+    """One row a line with words: doc_id, th, line, whether it is its row's first, set hash s1 s2, size n, parity sketches, prefix words packed (32 bits of
     their hashes: rows that share a key by chance are only a needless candidate)."""
 
     def rows(batches):
@@ -154,34 +154,42 @@ def line_table(docs: DataFrame, shared, percent: int) -> DataFrame:
                 s2 = np.bitwise_xor.reduceat(mix(u + np.uint64(77)), at) if len(at) else u[:0]
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (u & np.uint64(63)), at) if len(at) else u[:0]
                 where = pa.array(row[full] + i)
-                keys = pa.array((u[take] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                keys = (u[take] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 head = np.diff(row[full], prepend=-1) > 0
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(where), batch.column(1).take(where), pa.array(number[full].astype(np.int32)), pa.array(head), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(size.astype(np.int32)), pa.array(signed(bits)),
-                     pa.array(wide_sketches(u, at, size), pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), keys)],
+                     pa.array(wide_sketches(u, at, size), pa.binary()), pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(keys)])],
                     ["doc_id", "th", "line", "head", "s1", "s2", "n", "bits", "wide", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"doc_id {kind}, th long, line int, head boolean, s1 long, s2 long, n int, bits long, wide binary, prefix array<int>")
+    return docs.mapInArrow(rows, f"doc_id {kind}, th long, line int, head boolean, s1 long, s2 long, n int, bits long, wide binary, prefix binary")
+
+
+def prefix_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The packed words of all rows, and where each row's begin; one more at the end."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if data is None or not len(column):
+        return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint32), (ends - ends[0]) // 4
 
 
 def bit_count(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def possible(r: np.ndarray, wide: dict[int, np.ndarray], width: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows x, y that share a word can reach the similarity: sizes, positions, sketches."""
-    a, b = r["n"][x].astype(np.int64), r["n"][y].astype(np.int64)
-    need = -(-percent * (a + b) // (100 + percent))
-    left = np.minimum(a - r["pos"][x], b - r["pos"][y])
-    differ = a + b - 2 * need
-    ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (left >= need)
-    ok[ok] = bit_count(r["bits"][x[ok]] ^ r["bits"][y[ok]]) <= differ[ok]
+def similar_sketches(n: np.ndarray, bits: np.ndarray, wide: dict[int, np.ndarray], width: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """The numbers of the pairs of rows x, y whose sketches allow the similarity: at most (100 - p) (n_x + n_y) / (100 + p) words differ."""
+    slack = (100 - percent) * (n[x] + n[y])
+    ok = np.flatnonzero((100 + percent) * bit_count(bits[x] ^ bits[y]) <= slack)
     for size, sketch in wide.items():
-        both = np.flatnonzero(ok & (width[x] >= size) & (width[y] >= size))
-        if len(both):
-            ok[both] = bit_count(sketch[x[both]] ^ sketch[y[both]]).sum(axis=1) <= differ[both]
+        there = (width[x[ok]] >= size) & (width[y[ok]] >= size)
+        some = ok[there]
+        if len(some):
+            there[there] = (100 + percent) * bit_count(sketch[x[some]] ^ sketch[y[some]]).sum(axis=1) > slack[some]
+            ok = ok[~there]
     return ok
 
 
@@ -196,12 +204,9 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
         only = wanted.value if wanted is not None else None
         for batch in batches:
             rid, n, bits, opened = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 5))
-            lists = batch.column(4)
-            ends = np.asarray(lists.offsets)
-            w = np.asarray(lists.values)[ends[0] : ends[-1]].view(np.uint32)
-            each = np.diff(ends)
-            at = np.repeat(np.arange(len(rid)), each)
-            pos = np.arange(len(w)) - (ends[:-1] - ends[0])[at]
+            w, ends = prefix_words(batch.column(4))
+            at = np.repeat(np.arange(len(rid)), np.diff(ends))
+            pos = np.arange(len(w)) - ends[:-1][at]
             if only is not None:
                 some = np.flatnonzero(np.isin(w, only))
                 w, at, pos = w[some], at[some], pos[some]
@@ -221,8 +226,10 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
             wide = batch.column(3).to_pylist()
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
             stop = np.append(cut[1:], len(part))[: len(cut)]
+            large = np.flatnonzero(np.array([len(x) > 0 for x in wide], bool)[at])
+            sketches = [b"".join(wide[k] for k in at[large[a:b]]) for a, b in zip(np.searchsorted(large, cut), np.searchsorted(large, stop), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cut]), pa.array([rows[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary()), pa.array([b"".join(wide[k] for k in at[a:b]) for a, b in zip(cut, stop, strict=True)], pa.binary())],
+                [pa.array(part[cut]), pa.array([rows[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary()), pa.array(sketches, pa.binary())],
                 ["range", "rows", "wide"],
             )
 
@@ -240,6 +247,11 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
         order = np.argsort(place, kind="stable")
         r, key, width, wide = r[order], key[order], width[order], {k: v[order] for k, v in wide.items()}
         group, rank, place = group[order], rank[order], place[order]
+        n, bits = r["n"].astype(np.int64), np.ascontiguousarray(r["bits"])
+        # Of rows x, y with a common word, p (n_x + n_y) / (100 + p) words must be common, and at most the rest of each set from that word on can be;
+        # times (100 + p) that is room_x >= cost_y and room_y >= cost_x. As no rest is larger than its set, it holds for sizes in proportion only.
+        cost = percent * n
+        room = (100 + percent) * (n - r["pos"]) - cost
         found = np.zeros(len(r), np.int64)
         last = np.full(len(r), -1, np.int64)
         a, b = [], []
@@ -249,19 +261,28 @@ def candidate_pairs(sets: DataFrame, shared, percent: int, range_bits: int, ever
             other = np.minimum(np.searchsorted(keys, near), len(keys) - 1)
             begin = np.searchsorted(place, other * len(rids))
             stop = np.where(keys[other] == near, np.searchsorted(place, other * len(rids) + rank), 0)
-            # Step d compares each row with the d-th of the span; rows are dropped once they have enough.
-            alive, d = np.flatnonzero((begin < stop) & asked & (every | (found <= FIRST))), 0
+            # Step d compares each row with the d-th of the span; rows with long spans are first, and rows are dropped once they have enough.
+            alive = np.flatnonzero((begin < stop) & asked & (every | (found <= FIRST)))
+            alive = alive[np.argsort(begin[alive] - stop[alive], kind="stable")]
+            x, y_room, y_cost, d = begin[alive], room[alive], cost[alive], 0
+            shorter = begin[alive] - stop[alive]
             while len(alive):
-                x = begin[alive] + d
-                ok = possible(r, wide, width, x, alive, percent)
-                hit, src = alive[ok], x[ok]
-                room = np.ones(len(hit), bool) if every else found[hit] < FIRST
-                a.append(src[room])
-                b.append(hit[room])
-                last[hit[~room]] = 1
-                found[hit] += 1
+                near_by = np.flatnonzero((room[x] >= y_cost) & (y_room >= cost[x]))
+                src, hit = x[near_by], alive[near_by]
+                ok = similar_sketches(n, bits, wide, width, src, hit, percent)
+                src, hit = src[ok], hit[ok]
                 d += 1
-                alive = alive[(begin[alive] + d < stop[alive]) & (every | (found[alive] <= FIRST))]
+                left = int(np.searchsorted(shorter, -d))
+                stay = slice(0, left)
+                if len(hit):
+                    free = np.ones(len(hit), bool) if every else found[hit] < FIRST
+                    a.append(src[free])
+                    b.append(hit[free])
+                    last[hit[~free]] = 1
+                    found[hit] += 1
+                    if not every and not free.all():
+                        stay = np.flatnonzero(found[alive[:left]] <= FIRST)
+                alive, x, y_room, y_cost, shorter = alive[stay], x[stay] + 1, y_room[stay], y_cost[stay], shorter[stay]
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"b": r["rid"][b], "a": r["rid"][a], "more": last[b] > 0})
 
@@ -315,6 +336,10 @@ def removed_sets(sets: DataFrame, docs: DataFrame, shared, percent: int, range_b
     def later(pairs: DataFrame) -> DataFrame:
         return keep(confirmed_lines(pairs, sets, docs, percent).where("ok"), "similar").select(F.col("b").alias("rid")).distinct()
 
+    def each(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(prefix_words(batch.column(0))[0]).view(np.int32))], ["w"])
+
     pairs = keep(candidate_pairs(sets.withColumn("open", F.lit(0).cast("byte")), shared, percent, range_bits, False), "candidates")
     gone = keep(later(pairs), "gone")
     # Rows that had more candidates than were tried, and are still there, meet all of them: all of these are earlier rows.
@@ -322,7 +347,7 @@ def removed_sets(sets: DataFrame, docs: DataFrame, shared, percent: int, range_b
     if rest.count():
         marked = sets.join(rest.withColumn("o", F.lit(1)), "rid", "left").withColumn("open", F.coalesce("o", F.lit(0)).cast("byte"))
         # Only their words matter then; the list is sent to the tasks if it is short.
-        words_ = sets.join(rest, "rid", "left_semi").select(F.explode("prefix").alias("w")).distinct().limit(BROADCAST_WORDS + 1).toArrow()["w"].to_numpy()
+        words_ = sets.join(rest, "rid", "left_semi").select("prefix").mapInArrow(each, "w int").distinct().limit(BROADCAST_WORDS + 1).toArrow()["w"].to_numpy()
         few = docs.sparkSession.sparkContext.broadcast(words_.astype(np.int32).view(np.uint32)) if len(words_) <= BROADCAST_WORDS else None
         every = keep(candidate_pairs(marked, shared, percent, range_bits, True, few).join(pairs, ["b", "a"], "left_anti"), "candidates2")
         gone = gone.union(later(every)).distinct()
@@ -382,7 +407,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform("r.numbers", lambda x: x.cast("int")))
     cut = let(F.split(text, "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda i: F.get(parts, i)), "\n"))
     new_text = F.when(F.col("r.numbers").isNull(), text).otherwise(cut).alias(text_col)
-    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0))
+    n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: (F.ascii(x) > 32) | (F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0)))
     return both.select(
         *[new_text if c == text_col else F.col(f"n.`{c}`") for c in docs.columns],
         n_lines.cast("long").alias("line_dedup_lines"),

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,23 @@ def test_op4_every_seed_extended(spark, docs, benchmark, monkeypatch, hot):
     test_op4_every_choice_of_replaced_words(spark)
 
 
+def test_op5_packed_prefixes_and_sketches():
+    rnd = random.Random(5)
+    packed = pa.array([b"", np.array([7, 2**32 - 1], np.uint32).tobytes(), b"", np.array([3], np.uint32).tobytes()], pa.binary())
+    for column, want, ends in ((packed, [7, 2**32 - 1, 3], [0, 0, 2, 2, 3]), (packed.slice(2), [3], [0, 0, 1]), (packed.slice(0, 0), [], [0])):
+        words, at = line_dedup.prefix_words(column)
+        assert words.tolist() == want and at.tolist() == ends
+    sets = [[rnd.getrandbits(64) for _ in range(rnd.randint(1, 60))] for _ in range(40)]
+    sets += [[w for w in x if rnd.random() < 0.9] or x for x in sets]
+    n = np.array([len(x) for x in sets])
+    bits = np.array([np.bitwise_xor.reduce(np.uint64(1) << (np.array(x, np.uint64) & np.uint64(63))) for x in sets])
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(80), np.arange(80)))
+    for percent in (50, 80, 97, 100):
+        need = -(-percent * (n[x] + n[y]) // (100 + percent))
+        want = line_dedup.bit_count(bits[x] ^ bits[y]) <= n[x] + n[y] - 2 * need
+        assert line_dedup.similar_sketches(n, bits, {}, np.ones(80, int), x, y, percent).tolist() == np.flatnonzero(want).tolist()
+
+
 def test_op5_against_all_pairs_and_in_small_steps(docs, monkeypatch):
     gone = brute.removed_lines(CORPUS)
     for first, hot in ((2, 50_000), (1, 3)):
