@@ -18,15 +18,16 @@ from plumbline.sources.shared import keep
 SCORER = "lexicon"
 #: Lists of up to this many entries become constant patterns inside the plan, longer ones an index that is joined.
 INLINE_ENTRIES = 200
-#: A term is filed under one run of so many characters, or under the whole of it if it is shorter.
+#: A term without a Latin word is filed under one run of so many characters, or under the whole of it if it is shorter.
 GRAM = 6
-#: Of so many texts the sequences of characters are counted, to choose each term's rarest; results don't depend on it.
+#: Of so many texts the words and runs of characters are counted, to choose each term's rarest; results don't depend on it.
 GRAM_SAMPLE = 2_000
 #: Lists that pass through the driver have at most so many entries; ``entry_table`` has no limit.
 MAX_ENTRIES = 1_000_000
-HIT = "idx int, level int, lang string, term string, category string, targeted boolean"
+HIT = "idx long, level int, lang string, term string, category string, targeted boolean"
 _HITS = f"array<struct<{', '.join(f.replace(' ', ': ') for f in HIT.split(', '))}>>"
 _LATIN = re.compile(r"[a-z0-9 '._-]+")
+WORD = "[a-z0-9]+"
 
 
 @dataclass(frozen=True)
@@ -147,39 +148,73 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.get(each, 0)
 
 
+def _words(text: Column, least: int = 1, most: int | None = None) -> Column:
+    """All different words of Latin letters and digits: where a Latin term is found, its words are words of the text.
+
+    Words of other lengths than from ``least`` to ``most`` are left out.
+    """
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0)))
+    return found if most is None else F.filter(found, lambda w: F.length(w) <= most)
+
+
 def indexed_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """J1. (text_hash, hits) of texts (text_hash, norm, compact) with a hit, for a table of entries of any length.
 
-    Each term is filed under its rarest run of up to ``GRAM`` characters. The texts' runs are joined with that index,
-    which gives the few terms that may be in a text, and those are looked for by the rules of the inline path.
+    A Latin term of one word is found where the text has that word, so words are joined with words. Other Latin terms
+    are filed under their rarest word, the rest under their rarest run of up to ``GRAM`` characters; what the texts have of
+    these gives the few terms that may be in a text, and those are looked for by the rules of the inline path.
     """
-    texts = keep(texts.select("text_hash", "norm", "compact").dropDuplicates(["text_hash"]), "texts")
-    found = F.array(
-        F.when(F.col("latin"), F.struct(F.lit(0).alias("form"), F.col("term").alias("needle"))),
-        F.when(~F.col("latin"), F.struct(F.lit(1).alias("form"), F.col("compact").alias("needle"))),
-        F.when(F.col("latin") & (F.length("term") >= 3), F.struct(F.lit(1).alias("form"), F.col("term").alias("needle"))),
-    )
-    needles = entries.select("idx", F.explode(F.array_compact(found)).alias("n")).select("idx", "n.form", "n.needle")
+    hit = F.struct(*[f.split(" ")[0] for f in HIT.split(", ")]).alias("hit")
+    word = F.col("latin") & F.col("term").rlike(f"^{WORD}$")
+    size = F.length("term")
+    seen = entries.agg(F.min(F.when(word, size)).alias("least"), F.max(F.when(word, size)).alias("most"), F.count_if(~word).alias("others")).first()
+    texts = texts.select("text_hash", "norm", "compact")
+    parts = []
+    if seen["others"]:
+        texts = keep(texts.dropDuplicates(["text_hash"]), "texts")
+        parts.append(_hits_of_runs(texts, entries.where(~word), hit))
+    if seen["most"]:
+        parts.append(_hits_of_words(texts, entries.where(word), hit, seen["least"], seen["most"]))
+    if not parts:
+        return texts.limit(0).select("text_hash", F.array().cast(_HITS).alias("hits"))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.groupBy("text_hash").agg(F.array_sort(F.collect_set("hit")).cast(_HITS).alias("hits"))
+
+
+def _hits_of_words(texts: DataFrame, entries: DataFrame, hit: Column, least: int, most: int) -> DataFrame:
+    """Hits of terms that are one Latin word; those under three characters count in the normal form only."""
+    # Compact forms are often one long word, which no term is.
+    own = texts.select("text_hash", _words(F.col("norm"), least, most).alias("n"), _words(F.col("compact"), max(3, least), most).alias("c"))
+    own = own.select("text_hash", F.explode(F.array_union("n", "c")).alias("term"))
+    return own.join(entries, "term").select("text_hash", hit)
+
+
+def _hits_of_runs(texts: DataFrame, entries: DataFrame, hit: Column) -> DataFrame:
+    """Hits of terms that must be looked for: several words (form 2), no Latin letter or digit (0), other scripts (1)."""
+    wordless = ~F.col("term").rlike(WORD)
+    form = F.when(~F.col("latin"), 1).when(wordless, 0).otherwise(2)
+    needles = entries.select("idx", form.alias("form"), F.when(F.col("latin"), F.col("term")).otherwise(F.col("compact")).alias("needle"))
     # A needle of at most GRAM characters is its own run; a longer one has several to choose from.
-    own = needles.withColumn("own", F.when(F.length("needle") > GRAM, _grams(F.col("needle"), [GRAM])).otherwise(F.array("needle")))
-    own = own.select("idx", "form", F.explode("own").alias("gram"))
-    some = texts.limit(GRAM_SAMPLE)
-    forms = lambda t, sizes: t.select("text_hash", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), _grams(F.col(c), sizes).alias("grams")) for i, c in enumerate(("norm", "compact"))])).alias("f")).select("text_hash", "f.form", F.explode("f.grams").alias("gram"))
-    # Only longer needles have a choice, so only runs of GRAM characters are counted.
-    often = forms(some, [GRAM]).groupBy("form", "gram").agg(F.count("*").alias("n"))
+    runs = F.when(F.length("needle") > GRAM, _grams(F.col("needle"), [GRAM])).otherwise(F.array("needle"))
+    own = needles.select("idx", "form", F.explode(F.when(F.col("form") == 2, _words(F.col("needle"))).otherwise(runs)).alias("gram"))
+
+    def forms(t: DataFrame, sizes: dict[int, list[int]]) -> DataFrame:
+        parts = {0: lambda q: _grams(F.col("norm"), q), 1: lambda q: _grams(F.col("compact"), q), 2: lambda q: _words(F.col("norm"), min(q), max(q))}
+        each = [F.struct(F.lit(i).alias("form"), parts[i](q).alias("grams")) for i, q in sorted(sizes.items())]
+        return t.select("text_hash", F.explode(F.array(*each)).alias("f")).select("text_hash", "f.form", F.explode("f.grams").alias("gram"))
+
+    sizes: dict[int, list[int]] = {}
+    for r in own.select("form", F.length("gram").alias("q")).distinct().sort("form", "q").collect():
+        sizes.setdefault(r["form"], []).append(r["q"])
+    often = forms(texts.limit(GRAM_SAMPLE), sizes).groupBy("form", "gram").agg(F.count("*").alias("n"))
     rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram"))
     index = keep(own.join(often, ["form", "gram"], "left").groupBy("idx", "form").agg(rarest.alias("gram")), "index")
-    sizes = [r["q"] for r in index.select(F.length("gram").alias("q")).distinct().collect()]
-    if not sizes:
-        return texts.limit(0).select("text_hash", F.array().cast(_HITS).alias("hits"))
-    cands = forms(texts, sorted(sizes)).join(index, ["form", "gram"]).select("text_hash", "form", "idx").distinct()
-    text = F.when(F.col("form") == 0, F.col("norm")).otherwise(F.col("compact"))
+    cands = forms(texts, sizes).join(index, ["form", "gram"]).select("text_hash", "form", "idx").distinct()
+    text = F.when(F.col("form") == 1, F.col("compact")).otherwise(F.col("norm"))
     # The texts come last, so that they are sent once each and not with every term that may be in them.
     both = cands.join(entries.withColumnRenamed("compact", "__own"), "idx").join(texts, "text_hash").withColumn("__t", text)
     latin = F.expr("contains(__t, term) and regexp_like(__t, pattern)")
-    hit = both.where(F.when(F.col("latin"), latin).otherwise(F.expr("contains(__t, __own)")))
-    hits = F.array_sort(F.collect_set(F.struct(*[f.split(" ")[0] for f in HIT.split(", ")])))
-    return hit.groupBy("text_hash").agg(hits.cast(_HITS).alias("hits"))
+    return both.where(F.when(F.col("latin"), latin).otherwise(F.expr("contains(__t, __own)"))).select("text_hash", hit)
 
 
 def with_indexed_hits(prepared: DataFrame, entries: DataFrame) -> DataFrame:
