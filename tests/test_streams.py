@@ -32,6 +32,22 @@ def test_quotas_of_shuffled_micro_batches(spark, tmp_path):
     assert sorted(jobs.run_available(ordered.quota_in_order(s, delay="200 seconds", slot_s=50.0, idle_s=60.0), "quota").collect()) == want
 
 
+def test_state_is_visited_by_bucket_not_by_key(spark, tmp_path, monkeypatch):
+    """Thousands of keys share few buckets, so that timers and state don't grow with keys and slots."""
+    monkeypatch.setattr(ordered, "BUCKETS", 8)
+    monkeypatch.setattr(ordered, "PACK_ROWS", 700)
+    rnd = random.Random(7)
+    rows = [(i, i % 2000, float(rnd.randint(0, 300)), rnd.randint(0, 2)) for i in range(4000)]
+    schema = "call_id long, tenant int, ts double, quota int"
+    want = sorted(requests.replay_quota(spark.createDataFrame(rows, schema)).collect())
+    s = in_batches(spark, tmp_path, "many", rows, schema, 2, 50, batches=2)
+    with ordered.keyed_state(spark):
+        q = ordered.quota_in_order(s, delay="50 seconds", slot_s=100.0).writeStream.format("memory").queryName("many").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(spark.table("many").collect()) == want
+    assert 0 < max(op.numRowsTotal for p in q.recentProgress for op in p.stateOperators) < 200
+
+
 def test_changes_of_shuffled_micro_batches(spark, tmp_path):
     rnd = random.Random(5)
     rows = [(rnd.choice(["n", "m", None]), t, rnd.choice(["aa", "bb", "c", None, "aa"])) for t in rnd.sample(range(4000), 500)]
