@@ -75,3 +75,25 @@ def test_stale_verdicts_before_and_after_the_change(spark, tmp_path):
     out = ordered.fresh_verdict_stream(a, b, ["node"], ["vid"], delay="3000 seconds", slot_s=500.0, idle_s=100_000.0)
     got = jobs.run_available(out, "fresh").collect()
     assert sorted((r.node, r.vid, r.text) for r in got) == sorted((r.node, r.vid, r.text) for r in want) and 50 < len(got) < len(verdicts)
+
+
+def test_verdicts_of_many_nodes_share_the_state(spark, tmp_path, monkeypatch):
+    """State rows follow from buckets and slots, and what is remembered of quiet nodes goes."""
+    monkeypatch.setattr(ordered, "BUCKETS", 8)
+    schema, v_schema = "node int, s int, text string", "node int, s int, text string, vid int"
+    texts = [(i % 1500, i % 500 + i // 1500 * 10, ("aa", "bb", "c", None)[i % 7 % 4]) for i in range(3000)]
+    verdicts = [(n, t + 20, x, i) for i, (n, t, x) in enumerate(texts) if x]
+
+    def timed(df):
+        return df.withColumn("ts", F.timestamp_seconds("s"))
+
+    want = viewer.fresh_verdicts(timed(spark.createDataFrame(verdicts, v_schema)), timed(spark.createDataFrame(texts, schema)), ["node"]).collect()
+    a = timed(in_batches(spark, tmp_path, "texts", texts, schema, 1, 50, batches=2))
+    b = timed(in_batches(spark, tmp_path, "verdicts", verdicts, v_schema, 1, 50, batches=2))
+    with ordered.keyed_state(spark):
+        out = ordered.fresh_verdict_stream(a, b, ["node"], ["vid"], delay="200 seconds", slot_s=200.0, idle_s=10_000.0)
+        q = out.writeStream.format("memory").queryName("nodes").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r.node, r.vid, r.text) for r in spark.table("nodes").collect()) == sorted((r.node, r.vid, r.text) for r in want) and len(want) > 500
+    left = [op.numRowsTotal for p in q.recentProgress for op in p.stateOperators]
+    assert 0 < max(left) < 300 and left[-1] < 50, left
