@@ -89,19 +89,33 @@ def script_count(text: Column, script: str) -> Column:
     return F.when(text.rlike(cls), _count(text, cls)).otherwise(0)
 
 
+def _scripts_of(letters: str) -> dict[str, int]:
+    out: Counter[str] = Counter()
+    for ch, n in Counter(letters).items():
+        out[U.script_of(ch)] += n
+    return dict(out)
+
+
 @F.pandas_udf(MapType(StringType(), IntegerType()))
 def _rare_scripts(letters: pd.Series) -> pd.Series:
-    return letters.map(lambda t: dict(Counter(U.script_of(c) for c in t)), na_action="ignore")
+    return letters.map(_scripts_of, na_action="ignore")
 
 
 def script_counts(text: Column) -> Column:
     """T3. Map of script to letter count, scripts with letters only; letters without a name count as OTHER.
 
-    The scripts that decide a language and Latin are counted in the JVM; a helper sees only what letters
-    are left of a text.
+    ASCII letters are Latin, and only what lies beyond ASCII is searched for scripts: those that decide a language and
+    Latin are counted in the JVM; a helper sees only what letters are left of a text.
     """
-    known = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(s).alias("k"), script_count(text, s).alias("n")) for s in U.SCRIPTS]), lambda p: p["n"] > 0))
-    rest = F.regexp_replace(text, f"[[^{U.LETTER}]{''.join(U.script_class(s) for s in U.SCRIPTS)}]+", "")
+    beyond = F.regexp_replace(text, f"[{U.ASCII}]+", "")
+
+    def counts(seen: Column) -> Column:
+        plain = F.coalesce(_count(seen["text"], U.ASCII_LETTER), F.lit(0))
+        each = {s: script_count(seen["beyond"], s) + (plain if s == "LATIN" else 0) for s in U.SCRIPTS}
+        return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(s).alias("k"), n.alias("n")) for s, n in each.items()]), lambda p: p["n"] > 0))
+
+    known = let(F.struct(text.alias("text"), beyond.alias("beyond")), counts)
+    rest = F.regexp_replace(beyond, f"[[^{U.LETTER}]{''.join(U.script_class(s) for s in U.SCRIPTS)}]+", "")
     rare = _rare_scripts(F.when(rest != "", rest))
     return F.when(rare.isNull(), known).otherwise(F.map_concat(known, rare))
 
